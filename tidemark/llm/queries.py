@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import encode_documents
 from tidemark.llm.common import table
+from tidemark.llm.language_id import judge_language
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.toxicity import judge_toxicity
 from tidemark.llm.url_filter import judge_urls, rules_frame
 
 #: Fixed values of op3: host, path, verdict.
@@ -47,10 +49,20 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern())
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_language(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
+    "op7_language_id": op7_language_id,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {
