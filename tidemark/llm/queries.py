@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import encode_documents
 from tidemark.llm.common import table
+from tidemark.llm.html_text import extract_pages
 from tidemark.llm.language_id import judge_language
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.toxicity import judge_toxicity
@@ -53,6 +54,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_language(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
     "op7_language_id": op7_language_id,
+    "op8_html_text": op8_html_text,
     "op9_toxicity": op9_toxicity,
 }
 
