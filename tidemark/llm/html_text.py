@@ -49,6 +49,8 @@ _LABELLED = np.array([
     # adverts, notices, forms and side boxes, named as such
     (7, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0), (25, 0.0, 5, 1.0, 40, 0.0, 1, 0, 0), (60, 0.0, 3, 1.0, 55, 0.0, 1, 0, 0), (14, 0.2, 120, 0.0, 90, 0.0, 1, 1, 0),
     (9, 0.0, 70, 0.0, 45, 0.0, 1, 1, 0), (35, 0.0, 50, 0.0, 60, 0.0, 1, 1, 0), (3, 0.0, 2, 0.0, 4, 0.0, 1, 0, 0), (110, 0.0, 4, 0.5, 8, 0.0, 1, 0, 0),
+    (1, 1.0, 1, 1.0, 80, 0.0, 1, 0, 0), (10, 0.0, 3, 1.0, 75, 0.0, 1, 0, 0), (40, 0.0, 60, 0.0, 90, 0.0, 1, 0, 0), (12, 0.0, 90, 0.0, 60, 0.0, 1, 0, 0),
+    (90, 0.0, 100, 0.0, 110, 0.0, 1, 0, 0), (200, 0.0, 35, 0.0, 60, 0.0, 1, 0, 0), (30, 0.0, 40, 0.0, 25, 0.0, 1, 0, 0),
     # footers and reader comments
     (8, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0), (11, 0.3, 40, 0.0, 6, 1.0, 1, 0, 0), (45, 0.0, 30, 0.0, 52, 0.0, 1, 0, 0), (150, 0.0, 12, 0.0, 35, 0.0, 1, 0, 0),
     (6, 0.0, 110, 0.0, 0, 0.0, 0, 0, 0), (4, 0.0, 5, 1.0, 3, 1.0, 0, 0, 0), (2, 0.0, 1, 1.0, 6, 0.0, 0, 0, 0), (5, 0.0, 7, 0.0, 4, 0.0, 0, 0, 0),
