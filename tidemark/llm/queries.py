@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import encode_documents
 from tidemark.llm.common import table
+from tidemark.llm.fingerprints import compare_documents
 from tidemark.llm.html_text import extract_pages
 from tidemark.llm.language_id import judge_language
 from tidemark.llm.near_dedup import near_duplicates
@@ -39,6 +40,10 @@ def tokenizer_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules_frame(spark, URL_RULES)).drop("url")
 
@@ -68,6 +73,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op3_url_filter": op3_url_filter,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
