@@ -14,6 +14,7 @@ from tidemark.llm.html_text import extract_pages
 from tidemark.llm.language_id import judge_language
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.topk_search import top_k
 from tidemark.llm.toxicity import judge_toxicity
 from tidemark.llm.url_filter import judge_urls, rules_frame
 
@@ -44,6 +45,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules_frame(spark, URL_RULES)).drop("url")
 
@@ -74,6 +79,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_topk_search": op2_topk_search,
     "op3_url_filter": op3_url_filter,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
@@ -84,6 +90,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_topk_search": r"""
+        WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+        scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND (q.vec_id <> c.vec_id OR q.e <> c.e) AND len(q.e) = len(c.e)),
+        placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 10
+    """,
     "op3_url_filter": r"""
         WITH rules(host, path, verdict) AS (VALUES
             ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
