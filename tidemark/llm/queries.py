@@ -14,6 +14,7 @@ from tidemark.llm.html_text import extract_pages
 from tidemark.llm.language_id import judge_language
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.topk_search import top_k
 from tidemark.llm.toxicity import judge_toxicity
 from tidemark.llm.url_filter import judge_urls, rules_frame
@@ -53,6 +54,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules_frame(spark, URL_RULES)).drop("url")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json").decode(), tokenizer_pattern())
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_topk_search": op2_topk_search,
     "op3_url_filter": op3_url_filter,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
     "op7_language_id": op7_language_id,

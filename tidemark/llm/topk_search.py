@@ -103,7 +103,7 @@ class BallTree:
 def _packed(rows: DataFrame, group: str, build) -> DataFrame:
     """One row for each group with a binary value made by ``build`` from its ids, keys and quantised vectors."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table):
         table = table.combine_chunks()
         if not table.num_rows:
             return pa.table({group: pa.array([], pa.int64()), "dim": pa.array([], pa.int32()), "packed": pa.array([], pa.binary())})
