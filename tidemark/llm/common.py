@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,20 +19,43 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, with its lineage cut; survives lost executors."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir that driver and executors share; a temporary one only where it is unset."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, with its lineage cut; survives lost executors. For slim rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder. For rows with texts, which checkpoints do not compress."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def doc_crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the decimal text of ``doc_id``, modulo ``modulus``; null ids count as the text ``null``."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % F.lit(modulus)
 
 
+def beside(docs: DataFrame, keep: tuple[str, ...]) -> tuple[list[Column], str]:
+    """Columns to carry through an Arrow function under names that clash with none, and their schema (with a leading comma)."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return [docs[c].alias(f"kept_{i}") for i, c in enumerate(keep)], "".join(f", kept_{i} {kinds[c]}" for i, c in enumerate(keep))
+
+
+def renamed(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``df`` with the carried columns under their own names again."""
+    return df.select(*[c for c in df.columns if not c.startswith("kept_")], *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A string column as one byte buffer, n + 1 offsets and a null mask; nulls have no bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import doc_crc_mod, small_batches
+from tidemark.llm.common import beside, doc_crc_mod, renamed, small_batches
 from tidemark.llm.ngrams import hashed_ngrams, normalised
 
 #: Sampled documents of each language, and of all languages together.
@@ -117,21 +117,23 @@ def fit(docs: DataFrame, learn_from=lambda doc_id: F.lit(True)) -> LanguageModel
     return LanguageModel(idf, centroids, [lang for lang, c in parts.items() for _ in c], REJECT_SHARE * float(nearest.min()))
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred, score, rejected for each row.
+def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score, rejected for each row, and the columns named in ``keep``.
 
     ``und``, 0 and rejected for a null text or one without a letter. Only the text is looked at; null, equal and
     repeated doc_ids give a row each, an empty table none, and other columns are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    carried, schema = beside(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 1 << 20):
             found = list(zip(*shared.value.predict(batch.column(1).to_pylist()), strict=True))
             columns = [pa.array(c, k) for c, k in zip(found, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], names=["doc_id", "lang_pred", "score", "rejected", *batch.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PREDICTIONS)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *carried)
+    return renamed(rows.mapInArrow(run, PREDICTIONS + schema), keep)
 
 
 def held_out(doc_id):

@@ -55,7 +55,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("remaining")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bwt import Strings, merge_transforms
-from tidemark.llm.common import text_bytes
+from tidemark.llm.common import beside, renamed, text_bytes
 
 LENGTH, ANCHOR = 50, 32
 REACH = LENGTH - ANCHOR
@@ -223,8 +223,8 @@ class Group:
         kept = [raw[i:j][~gone[i:j]].tobytes() if n else raw[i:j].tobytes() for i, j, n in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), removed.tolist(), strict=True)]
         return pa.table({
             "doc_id": self.docs["doc_id"], "n_bytes": pa.array(np.diff(self.starts)), "n_removed": pa.array(removed), "n_spans": pa.array(spans),
-            "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "kept": pa.array(kept, pa.binary()),
-        })
+            "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "remaining": pa.array(kept, pa.binary()),
+        } | {c: self.docs[c] for c in self.docs.column_names if c.startswith("kept_")})
 
 
 def repeated_windows(content: np.ndarray, left: np.ndarray, right: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -288,20 +288,21 @@ def _by_offset(content: np.ndarray, left: np.ndarray, right: np.ndarray, keys: n
     return masks
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row.
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining bytes of every row, and the columns in ``keep``.
 
     Texts are UTF-8 bytes (null: empty); matches never cross documents, and strings are judged on the input. Rows with
     a null doc_id count as larger than all others; rows that share a doc_id are not smaller than one another. Texts
     under 50 bytes lose nothing; an empty table gives no row; other columns are left out.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    carried, carried_schema = beside(docs, keep)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *carried)
     volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups, buckets = max(2 * parts, math.ceil(volume / GROUP_BYTES)), max(parts, math.ceil(volume / (4 * GROUP_BYTES)))
     place = F.coalesce("doc_id", F.lit(NOBODY - 1))
-    dealt = rows.select(F.pmod(F.xxhash64(place), F.lit(groups)).cast("int").alias("g"), place.alias("place_of"), F.xxhash64("text").alias("salt"), "doc_id", "text")
+    dealt = rows.select(F.pmod(F.xxhash64(place), F.lit(groups)).cast("int").alias("g"), place.alias("place_of"), F.xxhash64("text").alias("salt"), *rows.columns)
     to_bucket = "bucket int, g int, value binary"
     to_group = "g int, kind int, bucket int, value binary"
     sent_kinds, told_kinds = [pa.int32(), pa.int32(), pa.binary()], [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
@@ -365,5 +366,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     least = by_group.cogroup(again.groupBy("g")).applyInArrow(sending("class_hashes"), to_bucket).groupBy("bucket").applyInArrow(least_of_class, to_group)
     told = again.unionByName(least)
     windows = by_group.cogroup(told.groupBy("g")).applyInArrow(sending("surroundings"), to_bucket).groupBy("bucket").applyInArrow(merged_windows, to_group)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return by_group.cogroup(told.unionByName(windows).groupBy("g")).applyInArrow(final, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, remaining binary" + carried_schema
+    return renamed(by_group.cogroup(told.unionByName(windows).groupBy("g")).applyInArrow(final, schema), keep)

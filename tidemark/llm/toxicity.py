@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import doc_crc_mod, durable, small_batches
+from tidemark.llm.common import beside, doc_crc_mod, durable, renamed, small_batches
 from tidemark.llm.ngrams import hashed_ngrams, normalised
 
 #: Most labelled documents of a class that the classifier is fitted on.
@@ -149,19 +149,22 @@ def regress(features: list[list[int]], y: np.ndarray, ratio: np.ndarray) -> tupl
     return w * scale, b
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id and score (0 to 1) for each row. Null and empty texts get the score of a text without any known n-gram.
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and score (0 to 1) for each row, and the columns named in ``keep``.
 
-    Null, equal and repeated doc_ids give a row each; an empty table gives none; other columns are left out.
+    Null and empty texts get the score of a text without any known n-gram. Null, equal and repeated doc_ids give a row
+    each; an empty table gives none; other columns are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    carried, schema = beside(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 1 << 20):
             scores = shared.value.scores(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), *batch.columns[2:]], names=["doc_id", "score", *batch.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCORES)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *carried)
+    return renamed(rows.mapInArrow(run, SCORES + schema), keep)
 
 
 def held_out(doc_id):
