@@ -48,12 +48,12 @@ def doc_crc_mod(doc_id: Column, modulus: int) -> Column:
 def beside(docs: DataFrame, keep: tuple[str, ...]) -> tuple[list[Column], str]:
     """Columns to carry through an Arrow function under names that clash with none, and their schema (with a leading comma)."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return [docs[c].alias(f"kept_{i}") for i, c in enumerate(keep)], "".join(f", kept_{i} {kinds[c]}" for i, c in enumerate(keep))
+    return [docs[c].alias(f"carried_{i}") for i, c in enumerate(keep)], "".join(f", carried_{i} {kinds[c]}" for i, c in enumerate(keep))
 
 
 def renamed(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """``df`` with the carried columns under their own names again."""
-    return df.select(*[c for c in df.columns if not c.startswith("kept_")], *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])
+    return df.select(*[c for c in df.columns if not c.startswith("carried_")], *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

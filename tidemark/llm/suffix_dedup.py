@@ -224,7 +224,7 @@ class Group:
         return pa.table({
             "doc_id": self.docs["doc_id"], "n_bytes": pa.array(np.diff(self.starts)), "n_removed": pa.array(removed), "n_spans": pa.array(spans),
             "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "remaining": pa.array(kept, pa.binary()),
-        } | {c: self.docs[c] for c in self.docs.column_names if c.startswith("kept_")})
+        } | {c: self.docs[c] for c in self.docs.column_names if c.startswith("carried_")})
 
 
 def repeated_windows(content: np.ndarray, left: np.ndarray, right: np.ndarray, keys: np.ndarray) -> np.ndarray:
