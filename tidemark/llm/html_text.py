@@ -46,6 +46,7 @@ _LABELLED = np.array([
     (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 1, 0, 0), (3, 1.0, 2, 1.0, 7, 0.0, 1, 0, 0),
     (1, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0), (4, 1.0, 3, 1.0, 5, 1.0, 0, 0, 0), (8, 0.9, 5, 1.0, 6, 1.0, 0, 0, 0), (12, 0.8, 9, 1.0, 3, 1.0, 0, 0, 0),
     (6, 1.0, 80, 0.0, 7, 1.0, 0, 0, 0), (5, 1.0, 6, 1.0, 0, 0.0, 0, 0, 0), (20, 0.7, 4, 1.0, 18, 0.8, 0, 0, 0), (15, 0.6, 60, 0.0, 8, 1.0, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0), (2, 1.0, 1, 1.0, 130, 0.0, 0, 0, 0), (3, 1.0, 0, 0.0, 45, 0.0, 0, 0, 0), (4, 0.9, 70, 0.0, 90, 0.0, 0, 0, 0), (1, 1.0, 50, 0.0, 35, 0.0, 0, 0, 0),
     # adverts, notices, forms and side boxes, named as such
     (7, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0), (25, 0.0, 5, 1.0, 40, 0.0, 1, 0, 0), (60, 0.0, 3, 1.0, 55, 0.0, 1, 0, 0), (14, 0.2, 120, 0.0, 90, 0.0, 1, 1, 0),
     (9, 0.0, 70, 0.0, 45, 0.0, 1, 1, 0), (35, 0.0, 50, 0.0, 60, 0.0, 1, 1, 0), (3, 0.0, 2, 0.0, 4, 0.0, 1, 0, 0), (110, 0.0, 4, 0.5, 8, 0.0, 1, 0, 0),

@@ -75,7 +75,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from) -> tuple[Dat
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from=lambda doc_id: F.lit(True)) -> ToxicityModel:
-    """The model for labels whose doc_id satisfies ``learn_from``; without labels of both classes it scores their share."""
+    """The model for labels whose doc_id satisfies ``learn_from``; without labels of both classes it scores their share.
+
+    Without any label nothing is known to be toxic, and every score is close to 0.
+    """
     sample, totals = labelled_sample(docs, labels, learn_from)
     sample = durable(sample)
 
@@ -99,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=lambda doc_id: F.lit(True
     counts = sample.select("doc_id", "toxic", "text").mapInArrow(count, "hash long, clean long, toxic long").groupBy("hash").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = counts.filter("hash = 0").collect()
     n0, n1 = (int(sizes[0]["clean"]), int(sizes[0]["toxic"])) if sizes else (0, 0)
-    share = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
+    share = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1) if totals else 1e-6
     feature_of = np.full(1 << BITS, -1, dtype=np.int32)
     if not n0 or not n1:
         return ToxicityModel(feature_of, np.zeros(1), float(np.log(share / (1 - share))))
