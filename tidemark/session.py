@@ -18,9 +18,15 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir that driver and executors share; a temporary one only where it is unset."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in spark.checkpoint.dir (a temporary folder only where it is unset), with its lineage cut."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    """``df`` checkpointed in the shared folder, with its lineage cut; survives lost executors. For slim rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
