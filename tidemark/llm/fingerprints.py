@@ -1,10 +1,10 @@
 """Document fingerprints by SimHash, in DataFrame functions only.
 
-Terms are two-word shingles of the lower-cased text (the whole text, if it has one word), repeats included, hashed by
-XXH64. Each occurrence votes on the 64 bits with a weight that grows with the term's length, so that shingles of short
-function words count less. Votes are summed in lanes of 64-bit numbers: ``LANES`` counters of 16 bits each, emptied
-into wider ones after every ``CHUNK`` terms, so that a text of any length is summed without overflow. Fingerprints
-within ``RADIUS`` bits are found by permuted block tables: of ``BLOCKS`` blocks, two such fingerprints share at least
+Terms are pairs of neighbouring words of the lower-cased text (the word alone, if there is one), repeats included,
+hashed by XXH64. Each occurrence votes on the 64 bits with a weight that grows with the term's length, so that pairs of
+short function words count less. A text's terms are exploded and summed again in the same task: 32 sums, each with the
+votes on two bits in its halves, so that only one slim row for each text is shuffled. Fingerprints within ``RADIUS``
+bits are found by permuted block tables: of ``BLOCKS`` blocks, two such fingerprints share at least
 ``BLOCKS - RADIUS`` whole blocks, so each choice of that many blocks is the key of one table.
 """
 
@@ -17,60 +17,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RADIUS, BLOCKS = 3, 6
-LANES, CHUNK = 4, 16_384
-_LANE_MASK = 0x0001000100010001
+_SPACE = " \t\n\r\x0b\x0c"
+_HALVES = 0x0000000100000001
 
 
 def terms(text: Column) -> Column:
-    """The lower-cased two-word shingles of a text; its only word, if it has one; none, if it has none."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    pairs = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(words) > 1, pairs(words)).otherwise(words)
+    """The terms of a text as structs of two words, the second null where there is only one; empty without words."""
+    trimmed = F.btrim(F.lower(text), F.lit(_SPACE))
+    words = F.split(trimmed, r"\s+")
+    pairs = F.arrays_zip(F.slice(words, F.lit(1), F.size(words) - 1).alias("a"), F.slice(words, F.lit(2), F.size(words)).alias("b"))
+    alone = F.transform(words, lambda w: F.struct(w.alias("a"), F.lit(None).cast("string").alias("b")))
+    return F.when(trimmed == "", F.filter(alone, lambda t: F.lit(False))).when(F.size(words) > 1, pairs.cast("array<struct<a:string,b:string>>")).otherwise(alone)
 
 
-def votes(term: Column) -> Column:
-    """A term's weight: 1 up to 7 characters, 2 up to 12, then 3."""
-    return F.when(F.length(term) <= 7, F.lit(1)).when(F.length(term) <= 12, F.lit(2)).otherwise(F.lit(3))
+def fingerprints(texts: DataFrame, by: list[str], column: str = "text") -> DataFrame:
+    """The columns ``by``, which tell rows apart, and ``bits``, the fingerprint of ``column`` as a signed 64-bit number.
 
-
-def let(value: Column, body) -> Column:
-    """``body`` of ``value``, with the value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def simhash(term_array: Column) -> Column:
-    """The fingerprint of an array of terms as a signed 64-bit number: a bit is set if more than half of the votes have it set."""
-    narrow, wide = 64 // LANES, 32
-
-    def add(counts: Column, term: Column) -> Column:
-        lanes = [(counts[f"c{i}"] + F.shiftrightunsigned(term["h"], i).bitwiseAND(F.lit(_LANE_MASK)) * term["w"]).alias(f"c{i}") for i in range(narrow)]
-        return F.struct(*lanes, (counts["n"] + term["w"]).alias("n"))
-
-    def empty(count: int) -> Column:
-        return F.struct(*[F.lit(0).cast("long").alias(f"c{i}") for i in range(count)], F.lit(0).cast("long").alias("n"))
-
-    def widen(sums: Column, part: Column) -> Column:
-        # Lane l of counter i counts bit i + 16 * l; wide counter i counts bits i and i + 32.
-        cells = [F.shiftrightunsigned(part[f"c{i % narrow}"], 16 * (i // narrow)).bitwiseAND(F.lit(0x0000FFFF0000FFFF)) for i in range(wide)]
-        return F.struct(*[(sums[f"c{i}"] + c).alias(f"c{i}") for i, c in enumerate(cells)], (sums["n"] + part["n"]).alias("n"))
-
-    def summed(hashed: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(hashed), F.lit(1)), F.lit(CHUNK))
-        part = lambda start: F.aggregate(F.slice(hashed, start, CHUNK), empty(narrow), add)
-        return F.aggregate(starts, empty(wide), lambda total, start: let(part(start), lambda p: widen(total, p)))
-
-    def decided(sums: Column) -> Column:
-        count = lambda bit: F.shiftrightunsigned(sums[f"c{bit % wide}"], wide * (bit // wide)).bitwiseAND(F.lit(0xFFFFFFFF))
-        bits = [F.when(count(bit) * 2 > sums["n"], F.lit((1 << bit) - (1 << 64 if bit == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")) for bit in range(64)]
-        return reduce(lambda a, b: a.bitwiseOR(b), bits)
-
-    hashed = F.transform(term_array, lambda t: F.struct(F.xxhash64(t).alias("h"), votes(t).cast("long").alias("w")))
-    return let(let(hashed, summed), decided)
-
-
-def document_fingerprint(text: Column) -> Column:
-    """The fingerprint of a whole text (null: empty) as a signed 64-bit number; zero without words."""
-    return simhash(terms(text))
+    A bit is set if more than half of the votes have it set; without words all are zero. Rows equal in ``by`` must have
+    equal texts and give one row; their votes only count in proportion.
+    """
+    length = F.length("term.a") + F.coalesce(F.length("term.b") + 1, F.lit(0))
+    weight = F.when(F.col("term.a").isNull(), 0).when(length <= 7, 1).when(length <= 12, 2).otherwise(3)
+    votes = texts.select(*by, F.explode_outer(terms(F.col(column))).alias("term")).select(*by, F.xxhash64("term.a", "term.b").alias("h"), weight.cast("long").alias("w"))
+    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_HALVES)) * F.col("w")).alias(f"c{i}") for i in range(32)]
+    counted = votes.groupBy(*by).agg(F.sum("w").alias("n"), *sums)
+    count = lambda bit: F.shiftrightunsigned(f"c{bit % 32}", 32 * (bit // 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+    one = lambda bit: F.lit((1 << bit) - (1 << 64 if bit == 63 else 0)).cast("long")
+    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(count(bit) * 2 > F.col("n"), one(bit)).otherwise(F.lit(0).cast("long")) for bit in range(64)])
+    return counted.select(*by, bits.alias("bits"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -85,12 +59,12 @@ def hex_digits(bits: Column) -> Column:
 def next_keys(keys: DataFrame) -> DataFrame:
     """For each of the distinct numbers in ``key``, the next smaller one; the largest follows the smallest.
 
-    Numbers meet their successors in windows over ranges of 2 ** 16 numbers; what is left, the ends of ranges, goes on to
-    ranges of ranges. No window holds more than 2 ** 16 distinct numbers, however they lie.
+    Numbers meet their successors in windows over ranges of 2 ** 12 numbers; what is left, the ends of ranges, goes on to
+    ranges of 2 ** 16 ranges, and so on. However the numbers lie, no window holds more than 2 ** 20 of them.
     """
     level = keys.select("key", F.col("key").alias("low"))  # runs of numbers from key (largest) down to low (smallest)
     found = None
-    for shift in (16, 32, 48, 64):
+    for shift in (12, 28, 44, 64):
         place = F.shiftright("key", shift) if shift < 64 else F.lit(0)
         w = Window.partitionBy("range").orderBy(F.desc("key"))
         linked = level.withColumn("range", place).withColumn("after", F.lead("key").over(w))
@@ -109,24 +83,35 @@ def compare_documents(docs: DataFrame) -> DataFrame:
     the smallest start of a text stands for it. An empty table gives no row; other columns are left out.
     """
     least = -(1 << 63)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("bits", document_fingerprint(F.col("text")))
-    slim = docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("key")).agg((F.max(F.length(text)) / 3).cast("long").alias("most"))
+    key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(least)), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    texts = base.select("key", F.xxhash64("text").alias("salt"), "text")
+    own = fingerprints(texts, ["key", "salt"])
+    slim = base.groupBy("key").agg((F.max(F.length("text")) / 3).cast("long").alias("most"))
     wanted = slim.join(next_keys(slim.select("key")), "key").select(F.col("key").alias("asker"), "most", F.col("next_key").alias("key"))
+    # Both joins ask for the same columns of the documents, so that one exchange of the texts serves them.
     pieces = (
         base.join(wanted, "key").groupBy("asker")
-        .agg(F.min(F.struct(F.substring("text", F.lit(1), F.col("most").cast("int")).alias("start"), F.col("bits").alias("next_bits"))).alias("next"))
+        .agg(F.min(F.struct(F.substring("text", F.lit(1), F.col("most").cast("int")).alias("start"), F.xxhash64("text").alias("salt"), "key", "doc_id")).alias("next"))
         .select(F.col("asker").alias("key"), "next")
     )
-    n = F.length("text").cast("long")
+    n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next.start", F.lit(1), third))
-    return (
+    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next.start", F.lit(1), third))
+    changed = (
         base.join(pieces, "key", "left")
-        .select("doc_id", n.alias("n_chars"), "bits", F.col("next.next_bits").alias("next_bits"), edited.alias("edited"))
-        .withColumn("edited_bits", document_fingerprint(F.col("edited")))
+        .select("key", F.xxhash64("text").alias("salt"), "doc_id", n.cast("long").alias("n_chars"), F.col("next.key").alias("next_key"), F.col("next.salt").alias("next_salt"), edited.alias("edited"))
+        .withColumn("edited_sha256", F.sha2(F.col("edited"), 256))
+    )
+    by = ["key", "salt", "doc_id", "n_chars", "next_key", "next_salt", "edited_sha256"]
+    copies = base.groupBy("key", F.xxhash64("text").alias("salt")).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    after = fingerprints(changed, by, "edited").withColumnRenamed("bits", "edited_bits")
+    return (
+        after.join(own, ["key", "salt"]).join(own.select(F.col("key").alias("next_key"), F.col("salt").alias("next_salt"), F.col("bits").alias("next_bits")), ["next_key", "next_salt"])
+        .join(copies, ["key", "salt"], "left")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long")))))
         .select(
-            "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), hex_digits(F.col("bits")).alias("fingerprint"), hex_digits(F.col("edited_bits")).alias("edited_fingerprint"),
+            "doc_id", "n_chars", "edited_sha256", hex_digits(F.col("bits")).alias("fingerprint"), hex_digits(F.col("edited_bits")).alias("edited_fingerprint"),
             likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"), likeness(F.col("bits"), F.col("next_bits")).alias("near_next"),
         )
     )
