@@ -64,7 +64,7 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """Language, cosine (0 to 1) and whether the text is rejected, for each text."""
         if not self.languages:
-            return [(UNKNOWN, 0.0, True)] * len(texts)
+            return [(UNKNOWN, 0.0, not has_letter(t)) for t in texts]  # nothing is known to be far from
         cosines = self.vectors(texts) @ self.centroids.T
         best = cosines.argmax(axis=1)
         return [
