@@ -32,8 +32,8 @@ from tidemark.llm.common import beside, renamed, text_bytes
 LENGTH, ANCHOR = 50, 32
 REACH = LENGTH - ANCHOR
 REGION = REACH + ANCHOR + REACH
-#: Bytes of text in a group, and the text that anchors are looked for in at once.
-GROUP_BYTES, CHUNK_BYTES = 8 << 20, 1 << 18
+#: Least and most bytes of text in a group, and the text that anchors are looked for in at once.
+GROUP_BYTES, MOST_GROUP_BYTES, CHUNK_BYTES = 8 << 20, 128 << 20, 1 << 18
 #: Surroundings merged at once, and those of one anchor from which windows are compared one offset at a time instead.
 SLICE_STRINGS, MOST_STRINGS = 8_000, 60_000
 NOBODY = np.iinfo(np.int64).max
@@ -288,6 +288,11 @@ def _by_offset(content: np.ndarray, left: np.ndarray, right: np.ndarray, keys: n
     return masks
 
 
+def group_bytes(volume: int) -> int:
+    """Bytes of text in a group: more for large corpora, since every group may have something to tell every bucket."""
+    return min(MOST_GROUP_BYTES, max(GROUP_BYTES, math.isqrt(volume * 4096)))
+
+
 def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining bytes of every row, and the columns in ``keep``.
 
@@ -300,7 +305,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *carried)
     volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups, buckets = max(2 * parts, math.ceil(volume / GROUP_BYTES)), max(parts, math.ceil(volume / (4 * GROUP_BYTES)))
+    groups, buckets = max(parts, math.ceil(volume / group_bytes(volume))), max(parts, math.ceil(volume / (4 * group_bytes(volume))))
     place = F.coalesce("doc_id", F.lit(NOBODY - 1))
     dealt = rows.select(F.pmod(F.xxhash64(place), F.lit(groups)).cast("int").alias("g"), place.alias("place_of"), F.xxhash64("text").alias("salt"), *rows.columns)
     to_bucket = "bucket int, g int, value binary"
