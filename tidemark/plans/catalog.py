@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, identity, numbers, strings
-from tidemark.model import literal_triples
+from tidemark.model import literal_triples, store_triples
 from tidemark.operators import checks, classify, hierarchy, reshape, resolve, sequence
 from tidemark.operators.components import connected_components
 from tidemark.operators.events import EventFilter, filtered_events, page
+from tidemark.operators.inference import Axioms, materialise
 from tidemark.operators.impacts import damage_by_unit, impacts, metric_sums, with_facets
+from tidemark.operators.match import match_names
 from tidemark.plans import analysis
+from tidemark.plans.sparql import sparql
 from tidemark.plans.tables import STORE_SQL, driver_store, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -523,3 +526,61 @@ def check_less_or_equal(spark, sf_dir):
 @query("SELECT CAST(c_custkey AS VARCHAR) AS focus, 'detail' AS \"check\" FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def check_detail(spark, sf_dir):
     return checks.check_detail(read(spark, sf_dir, "customer"), "c_custkey", read(spark, sf_dir, "orders").filter("o_orderstatus = 'P'"), "o_custkey").drop("value")
+
+
+# --- SPARQL over the triples of the same store -----------------------------------------------------------------------
+
+
+def _ask(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return sparql(store_triples(driver_store(spark, sf_dir), "driver"), text)
+
+
+@query("""SELECT c.ancestor AS region, x.label, CAST(count(DISTINCT e.event) AS VARCHAR) AS n FROM event e JOIN event_location l ON l.event = e.event JOIN location_closure c ON c.descendant = l.code
+    JOIN location x ON x.code = c.ancestor WHERE x.level = 'Region' AND e.start_date IS NOT NULL GROUP BY ALL""", store=True)
+def sparql_region_counts(spark, sf_dir):
+    text = "SELECT ?region ?label (COUNT(DISTINCT ?e) AS ?n) WHERE { ?e :startDate ?d ; :hasLocation ?l . ?l :isPartOf* ?region . ?region :isPartOf <W> ; rdfs:label ?label } GROUP BY ?region ?label"
+    return _ask(spark, sf_dir, text)
+
+
+@query("SELECT event AS e FROM shown", store=True)
+def sparql_suppression(spark, sf_dir):
+    return _ask(spark, sf_dir, """SELECT ?e WHERE { ?e :startDate ?d FILTER NOT EXISTS { ?e prov:alternateOf ?o . ?o :startDate ?x
+        FILTER(SUBSTR(?x, 1, 10) < SUBSTR(?d, 1, 10) || (SUBSTR(?x, 1, 10) = SUBSTR(?d, 1, 10) && STR(?o) < STR(?e))) } }""")
+
+
+@query("""SELECT e.event AS e, e.end_date AS d, string_agg(DISTINCT t.type_id, '|' ORDER BY t.type_id) AS types FROM event e JOIN event_type t ON t.event = e.event
+    WHERE e.event_class = 'Incident' GROUP BY ALL""", store=True)
+def sparql_optional_concat(spark, sf_dir):
+    return _ask(spark, sf_dir, "SELECT ?e ?d (GROUP_CONCAT(DISTINCT ?t ; SEPARATOR='|') AS ?types) WHERE { ?e a :Incident ; :hasDisasterType ?t OPTIONAL { ?e :endDate ?d } } GROUP BY ?e ?d")
+
+
+@query("""SELECT event AS e, code AS v, 'place' AS kind FROM event_location WHERE code IN ('N1', 'N2') UNION ALL SELECT event, type_id, 'type' FROM event_type WHERE type_id = 'PROMO'""", store=True)
+def sparql_union_values(spark, sf_dir):
+    return _ask(spark, sf_dir, "SELECT ?e ?v ?kind WHERE { { VALUES ?v { <N1> <N2> } ?e :hasLocation ?v BIND('place' AS ?kind) } UNION { ?e :hasDisasterType ?v FILTER(?v = 'PROMO') BIND('type' AS ?kind) } }")
+
+
+@query("SELECT year(CAST(start_date AS TIMESTAMP)) || '' AS y, CAST(count(*) AS VARCHAR) AS n FROM event WHERE start_date IS NOT NULL AND contains(lower(coalesce(CASE WHEN event_name LIKE 'Order%' THEN event_name END, '')), 'urgent') GROUP BY ALL", store=True)
+def sparql_text_by_year(spark, sf_dir):
+    return _ask(spark, sf_dir, "SELECT ?y (COUNT(?e) AS ?n) WHERE { ?e :startDate ?d ; :eventName ?name FILTER(CONTAINS(LCASE(?name), 'urgent')) BIND(YEAR(?d) AS ?y) } GROUP BY ?y")
+
+
+@query("SELECT DISTINCT least(a, b) AS x, greatest(a, b) AS y FROM alternate WHERE a IN (SELECT event FROM event_type WHERE type_id = 'SMALL') AND b IN (SELECT event FROM event_type WHERE type_id = 'SMALL')", store=True)
+def sparql_shared_type_pairs(spark, sf_dir):
+    return _ask(spark, sf_dir, "SELECT DISTINCT ?x ?y WHERE { ?x prov:alternateOf ?y ; :hasDisasterType <SMALL> . ?y :hasDisasterType <SMALL> FILTER(STR(?x) < STR(?y)) }")
+
+
+@query("SELECT id, root FROM (SELECT c.descendant AS id, c.ancestor AS root FROM taxonomy_closure c JOIN taxonomy t ON t.id = c.ancestor AND t.parent IS NULL) WHERE id <> root", store=True)
+def inferred_taxonomy(spark, sf_dir):
+    store = driver_store(spark, sf_dir)
+    broader = store.taxonomy.filter("parent IS NOT NULL").select(F.col("id").alias("s"), F.lit("broader").alias("p"), F.col("parent").alias("o"))
+    facts = materialise(broader, Axioms(transitive=["broader"], inverse=[("broader", "narrower")]))
+    tops = store.taxonomy.filter("parent IS NULL").select(F.col("id").alias("o"))
+    return facts.filter("p = 'broader'").join(tops, "o", "left_semi").select(F.col("s").alias("id"), F.col("o").alias("root"))
+
+
+@query("""SELECT c_name AS query, n_name AS matched FROM (SELECT c_name, c_nationkey FROM customer) JOIN nation ON n_nationkey = c_nationkey""")
+def fuzzy_names(spark, sf_dir):
+    nations = read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_name").alias("id"), F.col("n_nationkey").alias("pos"))
+    customers = read(spark, sf_dir, "customer").select("c_name", F.concat(F.lit("nation"), F.when(F.col("c_custkey") % 2 == 0, "_").otherwise("  "), F.col("c_nationkey").cast("string")).alias("query"))
+    matched = match_names(customers.select("query").distinct(), nations).select("query", F.col("id").alias("matched"))
+    return customers.join(matched, "query").select(F.col("c_name").alias("query"), "matched")
