@@ -11,7 +11,8 @@ from tidemark.operators.resolve import blocked_pairs, new_pairs
 
 def calendar_counts(events: DataFrame, time: str, late: str = "7 days", span: str = "1 day") -> DataFrame:
     """Events by ``span`` of a streaming (or batch) frame; streams wait ``late`` for late events and then forget a span."""
-    marked = events.withWatermark(time, late) if events.isStreaming else events
+    stamped = events.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need a time zone
+    marked = stamped.withWatermark(time, late) if events.isStreaming else stamped
     return marked.groupBy(F.window(time, span).alias("w")).agg(F.count(F.lit(1)).alias("events")).select(F.col("w.start").alias("period"), "events")
 
 
