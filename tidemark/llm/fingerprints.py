@@ -75,7 +75,9 @@ def next_keys(keys: DataFrame) -> DataFrame:
 
 
 def compare_documents(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every whole text, of its edited text and of the next document.
+    """Fingerprints of every whole text, of its edited text and of the next document, and how many others are near.
+
+    ``n_near`` counts the other fingerprints in the table, equal ones once, at most ``RADIUS`` bits away.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many of the next document in
     descending order of doc_id (after the last, the first). A null text is empty. Rows with a null doc_id stand after
@@ -106,13 +108,16 @@ def compare_documents(docs: DataFrame) -> DataFrame:
     by = ["key", "salt", "doc_id", "n_chars", "next_key", "next_salt", "edited_sha256"]
     copies = base.groupBy("key", F.xxhash64("text").alias("salt")).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     after = fingerprints(changed, by, "edited").withColumnRenamed("bits", "edited_bits")
+    pairs = near_fingerprints(own)
+    near = pairs.select(F.col("a").alias("bits")).unionByName(pairs.select(F.col("b").alias("bits"))).groupBy("bits").agg(F.count(F.lit(1)).alias("n_near"))
+    own = own.join(near, "bits", "left").na.fill(0, ["n_near"])
     return (
         after.join(own, ["key", "salt"]).join(own.select(F.col("key").alias("next_key"), F.col("salt").alias("next_salt"), F.col("bits").alias("next_bits")), ["next_key", "next_salt"])
         .join(copies, ["key", "salt"], "left")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long")))))
         .select(
             "doc_id", "n_chars", "edited_sha256", hex_digits(F.col("bits")).alias("fingerprint"), hex_digits(F.col("edited_bits")).alias("edited_fingerprint"),
-            likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"), likeness(F.col("bits"), F.col("next_bits")).alias("near_next"),
+            likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"), likeness(F.col("bits"), F.col("next_bits")).alias("near_next"), "n_near",
         )
     )
 
