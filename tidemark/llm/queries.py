@@ -105,6 +105,22 @@ ORACLES: dict[str, str] = {
         placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
         SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 10
     """,
+    "op4_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h, encode(coalesce(text, '')) AS t FROM documents),
+        w AS (SELECT r, doc_id, unnest(range(greatest(length(h) // 2 - 49, 0))) AS i,
+            unnest(list_transform(range(greatest(length(h) // 2 - 49, 0)), lambda i: md5(t[i + 1 : i + 50]))) AS g FROM d),
+        m AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g HAVING count(*) > 1),
+        hit AS (SELECT r, i FROM w JOIN m USING (g) WHERE least < coalesce(doc_id, 9223372036854775806)),
+        step AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+        run AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM step),
+        span AS (SELECT r, k, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY r, k),
+        gap AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM span
+            UNION ALL SELECT r, max(b), NULL FROM span GROUP BY r UNION ALL SELECT r, 0, NULL FROM d WHERE r NOT IN (SELECT r FROM span)),
+        kept AS (SELECT gap.r, string_agg(substr(h, 2 * gap.a + 1, 2 * (coalesce(gap.b, length(h) // 2) - gap.a)), '' ORDER BY gap.a) AS h FROM gap JOIN d ON d.r = gap.r GROUP BY gap.r),
+        total AS (SELECT r, sum(b - a) AS removed, count(*) AS spans FROM span GROUP BY r)
+        SELECT d.doc_id, length(d.h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+        FROM d LEFT JOIN total ON total.r = d.r LEFT JOIN kept ON kept.r = d.r
+    """,
     "op3_url_filter": r"""
         WITH rules(host, path, verdict) AS (VALUES
             ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
