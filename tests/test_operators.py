@@ -102,6 +102,15 @@ def test_closures_on_cycles_and_long_paths(spark):
     got = {(r.descendant, r.ancestor): r.depth for r in hierarchy.path_closure(edges).collect()}
     assert got[("a", "a")] == 3 and got[("a", "d")] == 3 and got[("y", "y")] == 1 and len(got) == 13
     assert {r.root for r in hierarchy.roots(spark.createDataFrame([("a", "b"), ("b", None)], "id string, parent string"), "id", "parent").collect()} == {"b"}
+    for links in ([("a", "b"), ("b", "c"), ("c", None)], [(str(i), str(i + 1)) for i in range(12)] + [("12", None)], [("a", "b"), ("b", "a")], [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", None)]):
+        got = {(r.descendant, r.ancestor): r.depth for r in hierarchy.closure(spark.createDataFrame(links, "id string, parent string"), "id", "parent").collect()}
+        expected = {(x, x): 0 for x, _ in links}
+        for _ in links:
+            for (x, y), depth in list(expected.items()):
+                for child, up in links:
+                    if child == y and up is not None:
+                        expected[(x, up)] = min(depth + 1, expected.get((x, up), 99))
+        assert got == expected
     places = spark.createDataFrame([("1400101001", "Bgy"), ("1400101000", "Mun"), ("1400100000", "Prov"), ("1400000000", "Reg"), ("1300500000", "City")], "code string, level string")
     assert {r.code: r.parent for r in hierarchy.resolve_parents(places.unionByName(spark.createDataFrame([("1300000000", "Reg")], places.schema))).collect()} == {"1400101001": "1400101000", "1400101000": "1400100000", "1400100000": "1400000000", "1400000000": None, "1300500000": "1300000000", "1300000000": None}
 

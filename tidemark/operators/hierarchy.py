@@ -28,12 +28,27 @@ def path_closure(edges: DataFrame, child: str = "child", parent: str = "parent",
     return found
 
 
+#: Levels of a tree that are joined in one plan; deeper ones and cycles take the general way.
+LEVELS = 6
+
+
 def closure(nodes: DataFrame, key: str, parent: str, most_depth: int = 64) -> DataFrame:
-    """Path ``*`` over a node table with parents: as ``path_closure``, and every node with itself at depth 0."""
-    own = nodes.select(F.col(key).alias("descendant")).na.drop().distinct()
-    selves = own.select("descendant", F.col("descendant").alias("ancestor"), F.lit(0).alias("depth"))
-    above = path_closure(nodes, key, parent, most_depth).filter("descendant <> ancestor")
-    return selves.unionByName(above)
+    """Path ``*`` over a node table with parents: as ``path_closure``, and every node with itself at depth 0.
+
+    Hierarchies are shallow, so a row for each node gathers its ancestors level by level in one plan.
+    """
+    own = nodes.select(F.col(key).alias("up0")).na.drop().distinct()
+    parents = nodes.select(F.col(key).alias("child"), F.col(parent).alias("up")).na.drop().distinct()
+    wide = own
+    for i in range(LEVELS + 1):
+        wide = wide.join(parents.select(F.col("child").alias(f"up{i}"), F.col("up").alias(f"up{i + 1}")), f"up{i}", "left")
+    wide = durable(wide)
+    if wide.filter(f"up{LEVELS + 1} IS NOT NULL").isEmpty():
+        ups = F.array(*[F.struct(F.col(f"up{i}").alias("ancestor"), F.lit(i).alias("depth")) for i in range(LEVELS + 1)])
+        pairs = wide.select(F.col("up0").alias("descendant"), F.explode(ups).alias("u")).filter("u.ancestor IS NOT NULL")
+        return pairs.groupBy("descendant", F.col("u.ancestor").alias("ancestor")).agg(F.min("u.depth").alias("depth"))
+    selves = own.select(F.col("up0").alias("descendant"), F.col("up0").alias("ancestor"), F.lit(0).alias("depth"))
+    return selves.unionByName(path_closure(nodes, key, parent, most_depth).filter("descendant <> ancestor"))
 
 
 def roots(nodes: DataFrame, key: str, parent: str) -> DataFrame:
