@@ -147,6 +147,12 @@ def test_strings(spark):
     assert values(spark, ["Ñueva  Écija!"], strings.folded) == ["nueva ecija"] and values(spark, ["Typhoon Ana hit Cebu City"], strings.proper_nouns) == [["Typhoon", "Cebu", "City"]]
 
 
+def test_places_and_merged_rows(spark):
+    assert values(spark, ["Manilla, Cebu province; Bagio cty", "nationwide", "Samar and Leyte"], strings.place_names) == [["Manila", "Cebu", "Baguio City"], ["Philippines"], ["Samar", "Leyte"]]
+    frame = spark.createDataFrame([("r", "a  b   c", "1  2"), ("q", None, "5")], "k string, x string, y string")
+    assert sorted((tuple(r) for r in reshape.split_rows(frame, ["x", "y"]).collect()), key=repr) == sorted([("r", "a", "1"), ("r", "b", "2"), ("r", "c", None), ("q", None, None)], key=repr)
+
+
 def test_dates(spark):
     cells = ["1918–1919", "August 10, 2008 – July 14, 2009", "April–June 1957", "2–7 July 2001", "Nov 12–15 2003", "August 31 – September 4, 1984", "1984", "2001-02-03", "April 1965-June 1966", "5 May 2005", "gibberish", None]
     assert [tuple(r) for r in values(spark, cells, dates.date_range)] == [

@@ -31,6 +31,14 @@ def test_sidecars_discovery_and_registry(spark, tmp_path):
     assert {(r.p, r.o) for r in sinks.registry_triples(registry, "g").collect()} == {("skos:prefLabel", "DOH"), ("skos:altLabel", "Health")}
 
 
+def test_new_entries_of_a_listing(spark):
+    schema = "download_url string, posted_at string"
+    listing = spark.createDataFrame([("a", "2020-01-01"), ("b", "2020-01-05"), ("c", "2020-01-04")], schema)
+    assert [r.download_url for r in readers.new_entries(listing, spark.createDataFrame([("b", "2020-01-05"), ("x", "2020-01-02")], schema)).collect()] == []
+    assert [r.download_url for r in readers.new_entries(listing, spark.createDataFrame([("x", "2020-01-05")], schema)).collect()] == ["b"]
+    assert readers.new_entries(listing, spark.createDataFrame([], schema)).count() == 3
+
+
 def test_ntriples_round_trip(spark, tmp_path):
     rows = [("g", "http://a", "http://p", "http://b", "iri", None, None), ("g", "_:x", "http://p", 'say "hi"\nback\\slash', "literal", None, "en"), ("g", "http://a", "http://q", "5", "literal", "http://int", None), ("g", "http://a", "http://q", "_:x", "blank", None, None)]
     triples = spark.createDataFrame(rows, "g string, s string, p string, o string, o_kind string, o_dt string, o_lang string")

@@ -92,3 +92,10 @@ def entities(df: DataFrame, fields: dict[str, str]) -> DataFrame:
 def duplicate_report(df: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
     """The most frequent repeated combinations of ``keys``."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), *keys).limit(most)
+
+
+def split_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose cells hold several values, two or more spaces apart, as one row for each; the other columns repeat."""
+    parts = F.arrays_zip(*[F.split(F.trim(F.col(c)), r"\s{2,}").alias(c) for c in columns])
+    out = df.select(*[c for c in df.columns if c not in columns], F.explode_outer(parts).alias("_p"))
+    return out.select(*[F.col(f"_p.{c}").alias(c) if c in columns else F.col(c) for c in df.columns])

@@ -59,3 +59,10 @@ def read_ntriples(spark: SparkSession, path: str, graph: str) -> DataFrame:
         F.lit(graph).alias("g"), F.coalesce(some(part(1)), part(2)).alias("s"), part(3).alias("p"), F.when(kind == "iri", part(4)).when(kind == "blank", part(5)).otherwise(literal).alias("o"),
         kind.alias("o_kind"), some(part(8)).alias("o_dt"), some(part(7)).alias("o_lang"),
     ).to(spark.createDataFrame([], TRIPLES).schema)
+
+
+def new_entries(listing: DataFrame, manifest: DataFrame, key: str = "download_url", time: str = "posted_at") -> DataFrame:
+    """Entries of a listing that a manifest of earlier runs does not have and that are not older than its newest one."""
+    newest = manifest.agg(F.max(time).alias("_newest"))
+    fresh = listing.join(manifest.select(key), key, "left_anti").crossJoin(F.broadcast(newest))  # one row
+    return fresh.filter(F.col("_newest").isNull() | (F.col(time) >= F.col("_newest"))).drop("_newest")
