@@ -207,7 +207,7 @@ def test_entity_resolution(spark):
     assert judged == {("x", "y"): (False, True, True, False, False), ("x", "z"): (None, None, None, None, True), ("x", "w"): (True, True, True, True, True)}
     grouped = resolve.clusters(spark.createDataFrame([("p/gda/1", "q/emdat/1"), ("q/emdat/1", "r/ndrrmc/1")], "a string, b string"))
     canonical = resolve.canonical_events(grouped, {"ndrrmc": -1}).first()
-    assert canonical.preferred == "r/ndrrmc/1" and canonical.canonical == identity.CANONICAL_BASE + str(uuid.uuid5(uuid.UUID(identity.EVENT_NAMESPACE), "p/gda/1|q/emdat/1|r/ndrrmc/1"))
+    assert canonical.preferred == "r/ndrrmc/1" and canonical.canonical == identity.BASE + "common/" + str(uuid.uuid5(uuid.UUID(identity.EVENT_NAMESPACE), "p/gda/1|q/emdat/1|r/ndrrmc/1"))
     registry = spark.createDataFrame([("k1", "m1"), ("k1", "m2"), ("k2", "m3"), ("k3", "m9")], "canonical string, member string")
     updated = {(r.canonical, r.member) for r in resolve.update_registry(registry, spark.createDataFrame([("m2", "m3"), ("m4", "m1"), ("n1", "n2")], "a string, b string")).collect()}
     assert {x for x in updated if x[1].startswith("m")} == {("k1", "m1"), ("k1", "m2"), ("k1", "m3"), ("k1", "m4"), ("k3", "m9")} and len(updated) == 7

@@ -77,7 +77,7 @@ def event_impacts(graph: Graph, root: str, impact_class: str) -> DataFrame:
     return found.join(plain.unionByName(measured), "impact", "left").distinct()
 
 
-def event_organisations(graph: Graph, root: str, base: str = "https://sakuna.ph/org/") -> DataFrame:
+def event_organisations(graph: Graph, root: str, base: str = "https://example.org/org/") -> DataFrame:
     """Organisations that an event, an incident of it or one of their records names: organisation, label, property, holder, event."""
     scope = event_scope(graph, root).select("event")
     links = graph.triples.filter("o_kind <> 'literal'").select(F.col("s").alias("event"), F.col("o").alias("holder"))
