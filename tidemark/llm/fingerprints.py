@@ -16,6 +16,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import durable
+
 RADIUS, BLOCKS = 3, 6
 _SPACE = " \t\n\r\x0b\x0c"
 _HALVES = 0x0000000100000001
@@ -88,7 +90,7 @@ def compare_documents(docs: DataFrame) -> DataFrame:
     key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(least)), F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     texts = base.select("key", F.xxhash64("text").alias("salt"), "text")
-    own = fingerprints(texts, ["key", "salt"])
+    own = durable(fingerprints(texts, ["key", "salt"]))
     slim = base.groupBy("key").agg((F.max(F.length("text")) / 3).cast("long").alias("most"))
     wanted = slim.join(next_keys(slim.select("key")), "key").select(F.col("key").alias("asker"), "most", F.col("next_key").alias("key"))
     # Both joins ask for the same columns of the documents, so that one exchange of the texts serves them.
@@ -109,7 +111,8 @@ def compare_documents(docs: DataFrame) -> DataFrame:
     copies = base.groupBy("key", F.xxhash64("text").alias("salt")).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     after = fingerprints(changed, by, "edited").withColumnRenamed("bits", "edited_bits")
     pairs = near_fingerprints(own)
-    near = pairs.select(F.col("a").alias("bits")).unionByName(pairs.select(F.col("b").alias("bits"))).groupBy("bits").agg(F.count(F.lit(1)).alias("n_near"))
+    # Written down, so that the join below has plain exchanges on both sides, which Spark can split at the fingerprint of many copies.
+    near = durable(pairs.select(F.col("a").alias("bits")).unionByName(pairs.select(F.col("b").alias("bits"))).groupBy("bits").agg(F.count(F.lit(1)).alias("n_near")))
     own = own.join(near, "bits", "left").na.fill(0, ["n_near"])
     return (
         after.join(own, ["key", "salt"]).join(own.select(F.col("key").alias("next_key"), F.col("salt").alias("next_salt"), F.col("bits").alias("next_bits")), ["next_key", "next_salt"])
