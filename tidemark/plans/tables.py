@@ -44,7 +44,8 @@ def driver_store(spark: SparkSession, sf_dir: str) -> EventStore:
     slim = orders.select("o_orderkey", "o_custkey", "o_orderdate")
     a, b = slim.alias("a"), slim.alias("b")
     near = (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderkey") != F.col("b.o_orderkey")) & (F.abs(F.datediff("a.o_orderdate", "b.o_orderdate")) <= DAYS)
-    world = spark.createDataFrame([("W", "World", "Country", None)], "code string, label string, level string, parent string")
+    # Inline tables, unlike frames of Python rows, have a known size, so that Spark broadcasts them.
+    world = spark.sql("SELECT 'W' AS code, 'World' AS label, 'Country' AS level, CAST(NULL AS STRING) AS parent")
     regions = table("region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("code"), F.col("r_name").alias("label"), F.lit("Region").alias("level"), F.lit("W").alias("parent"))
     nations = table("nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("label"), F.lit("Province").alias("level"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("parent"))
     types = lines.select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(table("part").select("p_partkey", "p_type"), "p_partkey")
@@ -58,7 +59,7 @@ def driver_store(spark: SparkSession, sf_dir: str) -> EventStore:
         damage=lines.select(event_id("l_orderkey").alias("event"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"), F.col("l_linestatus").alias("unit")),
         alternate=a.join(b, near).select(event_id("a.o_orderkey").alias("a"), event_id("b.o_orderkey").alias("b")),
         location=world.unionByName(regions).unionByName(nations),
-        taxonomy=spark.createDataFrame([(i, i, None, p) for i, p in TAXONOMY], "id string, label string, note string, parent string"),
+        taxonomy=spark.sql(f"SELECT id, id AS label, CAST(NULL AS STRING) AS note, parent FROM VALUES {_TREE} AS t(id, parent)"),
     )
 
 
