@@ -1,5 +1,6 @@
 """Operators on documents against brute force, with the awkward rows that any column may hold."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -8,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, fingerprints, language_id, near_dedup, packing, suffix_dedup, toxicity
 from tidemark.llm.queries import tokenizer_file, tokenizer_pattern
@@ -257,6 +259,27 @@ def test_language_accuracy_on_held_out_documents(spark, sf_dir):
     assert sum(r.lang == r.lang_pred for r in found) >= 0.95 * len(found) and all(0 <= r.score <= 1 for r in found)
 
 
+def _junk(n):
+    """Texts of n characters or a little less in no language that the documents have."""
+    rng = np.random.default_rng(n)
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    other = ["Η γρήγορη αλεπού πηδάει πάνω από το σκυλί και τρέχει. ", "यह एक वाक्य है जो परीक्षण के लिए लिखा गया है। ", "สวัสดีชาวโลกนี่คือข้อความ", "Wczoraj wieczorem poszliśmy do kina, ale film nie był zbyt dobry. "]
+    return [base64.b64encode(rng.bytes(n * 3 // 4)).decode(), letters, re.sub("[aeiou]", " ", letters), rng.bytes(n // 2).hex(), "zzzz" * (n // 4), *[(t * n)[:n] for t in other]]
+
+
+def test_language_rejects_junk_and_keeps_held_out_documents(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
+    model = language_id.fit(table, lambda doc_id: ~language_id.held_out(doc_id))
+    for n in (300, 1000, 4000, 16000):
+        assert all(rejected for _, _, rejected in model.predict(_junk(n))), n
+    clean = [r.text for r in table.filter(language_id.held_out(F.col("doc_id"))).collect() if language_id.has_letter(r.text)]
+    assert len(clean) > 200 and sum(rejected for _, _, rejected in model.predict(clean)) <= 0.01 * len(clean)
+    # One odd training document, or a few in a hundred, do not loosen the floor.
+    odd = spark.createDataFrame([(3 * 10**9 + i, t, "en") for i, t in enumerate(_junk(1000) + _junk(900))], table.schema)
+    model = language_id.fit(table.unionByName(odd))
+    assert all(rejected for t in _junk(4000)[:4] for _, _, rejected in model.predict([t]))
+
+
 def test_toxicity_learns_words_and_survives_gaps(docs, empty, spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(rng.choice(WORDS, 30)) + (" vile scoundrel" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(240)]
