@@ -1,17 +1,17 @@
 """A corpus pipeline: toxicity, language, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the
-columns of ``documents``. Rows without a doc_id are judged by their text, but near-duplicate grouping keeps them all.
+columns of ``documents``. Rows without a doc_id are judged by their text; among near duplicates they come last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id, toxicity
 from tidemark.llm.common import table, written
-from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.near_dedup import first_rows
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.queries import tokenizer_file, tokenizer_pattern
 from tidemark.llm.suffix_dedup import remove_repeats
@@ -33,12 +33,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; of rows that repeat its doc_id, the one with the smallest text."""
-    groups = near_duplicates(docs)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
-    named = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").withColumn("place", place).filter("place = 1")
-    return named.select(*COLUMNS).unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL"))
+    """One row of each group: the smallest doc_id, null last; of rows that repeat it, the least hash of all columns."""
+    # Numbers of rows are written down, since they may change when rows are made again.
+    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"), F.xxhash64(*COLUMNS).alias("digest")))
+    return rows.join(first_rows(rows, "row", "digest"), "row", "left_semi").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,6 +117,23 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, sf_dir):
     assert pieces.select("doc_id").distinct().count() == before
 
 
+def test_near_duplicates_keep_one_row_of_each_group(spark, sf_dir):
+    text = lambda seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, 40))
+    groups = [
+        [(5, text(1)), (9, text(1))],
+        [(5, text(2)), (5, text(2)), (7, text(2))],  # the same id in another group
+        [(6, text(3)), (8, text(3))],
+        [(8, text(4))],  # its id is a copy elsewhere
+        [(None, text(5)), (None, text(5))],
+        [(None, text(6)), (4, text(6))],
+        *[[(77, text(100 + i))] for i in range(50)],  # a hot id with unrelated texts
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for g in groups for i, t in g], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    expected = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups]
+    assert kept.columns == corpus_pipeline.COLUMNS and sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(expected, key=repr)
+
+
 def test_pipeline_on_awkward_rows(spark, tmp_path, sf_dir):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "same words here and there", "en", "a", 1), (4, "same words here and there", "en", "a", 1), (4, "same words here and there", None, "a", 1), (None, "no id at all but words", "en", None, 5)]
     for folder, data in (("some", rows), ("none", [])):

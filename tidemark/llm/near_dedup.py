@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, small_batches
+from tidemark.llm.common import beside, durable, renamed, small_batches
 from tidemark.operators.components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -51,15 +51,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint as a signed 64-bit number, for each row."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the fingerprint as a signed 64-bit number, for each row, and the columns named in ``keep``."""
+    carried, schema = beside(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 8 << 20):
             bits = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits), *batch.columns[2:]], names=["doc_id", "bits", *batch.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FINGERPRINTS)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carried)
+    return renamed(rows.mapInArrow(run, FINGERPRINTS + schema), keep)
 
 
 def bucket_links(nodes: np.ndarray) -> np.ndarray:
@@ -140,6 +142,23 @@ def covering_links(nodes: DataFrame, column: str = "bits") -> DataFrame:
     return placed.repartition("t", "key").sortWithinPartitions("t", "key", "bits").mapInArrow(run, "a long, b long")
 
 
+def named_groups(marked: DataFrame) -> DataFrame:
+    """bits, least (its smallest doc_id) and component of each distinct fingerprint."""
+    nodes = durable(marked.groupBy("bits").agg(F.min("doc_id").alias("least")))
+    groups = connected_components(covering_links(nodes))
+    named = nodes.join(groups, nodes["bits"] == groups["node"], "left").select("bits", "least", F.coalesce("component", "bits").alias("component"))
+    return durable(named)
+
+
+def first_rows(docs: DataFrame, row: str, digest: str) -> DataFrame:
+    """``row``, a number that no two rows share, of one row of each group: the smallest doc_id (null last), then ``digest``."""
+    marked = durable(fingerprints(docs, (row, digest)))
+    named = named_groups(marked).select("bits", "component")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", digest, row)
+    firsts = marked.groupBy("bits").agg(F.min(place).alias("first"))
+    return firsts.join(named, "bits").groupBy("component").agg(F.min("first").alias("first")).select(F.col(f"first.{row}").alias(row))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id of the group) for each row.
 
@@ -148,10 +167,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     row each; an empty table gives none; other columns are left out.
     """
     marked = durable(fingerprints(docs))
-    nodes = durable(marked.groupBy("bits").agg(F.min("doc_id").alias("least")))
-    groups = connected_components(covering_links(nodes))
-    named = nodes.join(groups, nodes["bits"] == groups["node"], "left").select("bits", "least", F.coalesce("component", "bits").alias("component"))
-    named = durable(named)
+    named = named_groups(marked)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     names = named.select("bits", "component").join(least, "component").select("bits", "component_id")
     return marked.join(names, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
