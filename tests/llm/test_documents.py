@@ -280,6 +280,24 @@ def test_language_rejects_junk_and_keeps_held_out_documents(spark):
     assert all(rejected for t in _junk(4000)[:4] for _, _, rejected in model.predict([t]))
 
 
+def test_toxicity_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(WORDS, 12)) + (" vile scoundrel" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)]
+    table, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    models = []
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for partitions in (1, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            models.append(toxicity.fit(table, labels))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    one, many = models
+    assert (one.feature_of >= 0).any() and (one.feature_of == many.feature_of).all() and np.allclose(one.weights, many.weights) and np.isclose(one.bias, many.bias)
+
+
 def test_toxicity_learns_words_and_survives_gaps(docs, empty, spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(rng.choice(WORDS, 30)) + (" vile scoundrel" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(240)]

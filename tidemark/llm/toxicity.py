@@ -96,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=lambda doc_id: F.lit(True
                 seen[label] += flags
                 docs_of[label] += 1
         seen[:, 0] = docs_of  # hash 0 is no n-gram
-        at = np.flatnonzero(seen.sum(axis=0) > 1)
+        at = np.flatnonzero(seen.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[0][at], pa.int64()), pa.array(seen[1][at], pa.int64())], names=["hash", "clean", "toxic"])
 
     counts = sample.select("doc_id", "toxic", "text").mapInArrow(count, "hash long, clean long, toxic long").groupBy("hash").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=lambda doc_id: F.lit(True
     p0, p1 = (F.col("clean") + 0.5) / (n0 + 1.0), (F.col("toxic") + 0.5) / (n1 + 1.0)
     pooled = (F.col("clean") + F.col("toxic") + 1.0) / (n0 + n1 + 2.0)
     chosen = (
-        counts.filter("hash > 0")
+        counts.filter("hash > 0 AND clean + toxic > 1")  # in more than one document of all
         .select("hash", F.log(p1 / p0).alias("ratio"), (F.pow(p1 - p0, 2.0) / (pooled * (F.lit(1.000001) - pooled))).alias("telling"))
         .orderBy(F.desc("telling"), "hash").limit(FEATURES).orderBy("hash").collect()
     )
