@@ -214,6 +214,12 @@ def test_entity_resolution(spark):
     assert [tuple(r) for r in resolve.new_pairs(spark.createDataFrame([("b", "a"), ("c", "d")], "a string, b string"), spark.createDataFrame([("a", "b")], "a string, b string")).collect()] == [("c", "d")]
 
 
+def test_label_gate_takes_the_best_ratio(spark):
+    pairs = [("flood", "flood in region five", True), ("flood in the north", "north flood", True), ("flood", "landslide", False), ("Typhoon Ana", "quake near Typhoon", True), ("Flood!", "flood", True), (None, "flood", None)]
+    frame = spark.createDataFrame([((x,), (y,), e) for x, y, e in pairs], "a struct<label: string>, b struct<label: string>, expected boolean")
+    assert [r.got for r in frame.select(resolve.label_gate().alias("got")).collect()] == [e for *_, e in pairs]
+
+
 def test_classification(spark):
     labels = values(spark, ["Flash flood after rain", "LANDSLIDE in rain", "landslide", "all calm", None], lambda c: classify.rule_labels(c, classify.RULES))
     assert labels == [["FlashFlood", "FloodGeneral"], ["LandslideWet", "LandslideDry"], ["LandslideDry"], [], []]
