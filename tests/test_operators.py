@@ -1,6 +1,7 @@
 """Operators on small tables with nulls and ties; expected values are worked out by hand."""
 
 import datetime as dt
+import random
 import uuid
 from decimal import Decimal
 
@@ -240,6 +241,22 @@ def test_fuzzy_matching(spark):
     assert {r.text: r.code for r in match.match_places(texts, places).collect()} == {"Calamba, Laguna": "C1", "Calamba, Misamis": "C2", "Laguna": "R1", "Nowhere": None}
 
 
+def test_fuzzy_matching_finds_names_with_other_first_letters(spark):
+    names = spark.createDataFrame([("Cagayan", "C", 0), ("Zamboanga", "Z", 1), ("Mindoro", "M", 2), ("Laguna", "L", 3)], "name string, id string, pos int")
+    expected = {"Kagayan": "C", "Samboanga": "Z", "Mindoroan": "M", "aguna": "L", "Palawan": None}  # Mindoroan: 0.875, by edits 0.78
+    asked = spark.createDataFrame([(q,) for q in expected], "query string")
+    for exact in (False, True):
+        assert {r.query: r.id for r in match.match_names(asked, names, exact_ratio=exact).collect()} == expected
+    letters, rng = "abc ", random.Random(5)
+    words = sorted({" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))).split()) for _ in range(60)} - {""})
+    known = spark.createDataFrame([(w, str(i), i) for i, w in enumerate(words[::2])], "name string, id string, pos int")
+    found = match.match_all(spark.createDataFrame([(w,) for w in words], "query string"), known.select("name", "id"), 0.7)
+    brute = {(q, str(i)) for q in words for i, w in enumerate(words[::2]) if similarity.token_sort_ratio(q, w) >= 0.7}
+    assert {(r.query, r.id) for r in found.collect()} == brute
+    places = spark.createDataFrame([("R1", "Zamboanga", None), ("C1", "Cagayan", "R1")], "code string, label string, parent string")
+    assert match.match_places(spark.createDataFrame([("Kagayan, Samboanga",)], "text string"), places).first().code == "C1"
+
+
 def test_inference(spark):
     facts = spark.createDataFrame([("e", "rdf:type", "Major"), ("e", "hasIncident", "i"), ("i", "hasImpact", "n"), ("n", "hasLocation", "c"), ("c", "partOf", "p"), ("p", "partOf", "r"), ("e", "bawStart", "2020")], "s string, p string, o string")
     axioms = inference.Axioms(subclass=[("Major", "Event"), ("Event", "Entity")], inverse=[("hasIncident", "relatedTo")], transitive=["partOf"], equivalent=[("bawStart", "start")], chains=[("hasImpact", "hasLocation", "hasLocation"), ("hasIncident", "hasLocation", "hasLocation")], subproperty=[("hasIncident", "has")])

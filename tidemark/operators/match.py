@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.similarity import best_ratio, levenshtein_ratio, sorted_tokens
+from tidemark.functions.similarity import best_ratio, sort_ratio, sorted_tokens
 from tidemark.functions.strings import folded
 
 
 def match_names(queries: DataFrame, names: DataFrame, least: float = 0.79, exact_ratio: bool = False) -> DataFrame:
     """queries (query) with id and score of the best of ``names`` (name, id, pos); null below ``least``.
 
-    Distinct queries are matched once. Equal folded names score 1. The rest meet only names that share a block: the
-    first letter of some word. The best score wins, then the smallest pos.
+    Distinct queries are matched once. Equal folded names score 1. For the rest the score is the token sort ratio, or
+    with ``exact_ratio`` the largest of the three token ratios, which needs every pair. The best score wins, then the
+    smallest pos.
     """
     asked = queries.select("query").distinct().withColumn("q", folded(F.col("query")))
     known = names.select("id", "pos", folded(F.col("name")).alias("n"))
     first = known.groupBy("n").agg(F.min_by("id", "pos").alias("id"))
     exact = asked.join(first, F.col("q") == F.col("n")).select("query", "id", F.lit(1.0).alias("score"))
     left = asked.join(exact.select("query"), "query", "left_anti")
-    letters = lambda c: F.array_distinct(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, 1)))
-    near = left.withColumn("block", F.explode(letters(F.col("q")))).join(known.withColumn("block", F.explode(letters(F.col("n")))), "block").dropDuplicates(["query", "id", "n"])
-    score = best_ratio(F.col("q"), F.col("n")) if exact_ratio else levenshtein_ratio(sorted_tokens(F.col("q")), sorted_tokens(F.col("n")))
-    scored = near.withColumn("score", score).filter(F.col("score") >= least)
+    scored = left.crossJoin(known).withColumn("score", best_ratio(F.col("q"), F.col("n"))).filter(F.col("score") >= least) if exact_ratio else near_names(left, known, least)
     fuzzy = scored.groupBy("query").agg(F.max_by(F.struct("id", "score"), F.struct(F.col("score"), -F.col("pos"))).alias("b")).select("query", "b.id", "b.score")
     return queries.join(exact.unionByName(fuzzy), "query", "left")
 
@@ -50,9 +48,22 @@ def match_places(texts: DataFrame, places: DataFrame, least: float = 0.85) -> Da
 
 
 def match_all(queries: DataFrame, names: DataFrame, least: float) -> DataFrame:
-    """Every id whose name is at least ``least`` like the query, under the same blocking: query, id, score."""
+    """Every id with a name at least ``least`` like the query, and the score of the best of its names: query, id, score."""
     asked = queries.select("query").distinct().withColumn("q", folded(F.col("query")))
     known = names.select("id", folded(F.col("name")).alias("n"))
-    letters = lambda c: F.array_distinct(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, 1)))
-    near = asked.withColumn("block", F.explode(letters(F.col("q")))).join(known.withColumn("block", F.explode(letters(F.col("n")))), "block").dropDuplicates(["query", "id"])
-    return near.withColumn("score", levenshtein_ratio(sorted_tokens(F.col("q")), sorted_tokens(F.col("n")))).filter(F.col("score") >= least).select("query", "id", "score")
+    return near_names(asked, known, least).groupBy("query", "id").agg(F.max("score").alias("score"))
+
+
+def near_names(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Every pair of a row with q and a row with n whose token sort ratio is ``least`` (above 0) or more, and the ratio as score.
+
+    No such pair is lost: it has 2 * min(lengths) >= ``least`` * sum(lengths), so pairs meet by length; and it differs by at most
+    (1 - ``least``) * sum(lengths) inserted or deleted characters, so by no more edits. The names are the smaller side.
+    """
+    bound = least / (2 - least)
+    size = F.length("t")
+    lengths = F.sequence(F.ceil(size * bound - 1e-6).cast("int"), F.floor(size / bound + 1e-6).cast("int"))
+    names = known.withColumn("t", sorted_tokens(F.col("n"))).filter("t IS NOT NULL").withColumn("block", F.explode(lengths))
+    queries = asked.withColumn("s", sorted_tokens(F.col("q"))).withColumn("block", F.length("s"))
+    met = queries.join(names, "block").filter(F.levenshtein("s", "t") <= (1 - least) * (F.length("s") + F.length("t")) + 1e-6)
+    return met.withColumn("score", sort_ratio(F.col("s"), F.col("t"))).filter(F.col("score") >= least).drop("block", "s", "t")
