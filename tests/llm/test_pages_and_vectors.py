@@ -40,6 +40,13 @@ def test_urls_match_brute_force(spark, monkeypatch, broadcast):
     assert url_filter.judge_urls(pages.limit(0), rules).collect() == []
 
 
+def test_urls_with_another_url_in_the_query(spark):
+    urls = ["https://example.org?u=http://x/es/1", "https://a.com#://b/fr/x", "https://example.org/en/1?u=http://x.com/de/1", "https://example.org", "no scheme", "a" * 20_000 + "://example.org?://x/es/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rules_frame(spark, URL_RULES)).collect()}
+    assert got == {k: _verdict(u) for k, u in enumerate(urls)} and got[0] == ("example.org", "", None, "allow")
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body class="menu">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">A</a></li><li><a>B</a></ul></nav><!-- <p>no</p> --><div class="ad">Buy now, it is really very cheap today.</div>
 <div id="cookie-notice">We use cookies on this page for many good reasons.</div>

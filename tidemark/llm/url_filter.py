@@ -23,8 +23,8 @@ def url_host(url: Column) -> Column:
 
 
 def url_path(url: Column) -> Column:
-    """What stands after the host up to ``? #`` or the end; empty without ``://``."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    """What stands after the host up to ``? #`` or the end; empty without ``://``. The first one counts: no way back past it."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^(?>.*?://)[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
