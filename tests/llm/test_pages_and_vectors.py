@@ -47,6 +47,13 @@ def test_urls_with_another_url_in_the_query(spark):
     assert got == {k: _verdict(u) for k, u in enumerate(urls)} and got[0] == ("example.org", "", None, "allow")
 
 
+def test_rules_of_many_path_lengths_all_count(spark):
+    rules = spark.range(1, 5001).selectExpr("'a.org' AS host", "concat('/', repeat('x', int(id) - 1)) AS path", "'block' AS verdict")
+    urls = [(n, "http://a.org/" + "x" * (n - 1)) for n in (1, 700, *range(4950, 5001, 5), 5100)]
+    got = {r.page_id: len(r.rule) - len("a.org") for r in url_filter.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    assert got == {n: min(n, 5000) for n, _ in urls}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body class="menu">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">A</a></li><li><a>B</a></ul></nav><!-- <p>no</p> --><div class="ad">Buy now, it is really very cheap today.</div>
 <div id="cookie-notice">We use cookies on this page for many good reasons.</div>

@@ -15,6 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHORT = 8
 #: Rules up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 100_000
+#: With more different lengths of rule paths than this, URL paths are cut at every length up to the longest.
+LENGTHS = 4096
 
 
 def url_host(url: Column) -> Column:
@@ -49,7 +51,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         )
     )
     # The lengths that rule paths have bound the expansion; a URL is only cut where some rule could end.
-    lengths = sorted(r[0] for r in known.select("path_length").distinct().limit(4096).collect())
+    lengths = sorted(r[0] for r in known.select("path_length").distinct().limit(LENGTHS + 1).collect())
+    longest = known.agg(F.max("path_length")).first()[0] if len(lengths) > LENGTHS else 0
     few = len(known.select("rule").limit(BROADCAST_RULES + 1).collect()) <= BROADCAST_RULES
     known = F.broadcast(known.drop("path_length")) if few else known.drop("path_length")
 
@@ -59,7 +62,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     )
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    cuts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
+    if longest:
+        cuts = F.sequence(F.lit(0), F.least(F.length("path"), F.lit(longest)))
+    else:
+        cuts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
     prefixes = F.transform(cuts, lambda n: F.substr(F.col("path"), F.lit(1), n))
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: digest(s, p))))
     candidates = (
