@@ -76,6 +76,14 @@ def test_main_text_of_pages(spark):
     assert len(rows) == 3 and all(r.n_chars == len(r.text) for r in rows) and html_text.extract_pages(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("tag", ["button", "object", "canvas", "svg", "noscript", "select", "template"])
+def test_unclosed_elements_do_not_swallow_the_page(tag):
+    article = "<article><p>The article stands here in full, whatever comes before it.</p></article>"
+    assert html_text.main_text(f"<{tag}>{article}") == html_text.main_text(article) != ""
+    assert html_text.main_text(f"<div><{tag}>gone</{tag}></div>{article}") == html_text.main_text(article)
+    assert html_text.main_text(f"<script>{article}") == ""
+
+
 def test_tree_fits_its_table():
     labels = html_text._LABELLED[:, -1].astype(bool)
     assert (html_text.default_tree().predict(html_text._LABELLED[:, :-1]) == labels).all()

@@ -26,6 +26,8 @@ _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+
 
 #: Elements whose content is never text of the page.
 _RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "noembed", "noframes", "xmp", "template", "svg", "select", "button", "object", "canvas"}
+#: Of these, HTML reads all that follows as text; any other of ``_RAW`` without an end tag is one tag and nothing more.
+_RAW_TEXT = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd",
     "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
@@ -80,6 +82,7 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int]]:
     text: list[str] = []
     links: list[str] = []
     in_link = False
+    unended: set[str] = set()
     at, n = 0, len(html)
 
     def close_block() -> None:
@@ -108,8 +111,13 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int]]:
             if tag not in ("title", "textarea", "button", "select"):
                 text.append(" ") if text else None
             if not closing and not token[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-                at = end.end() if end else n
+                end = None if tag in unended else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+                if end:
+                    at = end.end()
+                elif tag in _RAW_TEXT:
+                    at = n
+                else:
+                    unended.add(tag)  # nor has a later one an end
             continue
         if tag in _INLINE:
             if tag == "a":
