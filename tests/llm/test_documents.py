@@ -161,6 +161,15 @@ def test_repeats_match_brute_force(docs, empty):
     assert any(r[2] for r in expected) and suffix_dedup.remove_repeats(empty).collect() == []
 
 
+def test_remaining_characters_are_whole_and_marks_of_the_input_stay(spark):
+    passage = "d\u00e9j\u00e0 vu \u2014 every copy of this passage is repeated word for word \u20ac"
+    rows = [(1, "\u00e9" + passage + "\u00e9"), (2, "caf\ufffd kept? \u00e8" + passage + "\u00e8 \ufffd tail"), (3, "\ufffd alone")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: bytes(r.remaining).decode() for r in suffix_dedup.remove_repeats(frame, whole_characters=True).collect()}
+    # The bytes of e-acute and e-grave begin alike, so the repeat ends within a character; what is left of it goes too.
+    assert got == {1: rows[0][1], 2: "caf\ufffd kept? \u00e8 \ufffd tail", 3: "\ufffd alone"}
+
+
 def test_large_anchor_groups_fall_back_to_offsets(monkeypatch):
     rng = np.random.default_rng(2)
     n = 60

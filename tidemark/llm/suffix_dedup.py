@@ -211,7 +211,7 @@ class Group:
         np.subtract.at(depth, np.concatenate(end), 1)
         return np.cumsum(depth[:-1], dtype=np.int32) > 0
 
-    def result(self) -> pa.Table:
+    def result(self, whole_characters: bool = False) -> pa.Table:
         gone = self.covered()
         rises = gone.copy()
         rises[1:] &= ~gone[:-1]
@@ -220,13 +220,27 @@ class Group:
         total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[self.starts])
         removed, spans = total(gone), total(rises)
         raw = self.data
-        kept = [raw[i:j][~gone[i:j]].tobytes() if n else raw[i:j].tobytes() for i, j, n in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), removed.tolist(), strict=True)]
+        parts = list(zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), removed.tolist(), strict=True))
+        kept = [raw[i:j][~gone[i:j]].tobytes() if n else raw[i:j].tobytes() for i, j, n in parts]
+        remaining = kept
+        if whole_characters:
+            cut = touched_characters(raw, gone)
+            remaining = [raw[i:j][~cut[i:j]].tobytes() if n else k for (i, j, n), k in zip(parts, kept, strict=True)]
         return pa.table({
             "doc_id": self.docs["doc_id"], "n_bytes": pa.array(np.diff(self.starts)), "n_removed": pa.array(removed), "n_spans": pa.array(spans),
-            "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "remaining": pa.array(kept, pa.binary()),
+            "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "remaining": pa.array(remaining, pa.binary()),
         } | {c: self.docs[c] for c in self.docs.column_names if c.startswith("carried_")})
 
 
+def touched_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to a code point that has a byte in ``gone``; texts stand one after another in ``data``."""
+    if not len(data):
+        return gone
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    first = first if len(first) and first[0] == 0 else np.concatenate([[0], first])
+    return np.repeat(np.logical_or.reduceat(gone, first), np.diff(np.concatenate([first, [len(data)]])))
+
+
 def repeated_windows(content: np.ndarray, left: np.ndarray, right: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """For each surroundings, bit o is set if the 50 bytes from its o-th byte on are in one with a smaller doc_id.
 
@@ -293,10 +307,11 @@ def group_bytes(volume: int) -> int:
     return min(MOST_GROUP_BYTES, max(GROUP_BYTES, math.isqrt(volume * 4096)))
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining bytes of every row, and the columns in ``keep``.
 
-    Texts are UTF-8 bytes (null: empty); matches never cross documents, and strings are judged on the input. Rows with
+    With ``whole_characters`` the remaining bytes are those of whole code points: one that lost a byte goes as a whole,
+    and nothing else does. The other columns count bytes as they are. Texts are UTF-8 bytes (null: empty); matches never cross documents, and strings are judged on the input. Rows with
     a null doc_id count as larger than all others; rows that share a doc_id are not smaller than one another. Texts
     under 50 bytes lose nothing; an empty table gives no row; other columns are left out.
     """
@@ -365,7 +380,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         return _sent(out, "g kind bucket value", told_kinds)
 
     def final(key, left, right):
-        return Group(left, right, buckets).result()
+        return Group(left, right, buckets).result(whole_characters)
 
     again = by_group.applyInArrow(first, to_bucket).groupBy("bucket").applyInArrow(which_again, to_group)
     least = by_group.cogroup(again.groupBy("g")).applyInArrow(sending("class_hashes"), to_bucket).groupBy("bucket").applyInArrow(least_of_class, to_group)
