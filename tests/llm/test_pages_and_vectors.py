@@ -98,12 +98,12 @@ def _vectors():
 
 
 def _top(rows, k=10):
-    clean = sorted({(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)})
+    clean = sorted((i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(1024 * x) for x in v))
     whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in clean]
     out = []
     for q, (i, v) in enumerate(whole):
         if i % 100 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for c, (j, w) in enumerate(whole) if c != q and len(w) == len(v))
+            scored = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=True)), -(1 << 63)), (1 << 63) - 1), j) for c, (j, w) in enumerate(whole) if c != q and len(w) == len(v))
             out += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -122,6 +122,29 @@ def test_top_k_of_little(spark):
     assert topk_search.top_k(frame.limit(0)).collect() == [] and topk_search.top_k(frame.filter("vec_id < 100")).collect() == []
 
 
+def test_top_k_counts_repeated_rows_and_large_components(spark):
+    v, big = [1.0, 2.0], [1e12, -3.0]
+    rows = [(100, v), (100, v), (1, v), (1, v), (2, [1e306, 0.0]), (3, big), (4, [1e8, 7.0]), (200, [1e8, -1.0]), (300, big)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk_search.top_k(frame).collect())) == _top(rows)
+    four = spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in topk_search.top_k(four).collect()) == sorted([(100, 1, 1), (100, 2, 1), (100, 3, 100)] * 2)
+
+
+def test_clustered_vectors_meet_few_leaves():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16)) * 4000
+    points = np.floor(np.repeat(centres, 100, axis=0) + rng.normal(size=(4000, 16)) * 40)
+    ids = np.arange(4000)
+    tree = topk_search.BallTree(ids, ids, np.ones(4000, np.int64), points)
+    got = tree.search(ids[:200], ids[:200], points[:200], [topk_search.LEAST] * 200, 10)
+    exact = points[:200] @ points.T
+    exact[np.arange(200), np.arange(200)] = -np.inf
+    for found, row in zip(got, exact, strict=True):
+        assert found == [(int(row[i]), int(i)) for i in np.lexsort((ids, -row))[:10]]
+    assert tree.leaves_met < 0.2 * 200 * sum(c < 0 for c in tree.left)
+
+
 def test_queries_and_oracles_are_registered():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(ORACLES) <= set(QUERIES)
 
