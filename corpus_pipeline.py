@@ -41,9 +41,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the passages that start in an earlier one; code points cut in two go as well."""
-    left = remove_repeats(docs, ("lang", "source"))
-    text = F.try_validate_utf8(F.decode("remaining", F.lit("UTF-8"))) if False else F.make_valid_utf8(F.col("remaining").cast("string"))
-    text = F.when(F.col("n_removed") > 0, F.replace(text, F.lit("�"), F.lit(""))).otherwise(text)
+    left = remove_repeats(docs, ("lang", "source"), whole_characters=True)
+    text = F.col("remaining").cast("string")
     return left.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
