@@ -192,18 +192,25 @@ def test_packing_covers_all_tokens_without_padding(docs, empty):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    pieces = packing.pack_documents(docs.filter("doc_id IS NOT NULL AND doc_id NOT IN (4, 18)"), tokenizer_file("byte_bpe_50k.json").decode(), tokenizer_pattern()).collect()
-    texts = {i: t or "" for i, t in _texts() if i is not None and i not in (4, 18)}
-    by_doc, by_sequence = {}, {}
+    pieces = packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json").decode(), tokenizer_pattern()).collect()
+    by_doc, by_sequence, expected = {}, {}, {}
     for p in pieces:
         by_doc.setdefault(p.doc_id, []).append(p)
         by_sequence.setdefault(p.sequence_id, []).append(p)
-    assert set(by_doc) == set(texts)
+    for i, t in _texts():  # rows that repeat a doc_id are packed each
+        expected.setdefault(i, []).append(np.array(reference.encode(t or "", add_special_tokens=False).ids + [1], dtype="<u4"))
+    assert set(by_doc) == set(expected)
     for i, own in by_doc.items():
-        ids = np.array(reference.encode(texts[i], add_special_tokens=False).ids + [1], dtype="<u4")
-        own.sort(key=lambda p: p.start)
-        assert [p.start for p in own] == np.cumsum([0] + [p.length for p in own[:-1]]).tolist() and sum(p.length for p in own) == len(ids) == own[0].doc_tokens
-        assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in own)
+        lengths = sorted(len(ids) for ids in expected[i])
+        assert sum(p.length for p in own) == sum(lengths) and {p.doc_tokens for p in own} == set(lengths)
+        for p in own:
+            assert any(len(ids) == p.doc_tokens and zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for ids in expected[i])
+        for n in set(lengths):  # every token of each row lies in exactly one piece
+            times = np.zeros(n, dtype=int)
+            for p in own:
+                if p.doc_tokens == n:
+                    times[p.start : p.start + p.length] += 1
+            assert (times == lengths.count(n)).all()
     for own in by_sequence.values():
         own.sort(key=lambda p: p.offset)
         assert [p.offset for p in own] == np.cumsum([0] + [p.length for p in own[:-1]]).tolist()
@@ -221,6 +228,47 @@ def test_sum_of_squares_prefers_the_level_with_the_least_change():
     assert sum(r[2] for r in packer.rows) == 16
 
 
+def _change(counts, size, n, level, cut):
+    """The sum of squares after the choice, by counting windows one by one."""
+    windows = [h for h, c in enumerate(counts) for _ in range(c)]
+    if level:
+        windows.remove(level)
+    total = level + n
+    windows += [total] if total <= size else [size, total - size]
+    return sum(windows.count(h) ** 2 for h in range(1, size))
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_levels_have_the_least_sum_of_squares_in_any_state(cut):
+    rng = np.random.default_rng(12)
+    for _ in range(600):
+        size = int(rng.integers(2, 14))
+        packer = packing.SumOfSquares(size, 0)
+        packer.counts[1:size] = rng.integers(0, 4, size - 1) * (rng.random(size - 1) < 0.6)
+        packer.open = int(packer.counts.sum())
+        n = int(rng.integers(1, size))
+        choices = [h for h in range(1, size) if packer.counts[h] and (cut or h + n <= size)] + ([0] if not cut or not packer.open else [])
+        sums = {h: _change(packer.counts.tolist(), size, n, h, cut) for h in choices}
+        level = packer.best_level(n, cut)
+        assert level in choices and sums[level] == min(sums.values()), (size, packer.counts, n, sums, level)
+
+
+def test_packing_closes_windows_by_the_rule(monkeypatch):
+    monkeypatch.setattr(packing, "OPEN_WINDOWS", 3)
+    packer = packing.SumOfSquares(64, 0)
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(33, 63, 200).tolist()  # no two fit into one window
+    for doc, n in enumerate(lengths):
+        packer.add(doc, np.arange(n, dtype=np.uint32))
+        assert packer.open <= 3
+    packer.finish()
+    sizes = {}
+    for doc, start, length, _, total, sequence, offset in packer.rows:
+        assert offset == sizes.get(sequence, 0)
+        sizes[sequence] = offset + length
+    assert sum(sizes.values()) == sum(lengths) and all(n == 64 or n & (n - 1) == 0 for n in sizes.values()) and sum(n < 64 for n in sizes.values()) <= 6
+
+
 def test_token_encoder_equals_the_tokenizers_library():
     from tokenizers import Tokenizer
 

@@ -2,9 +2,10 @@
 
 Each task packs the documents of its own input split, so nothing is shuffled and a lost task is simply run again. Whole
 windows are cut off a document first; the rest goes to the fill level that leaves the smallest sum of squared counts
-of partially filled windows. A level array holds those counts. What is still open at the end of a task (or when too
-many windows are open) is cut into full windows, and the last tokens into windows of power-of-two lengths, which need
-no padding.
+of partially filled windows. A level array holds those counts. What is still open at the end of a task is closed by the
+same rule: the content of the emptiest window is one more piece, which may be cut, and goes where the sum of squares
+becomes smallest; the last window is cut into windows of power-of-two lengths, so nothing is padded. A task holds no
+more than ``OPEN_WINDOWS`` open windows; beyond that it closes one in the same way and packs on.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import small_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Most windows that a task holds open; then they are cut into full ones.
+#: Most windows that a task holds open, some 32 MB of ids; beyond that one is closed by the rule itself.
 OPEN_WINDOWS = 4096
 #: Tokens that may follow a document's ids.
 END_OF_DOCUMENT = 1
@@ -76,50 +77,85 @@ class SumOfSquares:
             self._place((doc, whole, ids[whole:].copy(), len(ids)))
 
     def _place(self, piece: tuple) -> None:
-        n, counts, size = len(piece[2]), self.counts, self.size
-        best, level = 2 * int(counts[n]) + 1, 0
-        if self.open:
-            # The change of the sum of squares if the piece goes into a window at level h; a full window leaves the count.
-            change = 2 - 2 * counts[1 : size - n + 1]
-            change = change + 2 * counts[1 + n : size + 1]
-            change[-1] = 1 - 2 * counts[size - n]
-            change[counts[1 : size - n + 1] == 0] = np.iinfo(np.int64).max
-            h = len(change) - 1 - int(np.argmin(change[::-1]))  # of equal changes, the fullest window
-            if change[h] <= best:
-                level = h + 1
-        if level:
-            pieces = self.windows[level].pop()
-            counts[level] -= 1
-            self.open -= 1
-        else:
-            pieces = []
-        pieces.append(piece)
-        if level + n == size:
-            self._close(pieces)
+        level = self.best_level(len(piece[2]))
+        self._put(level, [piece], len(piece[2]))
+        while self.open > OPEN_WINDOWS:
+            self.close_one()
+
+    def best_level(self, n: int, cut: bool = False) -> int:
+        """The level (0: an empty window) of the window that ``n`` tokens go to for the least sum of squared counts.
+
+        A window that becomes full leaves the counts. With ``cut`` the tokens may be cut to fill a window, and what is
+        left makes one at its own level; an empty window is then no choice. Of equal ones, the fullest window.
+        """
+        counts, size = self.counts, self.size
+        levels = np.flatnonzero(counts)
+        levels = levels if cut else levels[levels <= size - n]
+        if not len(levels):
+            return 0
+        total = levels + n
+        # One window fewer at its level, and one more at the new level, unless that is 0 or full.
+        change = 1 - 2 * counts[levels]
+        after = np.where(total > size, total - size, total)
+        grows = (total != size) & (after > 0)
+        gain = 2 * counts[after] + 1
+        gain -= 2 * (after == levels)  # the window leaves that level before the other one comes
+        change = change + np.where(grows, gain, 0)
+        best = len(change) - 1 - int(np.argmin(change[::-1]))
+        return int(levels[best]) if cut or change[best] <= 2 * int(counts[n]) + 1 else 0
+
+    def _take(self, level: int) -> list[tuple]:
+        self.counts[level] -= 1
+        self.open -= 1
+        return self.windows[level].pop()
+
+    def _put(self, level: int, pieces: list[tuple], n: int) -> None:
+        """Adds ``n`` tokens to a window at ``level``, or to an empty one; they must fit."""
+        whole = (self._take(level) if level else []) + pieces
+        if level + n == self.size:
+            self._close(whole)
             return
-        self.windows[level + n].append(pieces)
-        counts[level + n] += 1
+        self.windows[level + n].append(whole)
+        self.counts[level + n] += 1
         self.open += 1
-        if self.open > OPEN_WINDOWS:
-            self.finish()
+
+    def close_one(self) -> None:
+        """The content of the emptiest window goes, cut if need be, to the window that the rule chooses; then one fewer is open."""
+        donor = int(np.flatnonzero(self.counts)[0])
+        pieces = self._take(donor)
+        level = self.best_level(donor, cut=True)
+        room = self.size - level
+        if donor <= room:
+            self._put(level, pieces, donor)
+            return
+        head, tail = split_pieces(pieces, room)
+        self._put(level, head, room)
+        self._put(0, tail, donor - room)
 
     def finish(self) -> None:
-        """Cuts all open windows into full ones, and what is left into windows of power-of-two lengths."""
-        rest = [piece for level in self.windows[::-1] for pieces in level for piece in pieces]
-        left = sum(len(p[2]) for p in rest)
-        self._clear()
-        lengths = [self.size] * (left // self.size) + [1 << b for b in range(62, -1, -1) if left % self.size >> b & 1]
-        k, used = 0, 0
-        for length in lengths:
-            pieces = []
-            while length:
-                doc, start, ids, total = rest[k]
-                n = min(length, len(ids) - used)
-                pieces.append((doc, start + used, ids[used : used + n], total))
-                used, length = used + n, length - n
-                if used == len(ids):
-                    k, used = k + 1, 0
-            self._close(pieces)
+        """Closes all open windows; the last one is cut into windows of power-of-two lengths."""
+        while self.open > 1:
+            self.close_one()
+        if self.open:
+            left = int(np.flatnonzero(self.counts)[0])
+            pieces = self._take(left)
+            for b in range(62, -1, -1):
+                if left >> b & 1:
+                    head, pieces = split_pieces(pieces, 1 << b)
+                    self._close(head)
+
+
+def split_pieces(pieces: list[tuple], n: int) -> tuple[list[tuple], list[tuple]]:
+    """The first ``n`` tokens of pieces, and the rest."""
+    head, tail = [], []
+    for doc, start, ids, total in pieces:
+        k = min(n, len(ids))
+        n -= k
+        if k:
+            head.append((doc, start, ids[:k], total))
+        if k < len(ids):
+            tail.append((doc, start + k, ids[k:], total))
+    return head, tail
 
 
 def pack_documents(docs: DataFrame, tokenizer_json: str, pattern: str, size: int = 2048) -> DataFrame:
