@@ -132,12 +132,50 @@ def test_near_duplicates_match_brute_force(docs, empty):
     assert near_dedup.near_duplicates(empty).collect() == []
 
 
-def test_bucket_links_in_blocks_and_by_probing(monkeypatch):
+def _classes(values):
+    """The smallest position that steps of three bits or fewer lead to, for each value, by brute force."""
+    root = list(range(len(values)))
+    near = [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 3]
+    moved = True
+    while moved:
+        moved = False
+        for i, j in near:
+            if root[i] != root[j]:
+                root[i] = root[j] = min(root[i], root[j])
+                moved = True
+    return root
+
+
+def test_bucket_links_match_brute_force(monkeypatch):
     rng = np.random.default_rng(1)
-    nodes = np.unique(rng.integers(0, 1 << 14, 300).astype(np.uint64))
-    in_blocks = near_dedup.bucket_links(nodes)
-    monkeypatch.setattr(near_dedup, "BLOCKWISE", 10)
-    assert (near_dedup.bucket_links(nodes) == in_blocks).all()
+    for bits, n in ((14, 120), (20, 150), (30, 60)):
+        nodes = np.unique(rng.integers(0, 1 << bits, n).astype(np.uint64))
+        for pairs in (1 << 22, 64):
+            monkeypatch.setattr(near_dedup, "BLOCK_PAIRS", pairs)
+            assert near_dedup.bucket_links(nodes).tolist() == _classes(nodes.tolist())
+
+
+@pytest.mark.parametrize("crowded", [8192, 4])
+def test_covering_links_of_crowded_buckets(spark, monkeypatch, crowded):
+    monkeypatch.setattr(near_dedup, "CROWDED", crowded)
+    rng = np.random.default_rng(5)
+    values = set()
+    for _ in range(6):  # families that share most of their tables' keys
+        centre = int(rng.integers(0, 1 << 62))
+        for _ in range(40):
+            value = centre
+            for bit in rng.choice(64, int(rng.integers(0, 6)), replace=False):
+                value ^= 1 << int(bit)
+            values.add(value)
+    ordered = sorted(values)
+    frame = spark.createDataFrame([(_signed(v),) for v in ordered], "bits long")
+    named = {r.node & (2**64 - 1): r.component & (2**64 - 1) for r in near_dedup.connected_components(near_dedup.covering_links(frame)).collect()}
+    classes = {}
+    for v, root in zip(ordered, _classes(ordered), strict=True):
+        classes.setdefault(root, []).append(v)
+    for own in classes.values():
+        assert len({named.get(v, v) for v in own}) == 1
+    assert len({named.get(v, v) for v in ordered}) == len(classes) < len(ordered)
 
 
 def test_repeats_match_brute_force(docs, empty):

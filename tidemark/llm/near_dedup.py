@@ -3,8 +3,10 @@
 A fingerprint has a bit set if more than half of the hashes of a text's word shingles have it. Bits are given random
 vectors of ``RADIUS + 1`` bits; each non-zero vector v makes a mask of the bits whose vectors have an odd product with
 v. For any two fingerprints at most ``RADIUS`` bits apart, some mask leaves out all differing bits, so both meet in the
-bucket of that mask's table. Equal fingerprints are one node from the start. A bucket is read in order of its key and
-yields no more links than it has nodes; groups are the connected components of all links.
+bucket of that mask's table. Equal fingerprints are one node from the start. The nodes of a bucket with more than
+``CROWDED`` of them are dealt again, by a second set of masks over the bits that the first mask leaves open; at most 18 bits
+are then left, so no bucket can hold more than 2 ** 18 nodes, whatever the input. A bucket is read in order of its
+key and yields no more links than it has nodes; groups are the connected components of all links.
 """
 
 from __future__ import annotations
@@ -21,16 +23,18 @@ from tidemark.operators.components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 FINGERPRINTS = "doc_id long, bits long"
-#: Up to this many nodes a bucket is compared in blocks; a larger one probes the neighbours of each node instead.
-BLOCKWISE = 200_000
-#: Bits of a node, drawn once; every run uses the same tables.
-_VECTORS = np.random.default_rng(20240229).permutation(np.tile(np.arange(1, 2 ** (RADIUS + 1)), 5))[:64]
+#: Nodes from which on a bucket is dealt again.
+CROWDED = 8192
+#: Nodes whose pairs are looked at together, at most.
+BLOCK_PAIRS = 1 << 22
+#: Vectors of the bits, drawn once for either set of masks; every run uses the same tables.
+_VECTORS = [np.random.default_rng(seed).permutation(np.tile(np.arange(1, 2 ** (RADIUS + 1)), 5))[:64] for seed in (20240229, 55)]
 
 
-def masks() -> list[int]:
-    """The 64-bit masks of the covering tables."""
+def masks(which: int = 0) -> list[int]:
+    """The 64-bit masks of the covering tables, of the first or the second set."""
     odd = lambda a: bin(a).count("1") & 1
-    return [sum(1 << i for i, m in enumerate(_VECTORS.tolist()) if odd(m & v)) for v in range(1, 2 ** (RADIUS + 1))]
+    return [sum(1 << i for i, m in enumerate(_VECTORS[which].tolist()) if odd(m & v)) for v in range(1, 2 ** (RADIUS + 1))]
 
 
 def fingerprint(text: str | None) -> int:
@@ -68,55 +72,41 @@ def bucket_links(nodes: np.ndarray) -> np.ndarray:
     """For each node of a bucket, the smallest position in the bucket that short steps of ``RADIUS`` bits or fewer lead to."""
     n = len(nodes)
     root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def unite(a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = find(x), find(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-
-    if n <= BLOCKWISE:
-        rows = max(1, (1 << 20) // n)
-        for i in range(0, n, rows):
-            near = np.bitwise_count(nodes[i : i + rows, None] ^ nodes[None, i:]) <= RADIUS
-            a, b = np.nonzero(near)
-            later = b > a
-            unite(a[later] + i, b[later] + i)
-    else:
-        order = np.argsort(nodes)
-        ranked = nodes[order]
-        varying = [1 << i for i in range(64) if int(np.bitwise_or.reduce(nodes ^ nodes[0])) >> i & 1]
-        flips = [0]
-        for _ in range(RADIUS):
-            flips = sorted({f ^ v for f in flips for v in (0, *varying)})
-        for flip in flips[1:]:
-            wanted = ranked ^ np.uint64(flip)
-            at = np.minimum(np.searchsorted(ranked, wanted), n - 1)
-            a = np.flatnonzero((ranked[at] == wanted) & (at > np.arange(n)))
-            unite(order[a], order[at[a]])
-    return np.array([find(i) for i in range(n)])
+    rows = max(1, BLOCK_PAIRS // n)
+    for i in range(0, n, rows):
+        a, b = np.nonzero(np.bitwise_count(nodes[i : i + rows, None] ^ nodes[None, i:]) <= RADIUS)
+        later = b > a
+        a, b = a[later] + i, b[later] + i
+        while len(a):  # hooks the larger root of each pair onto the smaller one until all pairs agree
+            x, y = root[a], root[b]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+    return root
 
 
 def covering_links(nodes: DataFrame, column: str = "bits") -> DataFrame:
     """Links (a, b), a > b, whose components are those of all pairs of distinct ``column`` values within ``RADIUS`` bits."""
-    table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(column).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for t, m in enumerate(masks())]))
-    placed = nodes.select(F.col(column).alias("bits"), table.alias("at")).select("at.t", "at.key", "bits")
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = lambda which, shift: F.array(*[F.struct(F.lit(t + shift).alias("t"), F.col("bits").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks(which))])
+    dealt = nodes.select(F.col(column).alias("bits"), F.explode(keys(0, 0)).alias("at")).select("at.t", "at.key", "bits")
+    sizes = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"))
+    # Few buckets are crowded, and none if fingerprints are spread; adaptive execution broadcasts them if they are few.
+    crowded = durable(sizes.filter(F.col("n") > CROWDED).select("t", "key", F.lit(True).alias("crowded")))
+    again = F.when(F.col("crowded"), keys(1, 1)).otherwise(F.array(F.struct(F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"))))
+    placed = dealt.join(crowded, ["t", "key"], "left").select("t", "key", "bits", F.explode(again).alias("again")).select("t", "key", F.col("again.t").alias("u"), F.col("again.key").alias("within"), "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # the rows of the bucket that the last batch ended in
 
         def links(rows: np.ndarray) -> pa.RecordBatch:
-            edges = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)) + 1
+            edges = np.flatnonzero((np.diff(rows[:, :4], axis=0) != 0).any(axis=1)) + 1
             out = [np.zeros((0, 2), np.int64)]
             bounds = np.concatenate([[0], edges, [len(rows)]])
             for i in np.flatnonzero(np.diff(bounds) > 1):
-                own = rows[bounds[i] : bounds[i + 1], 2]
+                own = rows[bounds[i] : bounds[i + 1], 4]
                 root = bucket_links(own.view(np.uint64))
                 moved = np.flatnonzero(root != np.arange(len(own)))
                 out.append(np.column_stack([own[moved], own[root[moved]]]))
@@ -124,22 +114,23 @@ def covering_links(nodes: DataFrame, column: str = "bits") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1, initial=np.iinfo(np.int64).min)), pa.array(pairs.min(axis=1, initial=np.iinfo(np.int64).max))], names=["a", "b"])
 
         for batch in batches:
-            rows = np.column_stack([np.asarray(batch.column(0)).astype(np.int64), np.asarray(batch.column(1)), np.asarray(batch.column(2))])
+            rows = np.column_stack([np.asarray(c).astype(np.int64) for c in batch.columns])
             if not len(rows):
                 continue
-            last = (rows[:, :2] == rows[-1, :2]).all(axis=1)
+            last = (rows[:, :4] == rows[-1, :4]).all(axis=1)
             cut = len(rows) - int(last[::-1].argmin()) if not last.all() else 0
             if cut:
                 yield links(np.concatenate([*held, rows[:cut]]))
                 held = []
-            elif held and (held[-1][-1, :2] != rows[0, :2]).any():
+            elif held and (held[-1][-1, :4] != rows[0, :4]).any():
                 yield links(np.concatenate(held))
                 held = []
             held.append(rows[cut:])
         if held:
             yield links(np.concatenate(held))
 
-    return placed.repartition("t", "key").sortWithinPartitions("t", "key", "bits").mapInArrow(run, "a long, b long")
+    place = ["t", "key", "u", "within"]
+    return placed.repartition(*place).sortWithinPartitions(*place, "bits").mapInArrow(run, "a long, b long")
 
 
 def named_groups(marked: DataFrame) -> DataFrame:
