@@ -90,7 +90,27 @@ def test_fingerprints_of_nothing(empty, spark):
     assert one[0].edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and one[0].near_next == 1.0
 
 
-def test_block_tables_find_all_near_fingerprints(spark):
+def test_hot_ids_and_seams_match_plain_fingerprints(spark, monkeypatch):
+    """Rows of one doc_id over several tasks give the same result, and so do texts that are cut at any place of a word."""
+    rng = np.random.default_rng(11)
+    rows = [(7, " ".join(rng.choice(WORDS, int(rng.integers(1, 9))))) for _ in range(60)] + [(None, "hot"), (None, "hot")] * 9
+    rows += [(i, t) for i, t in enumerate(["", " ", "a", " a", "a ", "ab cd", "ab  cd\tef", "abc", " x y z ", "ΑΣ ΒΣ ΓΣ", "İx İy İz", "\u00a0one two", "one two three four five six "], 100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plain = sorted(map(tuple, fingerprints.compare_documents(frame).collect()), key=repr)
+    monkeypatch.setattr(fingerprints, "HOT_ROWS", 5)
+    assert sorted(map(tuple, fingerprints.compare_documents(frame).collect()), key=repr) == plain and len(plain) == len(rows)
+    texts = spark.createDataFrame([(i, t, cut, s) for i, (_, t) in enumerate(rows) for cut in range(0, len(t) + 1, 3) for s in ("", "new", " new words")], "id int, text string, cut int, start string").withColumn("row", F.monotonically_increasing_id())
+    texts = spark.createDataFrame(texts.collect(), texts.schema)
+    whole = texts.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("cut")), F.col("start")))
+    got = {r.row: (r.bits, r.edited_bits) for r in fingerprints.fingerprint_pairs(texts, ["row"], []).collect()}
+    own = {r.row: r.bits for r in fingerprints.fingerprints(whole, ["row"]).collect()}
+    edited = {r.row: r.bits for r in fingerprints.fingerprints(whole, ["row"], "edited").collect()}
+    assert got == {k: (own[k], edited[k]) for k in own}
+
+
+@pytest.mark.parametrize("crowded", [4096, 3])
+def test_block_tables_find_all_near_fingerprints(spark, monkeypatch, crowded):
+    monkeypatch.setattr(fingerprints, "CROWDED", crowded)
     rng = np.random.default_rng(8)
     base = rng.integers(-(2**63), 2**63, 40)
     values = {int(x) for x in base}
