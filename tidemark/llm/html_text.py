@@ -1,8 +1,10 @@
 """Main text of HTML pages from flat text blocks.
 
-A page becomes a flat list of blocks with word count, link density and what the enclosing elements say (boilerplate such
-as ``nav`` or ``class="ad"``; main content such as ``article``). A decision tree over a block and its two neighbours,
-trained on the small labelled table below, keeps or drops it.
+A page becomes a flat list of blocks with word count and link density. Elements such as ``div`` or ``article`` cut the
+list into containers, of which only the counts are used. A decision tree over the counts and densities of a block, its
+two neighbours and its container, trained on the small labelled table below, decides what is main text; it knows no
+names of elements or classes. Such names can only take a block away: what stands in an element that by its name is a
+menu, a header, a footer, an advert, a form or reader comments is no text of the article, whatever its counts.
 """
 
 from __future__ import annotations
@@ -32,56 +34,110 @@ _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd",
     "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-_CONTAINERS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "article", "main", "section", "div", "ul", "ol", "table", "body"}
+#: Elements that cut the list of blocks.
+_CONTAINERS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "article", "main", "section", "div", "table", "body"}
 _BOILER_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 _BOILER_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
     "header", "masthead", "footer", "cookie", "cookies", "consent", "notice", "banner", "alert", "popup", "modal", "comment", "comments", "replies", "related",
     "recommended", "share", "sharing", "social", "subscribe", "newsletter", "signup", "login", "search", "form", "toolbar", "pagination", "contentinfo", "complementary",
 }
+#: Elements and names of articles; of their own parts, these names take nothing away.
 _MAIN_TAGS, _MAIN_NAMES = {"article", "main"}, {"article", "main", "content", "post", "entry", "story"}
+_PARTS = {"header", "banner", "notice", "alert", "form", "search"}
 
-#: Labelled blocks: words, link density, words and link density of the block before and of the block after,
-#: inside boilerplate, inside main content (-1: outside, though the page marks its main content); label 1 for main text.
-_LABELLED = np.array([
-    # menus, crumbs and link lists
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 1, 0, 0), (3, 1.0, 2, 1.0, 7, 0.0, 1, 0, 0),
-    (1, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0), (4, 1.0, 3, 1.0, 5, 1.0, 0, 0, 0), (8, 0.9, 5, 1.0, 6, 1.0, 0, 0, 0), (12, 0.8, 9, 1.0, 3, 1.0, 0, 0, 0),
-    (6, 1.0, 80, 0.0, 7, 1.0, 0, 0, 0), (5, 1.0, 6, 1.0, 0, 0.0, 0, 0, 0), (20, 0.7, 4, 1.0, 18, 0.8, 0, 0, 0), (15, 0.6, 60, 0.0, 8, 1.0, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0), (2, 1.0, 1, 1.0, 130, 0.0, 0, 0, 0), (3, 1.0, 0, 0.0, 45, 0.0, 0, 0, 0), (4, 0.9, 70, 0.0, 90, 0.0, 0, 0, 0), (1, 1.0, 50, 0.0, 35, 0.0, 0, 0, 0),
-    # adverts, notices, forms and side boxes, named as such
-    (7, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0), (25, 0.0, 5, 1.0, 40, 0.0, 1, 0, 0), (60, 0.0, 3, 1.0, 55, 0.0, 1, 0, 0), (14, 0.2, 120, 0.0, 90, 0.0, 1, 1, 0),
-    (9, 0.0, 70, 0.0, 45, 0.0, 1, 1, 0), (35, 0.0, 50, 0.0, 60, 0.0, 1, 1, 0), (3, 0.0, 2, 0.0, 4, 0.0, 1, 0, 0), (110, 0.0, 4, 0.5, 8, 0.0, 1, 0, 0),
-    (1, 1.0, 1, 1.0, 80, 0.0, 1, 0, 0), (10, 0.0, 3, 1.0, 75, 0.0, 1, 0, 0), (40, 0.0, 60, 0.0, 90, 0.0, 1, 0, 0), (12, 0.0, 90, 0.0, 60, 0.0, 1, 0, 0),
-    (90, 0.0, 100, 0.0, 110, 0.0, 1, 0, 0), (200, 0.0, 35, 0.0, 60, 0.0, 1, 0, 0), (30, 0.0, 40, 0.0, 25, 0.0, 1, 0, 0),
-    # footers and reader comments
-    (8, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0), (11, 0.3, 40, 0.0, 6, 1.0, 1, 0, 0), (45, 0.0, 30, 0.0, 52, 0.0, 1, 0, 0), (150, 0.0, 12, 0.0, 35, 0.0, 1, 0, 0),
-    (6, 0.0, 110, 0.0, 0, 0.0, 0, 0, 0), (4, 0.0, 5, 1.0, 3, 1.0, 0, 0, 0), (2, 0.0, 1, 1.0, 6, 0.0, 0, 0, 0), (5, 0.0, 7, 0.0, 4, 0.0, 0, 0, 0),
-    (8, 0.4, 4, 0.0, 5, 1.0, 0, 0, 0), (3, 0.0, 0, 0.0, 2, 0.0, 0, 0, 0),
-    # headings and paragraphs of marked articles, however short
-    (9, 0.0, 7, 0.0, 60, 0.0, 0, 1, 1), (1, 0.0, 9, 0.0, 80, 0.0, 0, 1, 1), (1, 0.0, 55, 0.0, 1, 0.0, 0, 1, 1), (2, 0.0, 1, 0.0, 8, 0.0, 0, 1, 1),
-    (12, 0.0, 1, 1.0, 75, 0.0, 0, 1, 1), (48, 0.0, 12, 0.0, 33, 0.0, 0, 1, 1), (140, 0.05, 90, 0.0, 60, 0.0, 0, 1, 1), (75, 0.2, 30, 0.0, 9, 0.0, 0, 1, 1),
-    (18, 0.5, 60, 0.0, 45, 0.0, 0, 1, 1), (4, 1.0, 50, 0.0, 66, 0.0, 0, 1, 1), (300, 0.0, 4, 0.0, 8, 0.0, 0, 1, 1), (6, 0.0, 44, 0.0, 8, 0.1, 0, 1, 1),
-    (27, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (3, 0.0, 7, 0.0, 2, 0.0, 0, 1, 1),
-    (25, 0.0, 60, 0.0, 3, 1.0, 0, 1, 1), (8, 0.0, 30, 0.0, 2, 1.0, 0, 1, 1), (2, 0.0, 20, 0.0, 4, 0.9, 0, 1, 1), (14, 0.0, 1, 0.0, 1, 1.0, 0, 1, 1),
-    (5, 0.8, 70, 0.0, 6, 0.9, 0, 1, 1), (1, 0.0, 1, 1.0, 1, 1.0, 0, 1, 1),
-    # outside the main content of pages that mark it
-    (30, 0.0, 9, 0.0, 25, 0.0, 0, -1, 0), (85, 0.0, 6, 0.0, 7, 0.0, 0, -1, 0), (9, 0.0, 70, 0.0, 12, 0.0, 0, -1, 0), (120, 0.1, 95, 0.0, 0, 0.0, 0, -1, 0),
-    (2, 0.0, 1, 1.0, 45, 0.0, 0, -1, 0), (17, 0.3, 4, 0.0, 3, 1.0, 0, -1, 0), (48, 0.0, 0, 0.0, 66, 0.0, 0, -1, 0), (7, 0.0, 33, 0.0, 60, 0.0, 0, -1, 0),
-    # paragraphs of pages that mark nothing
-    (30, 0.0, 40, 0.0, 25, 0.0, 0, 0, 1), (85, 0.0, 6, 0.0, 70, 0.0, 0, 0, 1), (120, 0.1, 95, 0.0, 4, 1.0, 0, 0, 1), (45, 0.0, 5, 1.0, 60, 0.0, 0, 0, 1),
-    (22, 0.0, 55, 0.0, 38, 0.0, 0, 0, 1), (60, 0.25, 80, 0.0, 75, 0.0, 0, 0, 1), (200, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (34, 0.0, 90, 0.0, 6, 0.0, 0, 0, 1),
-    (12, 0.0, 60, 0.0, 72, 0.0, 0, 0, 1), (6, 0.0, 48, 0.0, 66, 0.0, 0, 0, 1), (8, 0.0, 3, 1.0, 58, 0.0, 0, 0, 1), (5, 0.0, 35, 0.0, 41, 0.0, 0, 0, 1),
-])
-
-
-def blocks(html: str) -> list[tuple[str, int, int, int, int]]:
-    """Text, words, words in links, inside boilerplate, inside main content, for each block of a page in its order."""
-    found: list[tuple[str, int, int, int, int]] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]
+#: The labelled table: a page a line, containers between bars, and in each the words of its blocks (words/words in links).
+#: Containers of main text have a plus sign; blocks of theirs that are none, an exclamation mark.
+_LABELLED = """
+1/1 1/1 2/2 1/1 | 9 | + 8 60 45 80 33 | 9
+1/1 2/2 1/1 3/3 1/1 | + 7 52 18 90 | 11/3
+2/2 1/1 1/1 | 14 | + 12 130 | 8
+1/1 1/1 1/1 1/1 1/1 1/1 | 12 | + 12 15 | 10
+1/1 1/1 1/1 | 8 | + 1 1 | 9
+2/2 1/1 1/1 1/1 | 13 | + 2 3 | 12
+1/1 1/1 1/1 1/1 | 7 | + 5 5 | 8
+1/1 2/2 | 11 | + 12 13 40 | 9/1
+3/3 2/2 2/2 4/4 | + 9 75 60/4 110 48 | 6/6 7/7 5/5 8/8 | 7
+4 | 1/1 1/1 2/2 | + 10 35 6 48 5 66 | 20/18 15/14 18/15 | 12
+2 9 | 3/3 1/1 2/2 1/1 | 25 | + 11 42 3 4 2 5 60 | 9
+6/6 5/5 7/7 | + 44 58 39 | 5/5 9/9 4/4 | 15
++ 27 | 4/4 6/6 | 9
++ 60 35 80 | 8
++ 200
++ 5
++ 1 1
+1/1 1/1 | + 90 | + 75 | + 120 | + 48 | 9 | 10/2
+2/2 2/2 1/1 | 10 | + 30 | + 55 | + 41 | + 28 | 7 | 9
+1/1 3/3 | + 9 | + 85 | + 62 | 8/8 6/6 5/5 | 6
+1/1 1/1 2/2 1/1 | 12 | + 7 20/6 35/12 18 66 | 8/8 9/9 | 9
+5/5 4/4 3/3 6/6 | + 14 3/3 80 45/20 2/2 70 | 3/3 4/4 2/2 | 14/7
+1/1 1/1 1/1 1/1 | 15 | + 6 2 2 3 2 4 3 2 | 9
+2/2 1/1 2/2 | 6 | + 12 22 31 | 5/5 5/5 | 10
+3 | 2/2 2/2 | 18 | + 8 95 | 12/12 10/10 9/9 11/11 | 25 | 7
+9/9 8/8 9/9 7/7 10/10 | 11/10 9/9 12/12 | 6
+1/1 1/1 1/1 1/1 | 14 | 9
+4/4 3/3 | 20/15 18/16 22/20 25/19 | 8
+2/2 3/3 1/1 | 9 | + 12 19 | 13
+1/1 2/2 1/1 | 10 | + 4 4 9 | 10
+1/1 1/1 1/1 2/2 | 9 | + 12 300 12 280 1 150 | 11
+2/2 2/2 2/2 | 8 | + 9 33 | 6
+1/1 1/1 1/1 | 13 | + 3 3 | 7
+1/1 1/1 2/2 1/1 | 9 | + 6 6 | 15
+2/2 1/1 1/1 | 14 | + 3 3 | 17
+1/1 2/2 1/1 | 24 | + 8 8 | 19
+1/1 1/1 1/1 1/1 | 16 | + 7 7 | 18
+3/3 1/1 1/1 | 12 | + 5 5 | 13
+1/1 1/1 2/2 | 18 | + 11 11 | 25
+1/1 1/1 | 10 | + 2 2 | 20
+1/1 2/2 2/2 | 21 | + 9 9 | 22
+1/1 1/1 1/1 2/2 | 14 | + 1 1 | 16
+2/2 1/1 1/1 | 20 | + 1 1 | 12
++ !1/1 !1/1 40 55
++ !1/1 !2/2 !1/1 !3/3 12 60 35 80 !5/5 !6/6 !4/4
++ !2/2 !1/1 !1/1 90 44 !1/1 !2/2
++ !3/3 !2/2 9 70 22 65 !8/8 !9/9 !7/7 !6/6
++ !1/1 !1/1 30
++ 12
++ 16
++ 9
++ 21
+1/1 1/1 | 5 | + 10 10 90 40 | 12
+1/1 2/2 1/1 | 7 | + 12 70 | 15
+1/1 1/1 2/2 1/1 | 6 | + 4 4 150 30 60 | 10
+2/2 1/1 | 4 | + 12 45 30 | 9
+2/2 1/1 1/1 | 5 | + 11 60 80 20 | 14/3
+1/1 1/1 | 6 | + 12 12 33 25 | 11
+1/1 1/1 1/1 | 8 | + 12 300 | 16
+1/1 2/2 | 4 | + 9 18 22 | 10
+1/1 2/2 1/1 | + 8 60 70 55 | 34/30 41/36 29/29 | 9
+"""
+
+
+@cache
+def labelled_table() -> np.ndarray:
+    """The features of each block of the labelled pages, and its label."""
+    rows = []
+    for line in _LABELLED.strip().splitlines():
+        found, labels = [], []
+        for i, container in enumerate(line.split("|")):
+            for cell in container.split():
+                if cell != "+":
+                    words, _, linked = cell.lstrip("!").partition("/")
+                    found.append(("", int(words), int(linked or 0), i, False))
+                    labels.append("+" in container and cell[0] != "!")
+        rows.append(np.column_stack([features(found), labels]))
+    return np.vstack(rows)
+
+
+def blocks(html: str) -> list[tuple[str, int, int, int, bool]]:
+    """Text, words, words in links, number of its container, and whether a name takes it away, for each block in page order."""
+    found: list[tuple[str, int, int, int, bool]] = []
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # element, container, taken away, inside an article
+    containers = 0
     text: list[str] = []
     links: list[str] = []
     in_link = False
+    muted = ""  # the inline element with such a name that the text is in
     unended: set[str] = set()
     at, n = 0, len(html)
 
@@ -89,14 +145,14 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int]]:
         words = "".join(text).split()
         if words:
             linked = sum(len(x.split()) for x in links)
-            found.append((" ".join(words), len(words), min(linked, len(words)), *stack[-1][1:]))
+            found.append((" ".join(words), len(words), min(linked, len(words)), stack[-1][1], stack[-1][2]))
         text.clear()
         links.clear()
 
     while at < n:
         token = _TOKEN.search(html, at)
         piece = html[at : token.start() if token else n]
-        if piece:
+        if piece and not muted:
             piece = unescape(piece) if "&" in piece else piece
             text.append(piece)
             if in_link:
@@ -119,15 +175,29 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int]]:
                 else:
                     unended.add(tag)  # nor has a later one an end
             continue
+        names = set()
+        if not closing and token[3] and tag not in ("body", "html"):
+            names = {w for m in _NAMED.finditer(token[3]) for w in re.split(r"[^a-z]+", m[1].lower())}
+        named = bool((names - _PARTS if names & _MAIN_NAMES else names) & _BOILER_NAMES)
         if tag in _INLINE:
+            if closing and tag == muted:
+                muted = ""
+            elif named and not muted and tag not in ("br", "img", "input", "wbr"):
+                muted = tag
             if tag == "a":
                 in_link = not closing
             elif tag == "br":
                 text.append(" ")
             continue
         close_block()
-        in_link = False
-        if tag not in _CONTAINERS:
+        in_link, muted = False, ""
+        if stack[-1][0] in ("p", "li") and (tag == stack[-1][0] or tag in _CONTAINERS or closing):
+            stack.pop()  # a named paragraph or item ends where the next one starts, or what holds it
+        if tag not in _CONTAINERS and not (named and tag in ("p", "li")):
+            if not closing and named:
+                stack.append((tag, stack[-1][1], True, stack[-1][3]))
+            elif closing and stack[-1][0] == tag:
+                stack.pop()
             continue
         if closing:
             for depth in range(len(stack) - 1, 0, -1):
@@ -135,26 +205,30 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int]]:
                     del stack[depth:]
                     break
         elif not token[3].endswith("/"):
-            _, boiler, main = stack[-1]
-            names = {w for m in _NAMED.finditer(token[3]) for w in re.split(r"[^a-z]+", m[1].lower())} if token[3] else set()
-            if tag == "body":
-                names = set()
-            if tag in _MAIN_TAGS or names & _MAIN_NAMES and not names & _BOILER_NAMES:
-                main = 1
-            elif names & _BOILER_NAMES or tag in _BOILER_TAGS and not (tag == "header" and main):
-                boiler = 1
-            stack.append((tag, boiler, main))
+            _, container, taken, main = stack[-1]
+            if tag in _CONTAINERS:
+                named = named or tag in _BOILER_TAGS and not (tag == "header" and main)
+                if named or not main:  # the parts of an article are one container
+                    containers += 1
+                    container = containers
+                main = main or tag in _MAIN_TAGS or bool(names & _MAIN_NAMES)
+            stack.append((tag, container, taken or named, main))
     close_block()
     return found
 
 
-def features(found: list[tuple[str, int, int, int, int]]) -> np.ndarray:
-    """The columns of the labelled table, without the label, for each block."""
-    own = np.array([(words, linked / words, boiler, main) for _, words, linked, boiler, main in found], dtype=float).reshape(-1, 4)
-    if own[:, 3].any():
-        own[own[:, 3] == 0, 3] = -1
-    around = np.vstack([np.zeros((1, 4)), own, np.zeros((1, 4))])
-    return np.column_stack([own[:, :2], around[:-2, :2], around[2:, :2], own[:, 2:]])
+def features(found: list[tuple[str, int, int, int, bool]]) -> np.ndarray:
+    """Words and link density of each block, of the one before and the one after; words, link density, number of blocks and share of its container.
+
+    The share is of the words of the page's largest container.
+    """
+    words, linked, container = (np.array([b[i] for b in found], dtype=float) for i in (1, 2, 3))
+    own = np.column_stack([words, linked / np.maximum(words, 1)])
+    around = np.vstack([np.zeros((1, 2)), own, np.zeros((1, 2))])
+    _, place = np.unique(container, return_inverse=True)
+    held, held_linked, count = np.bincount(place, words), np.bincount(place, linked), np.bincount(place)
+    whole = np.column_stack([held, held_linked / np.maximum(held, 1), count, held / held.max(initial=1)])
+    return np.column_stack([own, around[:-2], around[2:], whole[place]])
 
 
 class DecisionTree:
@@ -190,7 +264,8 @@ class DecisionTree:
 
 @cache
 def default_tree() -> DecisionTree:
-    return DecisionTree(_LABELLED[:, :-1], _LABELLED[:, -1])
+    table = labelled_table()
+    return DecisionTree(table[:, :-1], table[:, -1])
 
 
 def main_text(html: str | None) -> str:
@@ -198,7 +273,8 @@ def main_text(html: str | None) -> str:
     found = blocks(html or "")
     if not found:
         return ""
-    return "\n".join(block[0] for block, kept in zip(found, default_tree().predict(features(found)), strict=True) if kept)
+    kept = default_tree().predict(features(found))
+    return "\n".join(block[0] for block, main in zip(found, kept, strict=True) if main and not block[4])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
