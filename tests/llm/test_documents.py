@@ -353,6 +353,14 @@ def test_bpe_equals_tiktoken_and_decodes(docs, empty):
         assert np.frombuffer(vocabulary.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
 
 
+def test_memo_is_bounded_in_bytes_within_one_text(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 4000)
+    vocabulary = bpe.Vocabulary([bytes([i]) for i in range(256)], P.PATTERN)
+    text = " ".join(f"word{i}" for i in range(500)) + "x" * 9000
+    assert vocabulary.decode(vocabulary.encode(text)) == text.encode() and vocabulary.memo.held <= 4000
+    assert vocabulary.memo.held == sum(bpe.ENTRY_BYTES + 4 * len(k) + len(v) for k, v in vocabulary.memo.items())
+
+
 def test_perfect_hash_is_minimal_and_perfect():
     keys = [f"key{i}".encode() for i in range(1000)]
     table = bpe.PerfectHash(keys)
@@ -395,6 +403,51 @@ def test_language_rejects_junk_and_keeps_held_out_documents(spark):
     assert all(rejected for t in _junk(4000)[:4] for _, _, rejected in model.predict([t]))
 
 
+def _ngrams(text, sizes, bits):
+    """Hashes of the character n-grams of a text, one by one."""
+    letters = re.sub(rb"[^a-zA-Z\x80-\xff]+", b" ", (text or "").lower().encode()).strip()
+    data = b" " + letters + b" "
+    out = []
+    for n in sizes:
+        for i in range(len(data) - n + 1):
+            h = 0
+            for c in data[i : i + n]:
+                h = (h * 0x01000193 + c + 1) & 0xFFFFFFFF
+            out.append(((h ^ h >> 15) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - bits)
+    return out
+
+
+def test_language_and_score_match_brute_force(docs, spark, sf_dir):
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.fit(known)
+    texts = [t for _, t in _texts()[:13]] + ["Straße, Füße und Äpfel", "où êtes-vous? 42!"]
+    for text, (lang, score, _) in zip(texts, model.predict(texts), strict=True):
+        if not language_id.has_letter(text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        counts = np.zeros(1 << language_id.BITS)
+        for h in _ngrams(text, language_id.SIZES, language_id.BITS):
+            counts[h] += h > 0
+        vector = np.log1p(counts) * model.idf
+        cosines = {}
+        for name, centroid in zip(model.languages, model.centroids, strict=True):
+            cosines[name] = max(cosines.get(name, 0.0), float(vector @ centroid / np.linalg.norm(vector)))
+        assert np.isclose(score, max(cosines.values()), atol=1e-4) and cosines[lang] >= max(cosines.values()) - 1e-4
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    rows = [(i, f"{WORDS[i % 17]} {WORDS[i % 5]} " + ("vile scoundrel" if i % 3 == 0 else "kind friend"), i % 3 == 0) for i in range(90)]
+    table, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, int(y)) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(table, labels)
+    grams = [set(_ngrams(t, toxicity.SIZES, toxicity.BITS)) - {0} for _, t, _ in rows]
+    for h in np.flatnonzero(model.feature_of >= 0).tolist():  # each feature is in more than one document
+        assert sum(h in g for g in grams) > 1
+    texts = [t for _, t, _ in rows[:10]] + [None, "", "vile vile vile", "x"]
+    for text, score in zip(texts, model.scores(texts), strict=True):
+        z = model.bias + sum(model.weights[model.feature_of[h]] for h in set(_ngrams(text, toxicity.SIZES, toxicity.BITS)) if h and model.feature_of[h] >= 0)
+        assert np.isclose(score, 1 / (1 + np.exp(-z)))
+
+
 def test_toxicity_does_not_depend_on_partitions(spark):
     rng = np.random.default_rng(8)
     rows = [(i, " ".join(rng.choice(WORDS, 12)) + (" vile scoundrel" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)]

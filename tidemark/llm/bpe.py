@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import small_batches
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Pre-tokens that a worker remembers with their ids.
-MEMO_ENTRIES = 1_000_000
+#: Bytes of pre-tokens and ids, and of what Python needs to hold each, that a worker remembers at most.
+MEMO_BYTES, ENTRY_BYTES = 200_000_000, 200
 
 
 def parse_ranks(content: bytes) -> list[bytes]:
@@ -84,17 +84,23 @@ class Memo(dict):
     """Ids of pre-tokens, worked out when first asked for."""
 
     def __init__(self, work_out):
-        self.work_out = work_out
+        self.work_out, self.held = work_out, 0
 
     def __missing__(self, text: str) -> bytes:
-        self[text] = ids = self.work_out(text)
+        ids = self.work_out(text)
+        size = ENTRY_BYTES + 4 * len(text) + len(ids)
+        if self.held + size <= MEMO_BYTES:
+            self[text] = ids
+            self.held += size
         return ids
 
     def shrink(self) -> None:
-        """Keeps the first half: frequent pre-tokens are met early."""
-        kept = list(islice(self.items(), MEMO_ENTRIES // 2))
-        self.clear()
-        self.update(kept)
+        """Once it is nearly full, keeps the first half: frequent pre-tokens are met early."""
+        if self.held > 0.9 * MEMO_BYTES:
+            kept = list(islice(self.items(), len(self) // 2))
+            self.clear()
+            self.update(kept)
+            self.held = sum(ENTRY_BYTES + 4 * len(text) + len(ids) for text, ids in kept)
 
 
 class Vocabulary:
@@ -155,8 +161,7 @@ class Vocabulary:
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         ids = b"".join(map(self.memo.__getitem__, self.find(text)))
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.shrink()
+        self.memo.shrink()
         return ids
 
     def decode(self, ids: bytes) -> bytes:

@@ -40,11 +40,11 @@ def suffix_order(strings: Strings, begin: int, end: int) -> np.ndarray:
     return begin + np.argsort(rows.view(f"S{2 * width}").ravel(), kind="stable")
 
 
-def merge_transforms(strings: Strings, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The merged order of all suffixes by their first ``steps`` symbols: places, block of each, and common prefixes.
+def merge_transforms(strings: Strings, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The merged order of all suffixes by their first ``steps`` symbols: places and common prefixes.
 
-    A block is a maximal run of suffixes that share ``steps`` symbols (or end alike); ``common[i]`` is the number of
-    symbols, up to ``steps``, that the suffixes i - 1 and i of the order share.
+    ``common[i]`` is the number of symbols, up to ``steps``, that the suffixes i - 1 and i of the order share; suffixes
+    that end alike share all. So ``common`` is below ``steps`` where a new interval of repeated strings starts.
     """
     total, count = len(strings.text), len(strings.lengths)
     shards, begin, last = [], 0, 0
@@ -78,4 +78,4 @@ def merge_transforms(strings: Strings, steps: int) -> tuple[np.ndarray, np.ndarr
         block = np.cumsum(fresh, dtype=np.int32)
     places = np.empty(total, dtype=np.int64)
     places[np.argsort(interleave, kind="stable")] = order
-    return places, block, common
+    return places, common

@@ -25,6 +25,8 @@ from tidemark.llm.ngrams import hashed_ngrams, normalised
 
 #: Sampled documents of each language, and of all languages together.
 SAMPLE, SAMPLE_IN_ALL = 512, 8192
+#: The commonest values of lang, which the model learns; rarer ones are taken for errors of the labels.
+LANGUAGES = 256
 SIZES, BITS = range(1, 5), 12
 CENTROIDS, ROUNDS = 4, 12
 #: A text is rejected if its share of the usual cosine is below ``REJECT_SHARE`` times the ``LOW`` quantile of its language.
@@ -121,12 +123,15 @@ def clusters(vectors: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, learn_from=lambda doc_id: F.lit(True)) -> LanguageModel:
-    """The model from text and lang of the rows with a language, a letter and a doc_id that satisfies ``learn_from``."""
+    """The model from text and lang of the rows with a language, a letter and a doc_id that satisfies ``learn_from``.
+
+    Of more than ``LANGUAGES`` values of lang the commonest are learned.
+    """
     known = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
         .filter("lang IS NOT NULL AND text IS NOT NULL").filter(learn_from(F.col("doc_id")))
     )
-    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not totals:
         return LanguageModel(np.ones(1 << BITS), np.zeros((0, 1 << BITS)), [], np.zeros(1), np.zeros(1), np.zeros(0))
     each = max(8, min(SAMPLE, SAMPLE_IN_ALL // len(totals)))

@@ -1,6 +1,6 @@
 """Removal of repeated passages: every byte of a 50-byte string that also starts in a document with a smaller doc_id.
 
-Documents are dealt into groups by hash of doc_id; a group is a few megabytes of text. Every 50-byte string holds an
+Documents are dealt into groups by hash of doc_id and text; a group is a few megabytes of text. Every 50-byte string holds an
 anchor: the ``ANCHOR`` bytes with the smallest hash among those inside it, so two equal strings have equal anchors at
 equal places. What a string needs to know about others is found among the surroundings (``REACH`` bytes on either side)
 of equal anchors, dealt by hash of the anchor into buckets:
@@ -276,12 +276,13 @@ def _by_merging(content: np.ndarray, left: np.ndarray, right: np.ndarray, keys:
     column = np.arange(2 * REACH + 1)[None, :]
     inside = (column >= REACH - left[:, None]) & (column <= REACH + right[:, None])
     strings = Strings(symbols[inside], left + 1 + right)
-    places, block, _ = merge_transforms(strings, REACH + 1)
+    places, common = merge_transforms(strings, REACH + 1)
     owner, offset = strings.owner[places], strings.offset[places]
     whole = (offset <= left[owner]) & (offset + REACH + 1 <= strings.lengths[owner])
     key = np.where(whole, keys[owner], NOBODY)
-    first = np.flatnonzero(np.concatenate([[True], np.diff(block) != 0]))
-    least = np.repeat(np.minimum.reduceat(key, first), np.diff(np.concatenate([first, [len(block)]])))
+    # A repeated interval is a maximal run of suffixes whose common prefixes with their neighbours are whole windows.
+    first = np.flatnonzero(common < REACH + 1)
+    least = np.repeat(np.minimum.reduceat(key, first), np.diff(np.concatenate([first, [len(common)]])))
     again = whole & (least < key)
     return np.bincount(owner[again], weights=1 << offset[again], minlength=n).astype(np.int64)
 
@@ -322,7 +323,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), whole_characters
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups, buckets = max(parts, math.ceil(volume / group_bytes(volume))), max(parts, math.ceil(volume / (4 * group_bytes(volume))))
     place = F.coalesce("doc_id", F.lit(NOBODY - 1))
-    dealt = rows.select(F.pmod(F.xxhash64(place), F.lit(groups)).cast("int").alias("g"), place.alias("place_of"), F.xxhash64("text").alias("salt"), *rows.columns)
+    dealt = rows.select(F.pmod(F.xxhash64(place, "text"), F.lit(groups)).cast("int").alias("g"), place.alias("place_of"), F.xxhash64("text").alias("salt"), *rows.columns)
     to_bucket = "bucket int, g int, value binary"
     to_group = "g int, kind int, bucket int, value binary"
     sent_kinds, told_kinds = [pa.int32(), pa.int32(), pa.binary()], [pa.int32(), pa.int32(), pa.int32(), pa.binary()]

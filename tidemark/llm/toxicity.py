@@ -77,7 +77,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from) -> tuple[Dat
 def fit(docs: DataFrame, labels: DataFrame, learn_from=lambda doc_id: F.lit(True)) -> ToxicityModel:
     """The model for labels whose doc_id satisfies ``learn_from``; without labels of both classes it scores their share.
 
-    Without any label nothing is known to be toxic, and every score is close to 0.
+    Without any label nothing is known to be toxic, and every score is close to 0. Labels that are null or neither 0 nor
+    1 or have no doc_id do not count; of labels that repeat a doc_id the largest counts, and of texts the smallest.
     """
     sample, totals = labelled_sample(docs, labels, learn_from)
     sample = durable(sample)
