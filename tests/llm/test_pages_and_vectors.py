@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from tidemark.llm import html_text, topk_search, url_filter
+from tidemark.llm.common import copied
 from tidemark.llm.queries import ORACLES, QUERIES, URL_RULES
 
 URLS = [
@@ -50,6 +51,11 @@ def test_urls_with_another_url_in_the_query(spark):
     assert got == {k: _verdict(u) for k, u in enumerate(urls)} and got[0] == ("example.org", "", None, "allow")
 
 
+def test_many_copies_of_a_row(spark, monkeypatch):
+    frame = spark.createDataFrame([(0, 1), (1, 3), (2, None), (3, 10_000), (4, 4096), (5, 4097)], "id int, copies long")
+    assert {r.id: r["count"] for r in copied(frame, "copies").groupBy("id").count().collect()} == {0: 1, 1: 3, 2: 1, 3: 10_000, 4: 4096, 5: 4097}
+
+
 def test_rules_of_many_path_lengths_all_count(spark):
     rules = spark.range(1, 5001).selectExpr("'a.org' AS host", "concat('/', repeat('x', int(id) - 1)) AS path", "'block' AS verdict")
     urls = [(n, "http://a.org/" + "x" * (n - 1)) for n in (1, 700, *range(4950, 5001, 5), 5100)]

@@ -32,6 +32,18 @@ def doc_crc_mod(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % F.lit(modulus)
 
 
+#: Copies of a row that come from one array.
+RUN = 4096
+
+
+def copied(rows: DataFrame, copies: str) -> DataFrame:
+    """Each row as often as ``copies`` says (null: once), in runs, so that no array is long."""
+    n = F.coalesce(copies, F.lit(1).cast("long"))
+    zero = F.lit(0).cast("long")
+    runs = rows.withColumn("_run", F.explode(F.sequence(zero, F.floor((n - 1) / RUN))))
+    return runs.withColumn("_copy", F.explode(F.sequence(zero, F.least(F.lit(RUN).cast("long"), n - F.col("_run") * RUN) - 1))).drop("_run", "_copy")
+
+
 def beside(docs: DataFrame, keep: tuple[str, ...]) -> tuple[list[Column], str]:
     """Columns to carry through an Arrow function under names that clash with none, and their schema (with a leading comma)."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}

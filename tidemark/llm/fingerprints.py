@@ -19,7 +19,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, written
+from tidemark.llm.common import copied, durable, written
 
 RADIUS, BLOCKS = 3, 6
 #: Fingerprints from which on a bucket of a block table is dealt again.
@@ -166,10 +166,7 @@ def compare_documents(docs: DataFrame) -> DataFrame:
     near = durable(near_fingerprints(found).select(F.explode(F.array("a", "b")).alias("bits")).groupBy("bits").agg(F.count(F.lit(1)).alias("n_near")))
     after = found.select(F.col("key").alias("next_key"), F.col("salt").alias("next_salt"), F.col("bits").alias("next_bits"))
     return (
-        found.join(after, ["next_key", "next_salt"]).join(near, "bits", "left")
-        # Copies come back in runs, so that no array is long.
-        .withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.coalesce("copies", F.lit(1).cast("long")) - 1) / 4096))))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(4096).cast("long"), F.coalesce("copies", F.lit(1).cast("long")) - F.col("run") * 4096))))
+        copied(found.join(after, ["next_key", "next_salt"]).join(near, "bits", "left"), "copies")
         .select(
             "doc_id", "n_chars", F.concat(*[hex_digits(F.col(f"sha{i}")) for i in range(4)]).alias("edited_sha256"), hex_digits(F.col("bits")).alias("fingerprint"),
             hex_digits(F.col("edited_bits")).alias("edited_fingerprint"), likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"),

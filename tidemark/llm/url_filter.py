@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import copied
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of the digest that the equi-join uses.
 SHORT = 8
@@ -53,7 +55,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     # The lengths that rule paths have bound the expansion; a URL is only cut where some rule could end.
     lengths = sorted(r[0] for r in known.select("path_length").distinct().limit(LENGTHS + 1).collect())
     longest = known.agg(F.max("path_length")).first()[0] if len(lengths) > LENGTHS else 0
-    few = len(known.select("rule").limit(BROADCAST_RULES + 1).collect()) <= BROADCAST_RULES
+    few = known.select("rule").limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     known = F.broadcast(known.drop("path_length")) if few else known.drop("path_length")
 
     urls = (
@@ -76,8 +78,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     fits = F.col("digest") == F.col("rule_digest")
     best = F.max(F.when(fits, F.struct(F.length("rule").alias("length"), "rule_verdict", "rule"))).alias("best")
     return (
-        candidates.groupBy("page_id", "url", "host", "path", "copies").agg(best)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        copied(candidates.groupBy("page_id", "url", "host", "path", "copies").agg(best), "copies")
         .select(
             "page_id", "url", "host", "path", F.col("best.rule").alias("rule"),
             F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"),
