@@ -148,6 +148,16 @@ def test_strings(spark):
     assert values(spark, ["Ñueva  Écija!"], strings.folded) == ["nueva ecija"] and values(spark, ["Typhoon Ana hit Cebu City"], strings.proper_nouns) == [["Typhoon", "Cebu", "City"]]
 
 
+def test_each_step_of_place_names(spark):
+    steps = {
+        "(3) Cebu": ["Cebu"], "Cebu PROVINCES": ["Cebu"], "Panay Isl.": ["Western Visayas"], "Region IV": ["IV"], "Quezon Municipality": ["Quezon"], "near Mt. Apo": ["Apo"], "Samar-East": ["Samar"], "Leyte (Ormoc)": ["Leyte", "Ormoc"],
+        "Cebu and Bohol": ["Cebu", "Bohol"], "Cebu cty": ["Cebu City"], "A;B,C": ["A", "B", "C"], "Manille": ["Manila"], "Nationwide": ["Philippines"], "all country": ["Philippines"], "Visayan": ["Visayas"], "central": ["Visayas"],
+        "W. Samar": ["Samar"], "n. Samar": ["Samar"], "Ctr.x": ["Centralx"], "West Luzon": ["Luzon"], "Luzonnn": ["Luzon"], "Luzo": ["Luzon"], "Visayas Luzon": ["Visayas", "Luzon"], "Davao city": ["Davao City"], "Bagio": ["Baguio"],
+    }
+    assert dict(zip(steps, values(spark, list(steps), strings.place_names), strict=True)) == steps
+    assert values(spark, ["Ţăndărei Žižkov", "ça_va? 42", "e\u0301te\u0301", "Ελλάς!"], strings.folded) == ["tandarei zizkov", "ca_va 42", "ete", "ελλας"]
+
+
 def test_places_and_merged_rows(spark):
     assert values(spark, ["Manilla, Cebu province; Bagio cty", "nationwide", "Samar and Leyte"], strings.place_names) == [["Manila", "Cebu", "Baguio City"], ["Philippines"], ["Samar", "Leyte"]]
     frame = spark.createDataFrame([("r", "a  b   c", "1  2"), ("q", None, "5")], "k string, x string, y string")
@@ -160,6 +170,12 @@ def test_dates(spark):
         ("1918-01-01", "1919-12-31"), ("2008-08-10", "2009-07-14"), ("1957-04-01", "1957-06-30"), ("2001-07-02", "2001-07-07"), ("2003-11-12", "2003-11-15"), ("1984-08-31", "1984-09-04"),
         ("1984-01-01", "1984-12-31"), ("2001-02-03", "2001-02-03"), ("1965-04-01", "1966-06-30"), ("2005-05-05", "2005-05-05"), (None, None), (None, None),
     ]
+    more = {
+        "10 May 1990 PST": ("1990-05-10", "1990-05-10"), "10 MAY 1990": ("1990-05-10", "1990-05-10"), "May 10, 1990 08:30 AM": ("1990-05-10", "1990-05-10"), "Sept 3rd 2001": ("2001-09-03", "2001-09-03"),
+        "30 Feb 2001": (None, None), "2001-02-03 10:11:12": ("2001-02-03", "2001-02-03"), "April–June 1957 (some say more)": ("1957-04-01", "1957-06-30"), "April 5, 2001 – 2003": (None, None), "5 – May 2001": (None, None),
+        "Foo–June 1957": (None, None), "1 2 May 2001": (None, None), "12/25/2003": ("2003-12-25", "2003-12-25"), "25/12/2003": ("2003-12-25", "2003-12-25"), "31–2 May 2001": ("2001-05-31", "2001-05-02"), "Nov 30 — Dec 2, 1999": ("1999-11-30", "1999-12-02"), "": (None, None),
+    }
+    assert dict(zip(more, (tuple(r) for r in values(spark, list(more), dates.date_range)), strict=True)) == more
     parts = spark.createDataFrame([(2020, 2, None), (2020, None, None), (2020, 3, 4)], "y int, m int, d int")
     ends = [r[0] for r in parts.select(dates.assembled(F.col("y"), F.col("m"), F.col("d"), end=True)).collect()]
     assert ends == [dt.date(2020, 2, 29), dt.date(2020, 12, 31), dt.date(2020, 3, 4)]
