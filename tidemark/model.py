@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import stored
+
 #: g: named graph; o_kind: iri, literal or blank.
 TRIPLES = "g string, s string, p string, o string, o_kind string, o_dt string, o_lang string"
 EVENT = "event string, source string, event_class string, event_name string, incident_description string, start_date string, end_date string"
@@ -30,6 +32,14 @@ class EventStore:
     attribution: DataFrame | None = None  # node, org
     _kept: dict = field(default_factory=dict, repr=False)
 
+    def saved(self, folder: str) -> EventStore:
+        """The same store as Parquet tables in ``folder``, with its closures, roots and suppressed ids, all worked out now."""
+        tables = {f.name: getattr(self, f.name) for f in fields(self) if isinstance(getattr(self, f.name), DataFrame)}
+        out = EventStore(**{name: stored(df, f"{folder}/{name}") for name, df in tables.items()})
+        for name, df in {"location": out.location_closure, "taxonomy": out.taxonomy_closure, "roots": out.taxonomy_roots, "suppressed": out.suppressed}.items():
+            out._kept[name] = stored(df, f"{folder}/kept_{name}")
+        return out
+
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._kept:
             self._kept[name] = make()

@@ -63,10 +63,11 @@ def filtered_events(store: EventStore, where: EventFilter = EventFilter(), suppr
         .select("event", "source", "event_class", name.alias("event_name"), "start_date", "end_date")
     )
     day = day_of(F.col("start_date"))
+    # The plain comparisons, which a scan can use, hold for every day in range.
     if where.start:
-        found = found.filter(day >= where.start)
+        found = found.filter((F.col("start_date") >= where.start) & (day >= where.start))
     if where.end:
-        found = found.filter(day <= where.end)
+        found = found.filter((F.col("start_date") <= where.end + "~") & (day <= where.end))
     if where.text:
         found = found.filter(F.contains(F.lower(F.concat(F.coalesce("event_name", F.lit("")), F.lit(" "), "event")), F.lower(F.lit(where.text))))
     if suppress:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.strings import spreadsheet_safe
 from tidemark.model import EventStore
 from tidemark.operators.events import EventFilter, filtered_events
-from tidemark.operators.impacts import damage_by_unit, with_facets, with_impacts
+from tidemark.operators.impacts import METRICS, PEOPLE, damage_by_unit, with_facets, with_impacts
+from tidemark.session import durable
 
 ALL = EventFilter()
+CASUALTIES = METRICS[:3]
 
 
 def event_count(store: EventStore, where: EventFilter = ALL) -> DataFrame:
@@ -21,7 +23,7 @@ def event_count(store: EventStore, where: EventFilter = ALL) -> DataFrame:
 
 def summary(store: EventStore, where: EventFilter = ALL) -> DataFrame:
     """Totals over the filtered events: one row."""
-    events = with_impacts(filtered_events(store, where), store)
+    events = with_impacts(filtered_events(store, where), store, damage=False, narrow=where != ALL)
     return events.agg(F.count(F.lit(1)).alias("records"), *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in ("dead", "injured", "missing", "families", "persons")])
 
 
@@ -45,9 +47,9 @@ def counts_by_type(store: EventStore, where: EventFilter = ALL, by_root: bool =
 
 def victim_trends(store: EventStore, where: EventFilter = ALL) -> DataFrame:
     """Casualties by year; starts that do not begin with four digits are left out."""
-    events = with_impacts(filtered_events(store, where), store)
+    events = with_impacts(filtered_events(store, where), store, CASUALTIES, damage=False, narrow=where != ALL)
     year = F.substring("start_date", 1, 4)
-    return events.filter(year.rlike(r"^\d{4}$")).groupBy(year.alias("year")).agg(*[F.sum(m).alias(m) for m in ("dead", "injured", "missing")]).orderBy("year")
+    return events.filter(year.rlike(r"^\d{4}$")).groupBy(year.alias("year")).agg(*[F.sum(m).alias(m) for m in CASUALTIES]).orderBy("year")
 
 
 def region_rankings(store: EventStore, where: EventFilter = ALL, level: str = "Region") -> DataFrame:
@@ -60,7 +62,7 @@ def region_rankings(store: EventStore, where: EventFilter = ALL, level: str = "R
 
 def type_rankings(store: EventStore, where: EventFilter = ALL) -> DataFrame:
     """Deaths by type; an event counts in full under each of its types."""
-    return with_impacts(typed_events(store, where), store).groupBy("grp").agg(F.sum("dead").alias("dead")).orderBy(F.desc("dead"), F.lower("grp"))
+    return with_impacts(typed_events(store, where), store, ("dead",), damage=False, narrow=where != ALL).groupBy("grp").agg(F.sum("dead").alias("dead")).orderBy(F.desc("dead"), F.lower("grp"))
 
 
 def damage_histogram(store: EventStore, where: EventFilter = ALL, bins: int = 10, unit: str | None = None) -> DataFrame:
@@ -73,6 +75,7 @@ def damage_histogram(store: EventStore, where: EventFilter = ALL, bins: int = 10
     amounts = damage_by_unit(store).join(filtered_events(store, where).select("event"), "event", "left_semi").withColumn("v", F.col("amount").cast("double"))
     if unit is not None:
         amounts = amounts.filter(F.col("unit") == unit)
+    amounts = durable(amounts.select("unit", "v"))  # for the range and for the bins
     ranges = amounts.groupBy("unit").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
     ranges = ranges.withColumn("flat", F.abs(F.col("high") - F.col("low")) <= 1e-9 * F.greatest(F.abs("high"), F.abs("low"))).withColumn("width", (F.col("high") - F.col("low")) / bins)
     place = F.when(F.col("flat"), 0).otherwise(F.least(F.floor((F.col("v") - F.col("low")) / F.col("width")), F.lit(bins - 1))).cast("int")
@@ -84,7 +87,7 @@ def damage_histogram(store: EventStore, where: EventFilter = ALL, bins: int = 10
 
 def damage_vs_affected(store: EventStore, where: EventFilter = ALL) -> DataFrame:
     """A point for each filtered event and unit of its damage."""
-    events = with_impacts(filtered_events(store, where), store)
+    events = with_impacts(filtered_events(store, where), store, PEOPLE, narrow=where != ALL)
     points = events.select("event", "event_name", "families", "persons", F.explode("damage_by_unit").alias("d"))
     return points.select("event", "event_name", "d.unit", F.col("d.amount").alias("amount"), "families", "persons")
 
@@ -98,7 +101,7 @@ def calendar(store: EventStore, where: EventFilter = ALL, digits: int = 4, prefi
         events = events.filter(F.col("start_date").startswith(prefix))
     period = F.substring("start_date", 1, digits)
     if casualties:
-        events = with_impacts(events, store)
+        events = with_impacts(events, store, CASUALTIES, damage=False, narrow=where != ALL or prefix is not None)
     sums = [F.sum(F.col("dead") + F.col("injured") + F.col("missing")).alias("casualties")] if casualties else []
     return events.filter(F.length(period) == digits).groupBy(period.alias("period")).agg(F.count(F.lit(1)).alias("events"), *sums).orderBy("period")
 
@@ -117,7 +120,7 @@ def sliding_periods(stacks: DataFrame, before: int = 15) -> DataFrame:
 
 def export_rows(store: EventStore, where: EventFilter = ALL) -> DataFrame:
     """The rows of the CSV export: joined lists, one damage cell, and no cell that a spreadsheet takes for a formula."""
-    events = with_facets(with_impacts(filtered_events(store, where), store), store)
+    events = with_facets(with_impacts(filtered_events(store, where), store, narrow=where != ALL), store)
     names = lambda c: F.array_join(F.transform(c, lambda x: x["label"]), "; ")
     several = F.coalesce(F.size("damage_by_unit"), F.lit(0)) > 1
     listed = F.array_join(F.transform("damage_by_unit", lambda d: F.concat(d["amount"].cast("double").cast("string"), F.lit(" "), d["unit"])), " | ")

@@ -6,10 +6,13 @@ impacts, and two orders of one customer within thirty days are alternates of eac
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.model import EventStore
+from tidemark.session import shared_folder
 
 #: id, parent. The tree that part types hang in.
 TAXONOMY = [
@@ -28,7 +31,20 @@ def event_id(key="o_orderkey"):
     return F.concat(F.lit("https://example.org/"), source, F.lit("/"), F.col(key).cast("string"))
 
 
+_SAVED: dict[tuple[str, str], EventStore] = {}
+
+
 def driver_store(spark: SparkSession, sf_dir: str) -> EventStore:
+    """The store over a folder of tables, loaded once a session: its tables, closures and suppressed ids lie in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAVED:
+        folder = f"{shared_folder(spark)}/store-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+        _SAVED[key] = loaded_store(spark, sf_dir).saved(folder)
+    return _SAVED[key]
+
+
+def loaded_store(spark: SparkSession, sf_dir: str) -> EventStore:
+    """The plans that make a store of a folder of tables."""
     table = lambda name: read(spark, sf_dir, name)
     orders, lines = table("orders"), table("lineitem")
     key = F.col("o_orderkey")

@@ -41,3 +41,10 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder, with its lineage cut; survives lost executors. For slim rows."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, path: str, *partitions: str) -> DataFrame:
+    """``df`` written to ``path`` as Parquet and read again, so that Spark knows its size and can push filters into it."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
