@@ -23,6 +23,8 @@ class Axioms:
     inverse: list[tuple[str, str]] = field(default_factory=list)
     transitive: list[str] = field(default_factory=list)
     chains: list[tuple[str, str, str]] = field(default_factory=list)  # first, second, implied
+    domain: list[tuple[str, str]] = field(default_factory=list)  # property, class of its subjects
+    range: list[tuple[str, str]] = field(default_factory=list)  # property, class of its objects, which must be nodes
 
 
 def _above(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
@@ -57,11 +59,16 @@ def materialise(triples: DataFrame, axioms: Axioms, regime: str = "owl_lite", mo
     owl = regime == "owl_lite"
     both = axioms.equivalent + [(b, a) for a, b in axioms.equivalent] if owl else []
     classes, properties = _above(axioms.subclass + both), _above(axioms.subproperty + both)
+    grouped = lambda pairs: {p: sorted(c for q, c in pairs if q == p) for p, _ in pairs}
+    domains, ranges = grouped(axioms.domain), grouped(axioms.range)
     inverse = dict(axioms.inverse + [(b, a) for a, b in axioms.inverse]) if owl else {}
     facts = known = durable(facts)
     for _ in range(most_rounds):
         wider = known.filter(F.col("p") == TYPE).select("s", "p", F.explode(_lookup(classes, "o")).alias("o"))
         added = wider.unionByName(known.select("s", F.explode(_lookup(properties, "p")).alias("p"), "o"))
+        for end, table in (("s", domains), ("o", ranges)):
+            if table:
+                added = added.unionByName(known.filter(F.col("p").isin(*table)).select(F.col(end).alias("s"), F.lit(TYPE).alias("p"), F.explode(_lookup(table, "p")).alias("o")))
         if inverse:
             turned = known.filter(F.col("p").isin(*inverse))
             added = added.unionByName(turned.select(F.col("o").alias("s"), _lookup({k: [v] for k, v in inverse.items()}, "p")[0].alias("p"), F.col("s").alias("o")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import hours_between
-from tidemark.plans.graph import Graph
+from tidemark.plans.graph import Graph, literal_rows
 
 EVENT, NAME = ":DisasterEvent", {"event_name": ":eventName"}
 
@@ -32,6 +32,13 @@ def records(graph: Graph, link: str, types: tuple[str, ...] = (), places: tuple[
     return found.join(graph.pairs(":hasLocation", names=("event", "location")), ["event", "location"], "left_semi") if at_event else found
 
 
+def having(graph: Graph, found: DataFrame, column: str, *predicates: str) -> DataFrame:
+    """Rows whose node has a value of each of the predicates."""
+    for p in predicates:
+        found = found.join(graph.pairs(p, names=(column, "_o")).select(column), column, "left_semi")
+    return found
+
+
 def totals(graph: Graph, found: DataFrame, fields: dict[str, str], by: list[str], measured: bool = False) -> DataFrame:
     """Sums of a record's numbers (name: predicate), or of the values of its measures, by the given columns; missing ones count as 0."""
     said = graph.triples.filter(F.col("p").isin(*fields.values())).select(F.col("s").alias("node"), "p", "o")
@@ -62,25 +69,29 @@ def cq1(graph: Graph, type_id: str) -> DataFrame:
 
 
 def cq2(graph: Graph, types: tuple[str, ...]) -> DataFrame:
-    """Events of exactly these types with their places and the regions of those."""
-    placed = events_of(graph, *types, narrower=False).join(graph.pairs(":hasLocation", names=("event", "location")), "event")
+    """Events of exactly these types that have a start, with their labelled places and the regions of those."""
+    placed = having(graph, events_of(graph, *types, narrower=False), "event", ":startDate").join(graph.pairs(":hasLocation", names=("event", "location")), "event")
     regions = graph.lifted(":isPartOf", placed, "location", "region").join(graph.typed(":Region", name="region"), "region", "left_semi")
-    return graph.labelled(graph.labelled(graph.optional(regions, "event", NAME | {"start": ":startDate"}), "location", "location_label"), "region", "region_label")
+    return graph.labelled(graph.labelled(graph.optional(regions, "event", NAME | {"start": ":startDate"}), "location", "location_label"), "region", "region_label").filter("location_label IS NOT NULL AND region_label IS NOT NULL")
 
 
 def cq3(graph: Graph, type_id: str) -> DataFrame:
     """Each type from this one up to the top with the number of events under it, 0 included."""
-    ups = graph.above("skos:broader").filter(F.col("descendant") == type_id).select("ancestor").unionByName(graph.triples.sparkSession.createDataFrame([(type_id,)], "ancestor string"))
+    ups = graph.above("skos:broader").filter(F.col("descendant") == type_id).select("ancestor").unionByName(literal_rows(graph.triples.sparkSession, [type_id], "ancestor"))
     links = graph.pairs(":hasDisasterType", names=("event", "type_id")).join(graph.typed(EVENT, name="event"), "event", "left_semi")
     counted = graph.lifted("skos:broader", links, "type_id", "ancestor").groupBy("ancestor").agg(F.count_distinct("event").alias("events"))
     return graph.labelled(ups.distinct().join(counted, "ancestor", "left").na.fill(0, ["events"]), "ancestor", "label")
 
 
 def cq4(graph: Graph, type_id: str, regions: tuple[str, ...]) -> DataFrame:
-    """Events below a type with the provinces, within the regions, of their places."""
-    placed = events_of(graph, type_id).join(graph.pairs(":hasLocation", names=("event", "location")), "event").join(graph.within(":isPartOf", *regions, name="location"), "location", "left_semi")
+    """Events below a type that have a start, with the provinces of their places within the regions, and the regions of those."""
+    started = having(graph, events_of(graph, type_id), "event", ":startDate")
+    placed = started.join(graph.pairs(":hasLocation", names=("event", "location")), "event").join(graph.within(":isPartOf", *regions, name="location"), "location", "left_semi")
     provinces = graph.lifted(":isPartOf", placed, "location", "province").join(graph.typed(":Province", name="province"), "province", "left_semi")
-    return graph.labelled(graph.optional(provinces, "event", NAME), "province", "province_name").select("event", "event_name", "type_id", "province_name").distinct()
+    above = graph.above(":isPartOf").toDF("province", "region").join(graph.typed(":Region", name="region"), "region", "left_semi")
+    named = graph.labelled(graph.labelled(graph.labelled(provinces.join(above, "province"), "province", "province_name"), "region", "region_name"), "type_id", "type_label")
+    described = graph.optional(named, "event", NAME | {"start": ":startDate"}).filter("province_name IS NOT NULL AND region_name IS NOT NULL")
+    return described.select("event", "event_name", "start", "type_id", "type_label", "province_name", "region_name").distinct()
 
 
 def cq5(graph: Graph, types: tuple[str, ...], regions: tuple[str, ...], year: int) -> DataFrame:
@@ -91,13 +102,14 @@ def cq5(graph: Graph, types: tuple[str, ...], regions: tuple[str, ...], year: in
 
 
 def cq6(graph: Graph, region: str) -> DataFrame:
-    """Displaced families and persons by event in a region."""
-    return totals(graph, records(graph, ":hasAffectedPopulation", places=(region,), at_event=True), {"families": ":displacedFamilies", "persons": ":displacedPersons"}, ["event"])
+    """Displaced families and persons by event with a start in a region, of records that say both."""
+    found = having(graph, having(graph, records(graph, ":hasAffectedPopulation", places=(region,), at_event=True), "event", ":startDate"), "node", ":displacedPersons", ":displacedFamilies")
+    return totals(graph, found, {"families": ":displacedFamilies", "persons": ":displacedPersons"}, ["event"])
 
 
 def cq7(graph: Graph, type_id: str, region: str) -> DataFrame:
     """Casualties by province of a region and kind."""
-    found = graph.optional(with_area(graph, records(graph, ":hasCasualties", (type_id,), at_event=True), ":Province", region), "node", {"kind": ":isOfCasualtyType"})
+    found = graph.optional(with_area(graph, records(graph, ":hasCasualties", (type_id,), at_event=True), ":Province", region), "node", {"kind": ":isOfCasualtyType"}).filter("kind IS NOT NULL")
     return totals(graph, found, {"total": ":casualtyCount"}, ["area_name", "kind"])
 
 
@@ -170,10 +182,10 @@ def cq17(graph: Graph, place: str) -> DataFrame:
     return described(graph, records(graph, ":hasRescue", places=(place,)), {"unit": ":rescueUnit", "equipment": ":rescueEquipment"}).select("event", "event_name", "unit", "equipment").distinct()
 
 
-def cq18(graph: Graph, region: str, income_class: str) -> DataFrame:
+def cq18(graph: Graph, region: str, income_class: str, level: str = ":Municipality", above: str = ":Province") -> DataFrame:
     """Municipalities of an income class with an event, and whether any such event had a pre-emptive evacuation."""
-    towns = graph.typed(":Municipality", name="town").join(graph.within(":isPartOf", region, name="town"), "town", "left_semi").join(graph.pairs(":incomeClassification", names=("town", "income")).filter(F.col("income") == income_class), "town", "left_semi")
-    parents = graph.pairs(":isPartOf", names=("town", "province")).join(graph.typed(":Province", name="province"), "province", "left_semi")
+    towns = graph.typed(level, name="town").join(graph.within(":isPartOf", region, name="town"), "town", "left_semi").join(graph.pairs(":incomeClassification", names=("town", "income")).filter(F.col("income") == income_class), "town", "left_semi")
+    parents = graph.pairs(":isPartOf", names=("town", "province")).join(graph.typed(above, name="province"), "province", "left_semi")
     events = graph.pairs(":hasLocation", names=("event", "town")).join(graph.typed(EVENT, name="event"), "event", "left_semi")
     evacuated = graph.pairs(":hasPreemptiveEvacuation", names=("event", "node")).select("event", F.lit(1).alias("pre")).distinct()
     found = events.join(towns.join(parents, "town"), "town").join(evacuated, "event", "left").groupBy("town", "province").agg(F.max(F.coalesce("pre", F.lit(0))).alias("pre"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.hierarchy import path_closure
@@ -12,6 +12,11 @@ from tidemark.operators.hierarchy import path_closure
 LABELS = ["rdfs:label", "skos:prefLabel"]
 
 
+def literal_rows(spark: SparkSession, values: list[str] | tuple[str, ...], name: str) -> DataFrame:
+    """Constants as rows, a plan of known size; none gives no rows."""
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, values)).cast("array<string>")).alias(name))
+
+
 class Graph:
     """Views of a triple table by predicate, and the closures that questions share, each worked out once."""
 
@@ -25,7 +30,7 @@ class Graph:
     def typed(self, *classes: str, name: str = "s") -> DataFrame:
         """Nodes of the classes or of any below them."""
         below = self.above("rdfs:subClassOf").filter(F.col("ancestor").isin(*classes)).select(F.col("descendant").alias("o"))
-        wanted = below.unionByName(self.triples.sparkSession.createDataFrame([(c,) for c in classes], "o string")).distinct()
+        wanted = below.unionByName(literal_rows(self.triples.sparkSession, classes, "o")).distinct()
         return self.pairs("rdf:type").join(wanted, "o", "left_semi").select(F.col("s").alias(name)).distinct()
 
     def above(self, predicate: str) -> DataFrame:
@@ -37,7 +42,7 @@ class Graph:
     def within(self, predicate: str, *tops: str, name: str) -> DataFrame:
         """Nodes that a path ``*`` leads from to one of ``tops``."""
         below = self.above(predicate).filter(F.col("ancestor").isin(*tops)).select(F.col("descendant").alias(name))
-        return below.unionByName(self.triples.sparkSession.createDataFrame([(t,) for t in tops], f"{name} string")).distinct()
+        return below.unionByName(literal_rows(self.triples.sparkSession, tops, name)).distinct()
 
     def lifted(self, predicate: str, df: DataFrame, column: str, name: str) -> DataFrame:
         """``df`` with each ancestor (path ``*``) of a column."""
@@ -45,6 +50,10 @@ class Graph:
         own = df.select(column).distinct().select(F.col(column).alias("_d"), F.col(column).alias(name))
         return df.join(ups.unionByName(own).distinct(), df[column] == F.col("_d")).drop("_d")
 
+    def literals(self) -> DataFrame:
+        """All literals whatever their property, as the top data property has them: s, p, o."""
+        return self.triples.filter("o_kind = 'literal'").select("s", "p", "o")
+
     def optional(self, df: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
         """``df`` with a column for each field (name: predicate) of a node; null where it has none, repeated where it has several."""
         for name, predicate in fields.items():
@@ -59,7 +68,7 @@ class Graph:
 def event_scope(graph: Graph, root: str) -> DataFrame:
     """An event and its related incidents, with their names."""
     spark = graph.triples.sparkSession
-    own = spark.createDataFrame([(root,)], "event string")
+    own = literal_rows(spark, [root], "event")
     related = graph.pairs(":hasRelatedIncident", names=("a", "event")).filter(F.col("a") == root).select("event")
     return graph.optional(own.unionByName(related).distinct(), "event", {"event_name": ":eventName"})
 
@@ -99,7 +108,7 @@ def event_sources(graph: Graph, root: str) -> DataFrame:
 def event_details(graph: Graph, root: str) -> DataFrame:
     """Everything on an event's page as tagged rows: kind, resource, label, start, end. Raises LookupError for an unknown event."""
     spark = graph.triples.sparkSession
-    own = spark.createDataFrame([(root,)], "event string")
+    own = literal_rows(spark, [root], "event")
     dates = {"start": ":startDate", "end": ":endDate"}
     core = graph.optional(own.join(graph.pairs("rdf:type", names=("event", "class")), "event"), "event", {"label": ":eventName", **dates})
     if core.isEmpty():
@@ -134,6 +143,18 @@ def ontology_links(graph: Graph, namespace: str) -> DataFrame:
     return subclass.unionByName(spans.join(wider, ["property", "source"], "left_anti").select("source", "target", "property")).distinct()
 
 
+def leaves(graph: Graph, kind: str, of: str, below: str) -> DataFrame:
+    """Nodes with a ``kind`` link to ``of`` that no other node is ``below``."""
+    nodes = graph.pairs(kind).filter(F.col("o") == of).select(F.col("s").alias("node")).distinct()
+    return nodes.join(graph.pairs(below, names=("lower", "node")).select("node"), "node", "left_anti")
+
+
+def taxonomy(graph: Graph, types: DataFrame) -> DataFrame:
+    """Each type (id) with its label and its broader type, null at the top; the rows that ``tree`` nests."""
+    named = graph.labelled(types.distinct(), "id", "label")
+    return graph.optional(named, "id", {"parent": "skos:broader"}).select("id", "label", "parent")
+
+
 def places_of_level(graph: Graph, level: str) -> DataFrame:
     """Places of a class with label, the place they are part of, and its label."""
     found = graph.optional(graph.typed(level, name="place"), "place", {"parent": ":isPartOf"})

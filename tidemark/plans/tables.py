@@ -11,8 +11,9 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.model import EventStore
-from tidemark.session import shared_folder
+from tidemark.model import EventStore, store_triples
+from tidemark.plans.graph import Graph
+from tidemark.session import shared_folder, stored
 
 #: id, parent. The tree that part types hang in.
 TAXONOMY = [
@@ -79,6 +80,87 @@ def loaded_store(spark: SparkSession, sf_dir: str) -> EventStore:
     )
 
 
+# --- the same data as triples, with a record for each line item ---
+
+#: Of a record: when (by line), link from its event, class, plain values, and values with a unit (as blank nodes).
+RECORDS = [
+    ("l_linenumber = 1", "hasAffectedPopulation", "AffectedPopulation", {"displacedFamilies": "l_suppkey % 9 + 1", "displacedPersons": "if(l_partkey % 4 = 0, NULL, int(l_quantity))"}, {}),
+    ("l_linenumber = 2", "hasCasualties", "Casualties", {"casualtyCount": "int(l_quantity)", "isOfCasualtyType": "l_returnflag"}, {}),
+    ("l_linenumber = 3", "hasPreemptiveEvacuation", "PreemptiveEvacuation", {"evacuationCenters": "int(l_quantity)"}, {}),
+    ("l_linenumber = 4", "hasInfrastructureDamage", "InfrastructureDamage", {}, {"infraDamageAmount": "decimal(l_extendedprice)", "socialDamageAmount": "if(l_partkey % 2 = 0, l_suppkey, NULL)"}),
+    ("l_linenumber = 5", "hasHousingDamage", "HousingDamage", {"totallyDamagedHouses": "if(l_returnflag = 'A', int(l_quantity), NULL)", "partiallyDamagedHouses": "if(l_returnflag <> 'A', int(l_quantity), NULL)"}, {}),
+    ("l_linenumber = 6", "hasAgricultureDamage", "AgricultureDamage", {"productionLossVolume": "int(l_quantity)"}, {"agriDamageAmount": "if(l_partkey % 3 = 0, l_suppkey + 1, NULL)", "productionLossCost": "if(l_partkey % 3 = 1, l_suppkey + 2, NULL)"}),
+    ("l_linenumber = 7 AND l_suppkey % 6 = 0", "hasSeaportDisruption", "SeaportDisruption", {"portOrTerminalName": "concat('Port ', l_suppkey)", "portStatus": "if(l_partkey % 4 = 0, NULL, l_linestatus)"}, {}),
+    ("l_linenumber = 7 AND l_suppkey % 6 = 1", "hasAirportDisruption", "AirportDisruption", {"portOrTerminalName": "concat('Field ', l_suppkey)", "cancellationDateTime": "date_format(l_shipdate, \"yyyy-MM-dd'T'HH:mm:ss\")", "resumptionDateTime": "if(l_partkey % 4 = 0, NULL, date_format(l_shipdate + make_dt_interval(0, int(l_quantity)), \"yyyy-MM-dd'T'HH:mm:ss\"))"}, {}),
+    ("l_linenumber = 7 AND l_suppkey % 6 = 2", "hasClassSuspension", "ClassSuspension", {"fromClassLevel": "l_returnflag", "toClassLevel": "if(l_partkey % 4 = 0, NULL, l_linestatus)"}, {}),
+    ("l_linenumber = 7 AND l_suppkey % 6 = 3", "hasAssistance", "Assistance", {"itemTypeOrNeeds": "l_returnflag", "contributingOrg": "concat('org/', l_suppkey)"}, {"contributionAmount": "int(l_quantity)"}),
+    ("l_linenumber = 7 AND l_suppkey % 6 = 4", "hasDeclarationOfCalamity", "DeclarationOfCalamity", {"resolutionDate": "if(l_partkey % 4 = 0, NULL, date_format(l_shipdate, 'yyyy-MM-dd'))"}, {}),
+    ("l_linenumber = 7 AND l_suppkey % 6 = 5", "hasRescue", "Rescue", {"rescueUnit": "concat('Unit ', l_suppkey % 7)", "rescueEquipment": "if(l_partkey % 4 = 0, NULL, l_returnflag)"}, {}),
+]
+#: Values that are nodes.
+_NODES = {"contributingOrg"}
+#: Facts of the classes and their properties.
+ONTOLOGY = [
+    *[(f":{c}", "rdfs:subClassOf", ":DisasterEvent") for c in ("MajorEvent", "Incident")], *[(f":{cls}", "rdfs:subClassOf", ":Impact") for _, _, cls, _, _ in RECORDS[:6]],
+    *[(f":{c}", "rdf:type", "owl:Class") for c in ("DisasterEvent", "MajorEvent", "Incident", "Impact", *[cls for _, _, cls, _, _ in RECORDS])],
+    *[(f":{link}", "rdfs:subPropertyOf", ":hasImpact") for _, link, _, _, _ in RECORDS[:6]], *[(f":{link}", "rdfs:domain", ":DisasterEvent") for _, link, _, _, _ in RECORDS], *[(f":{link}", "rdfs:range", f":{cls}") for _, link, cls, _, _ in RECORDS],
+]
+RECORD, ORGANISATION = "https://example.org/record/", "https://example.org/org/"
+
+
+def loaded_triples(spark: SparkSession, sf_dir: str, store: EventStore) -> DataFrame:
+    """The triples of the store, of its records, of where events come from, and of the ontology: s, p, o, o_kind."""
+    table = lambda name: read(spark, sf_dir, name)
+    triple = lambda s, p, o, kind: F.struct(s.cast("string").alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"))
+    places = table("orders").select("o_orderkey", "o_custkey").join(table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    lines = table("lineitem").join(places, F.col("l_orderkey") == F.col("o_orderkey")).withColumns({
+        "event": event_id("l_orderkey"), "node": F.concat(F.lit(RECORD), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")),
+        "code": F.concat(F.lit("N"), F.when(F.col("l_partkey") % 5 == 0, F.col("l_suppkey") % 25).otherwise(F.col("c_nationkey")).cast("string")),
+    })
+    made = F.array().cast("array<struct<s:string,p:string,o:string,o_kind:string>>")
+    found = F.lit(None)
+    for when, link, cls, values, measures in RECORDS:
+        own = [triple(F.col("event"), f":{link}", F.col("node"), "iri"), triple(F.col("node"), "rdf:type", F.lit(f":{cls}"), "iri"), triple(F.col("node"), ":hasLocation", F.col("code"), "iri")]
+        own += [triple(F.col("node"), f":{name}", F.expr(value), "iri" if name in _NODES else "literal") for name, value in values.items()]
+        for name, value in measures.items():
+            blank = F.when(F.expr(value).isNotNull(), F.concat(F.lit("_:"), F.substring("node", len(RECORD) + 1, 100), F.lit(f"/{name}")))
+            own += [triple(F.col("node"), f":{name}", blank, "blank"), triple(blank, "qudt:numericValue", F.expr(value), "literal"), triple(blank, "qudt:unit", F.lit("PHP"), "iri")]
+        found = F.coalesce(found, F.when(F.expr(when), F.array(*own)))
+    records = lines.select(F.explode(F.coalesce(found, made)).alias("t")).select("t.*").filter("s IS NOT NULL AND o IS NOT NULL")
+    key = F.col("o_orderkey")
+    origin = table("orders").select(F.explode(F.array(
+        triple(event_id(), "prov:wasDerivedFrom", F.concat(F.lit("rec/"), key.cast("string")), "iri"), triple(F.concat(F.lit("rec/"), key.cast("string")), "prov:wasDerivedFrom", F.concat(F.lit("rep/"), (key % 50).cast("string")), "iri"),
+        triple(F.concat(F.lit("rep/"), (key % 50).cast("string")), "prov:wasAttributedTo", F.concat(F.lit(ORGANISATION), (key % 50 % 7).cast("string")), "iri"),
+    )).alias("t")).select("t.*").distinct()
+    classes = store.event.select("event", "event_class")
+    related = (
+        store.alternate.join(classes.filter("event_class = 'MajorEvent'").select(F.col("event").alias("a")), "a").join(classes.filter("event_class = 'Incident'").select(F.col("event").alias("b")), "b")
+        .select(F.explode(F.array(triple(F.col("a"), ":hasRelatedIncident", F.col("b"), "iri"), triple(F.col("b"), ":isRelatedTo", F.col("a"), "iri"))).alias("t")).select("t.*")
+    )
+    levels = store.location.select(F.col("code").alias("s"), F.lit("rdf:type").alias("p"), F.concat(F.lit(":"), "level").alias("o"), F.lit("iri").alias("o_kind"))
+    incomes = store.location.filter("level = 'Province'").select(F.col("code").alias("s"), F.lit(":incomeClassification").alias("p"), F.concat((F.substring("code", 2, 9).cast("int") % 3 + 1).cast("string"), F.lit("th")).alias("o"), F.lit("literal").alias("o_kind"))
+    labels = store.taxonomy.select(F.col("id").alias("s"), F.lit("skos:prefLabel").alias("p"), F.lower("label").alias("o"), F.lit("literal").alias("o_kind"))
+    rows = F.explode(F.array(*[triple(F.lit(s), p, F.lit(o), "iri") for s, p, o in ONTOLOGY]))
+    ontology = spark.range(1).select(rows.alias("t")).select("t.*")
+    out = store_triples(store, "driver").select("s", "p", "o", "o_kind")
+    for part in (records, origin, related, levels, incomes, labels, ontology):
+        out = out.unionByName(part)
+    return out
+
+
+_GRAPHS: dict[tuple[str, str], Graph] = {}
+
+
+def driver_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph over a folder of tables, loaded once a session: triples by predicate in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _GRAPHS:
+        folder = f"{shared_folder(spark)}/graph-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+        triples = loaded_triples(spark, sf_dir, driver_store(spark, sf_dir))
+        _GRAPHS[key] = Graph(stored(triples.repartition("p"), folder, "p"))
+    return _GRAPHS[key]
+
+
 _EVENT = "'https://example.org/' || ['ndrrmc', 'dromic', 'emdat', 'gda'][CAST({0} % 4 + 1 AS INTEGER)] || '/' || CAST({0} AS VARCHAR)"
 _TREE = ", ".join(f"('{i}', {'NULL' if p is None else repr(p)})" for i, p in TAXONOMY)
 
@@ -111,3 +193,12 @@ by_unit AS (SELECT event, unit, sum(amount) AS amount FROM lines GROUP BY event,
 rooted AS (SELECT DISTINCT s.event, s.start_date, c.ancestor AS grp FROM shown s JOIN event_type t ON t.event = s.event
     JOIN taxonomy_closure c ON c.descendant = t.type_id JOIN taxonomy x ON x.id = c.ancestor AND x.parent IS NULL)
 """
+#: And what the graph adds: records with their event's place, and where events come from.
+GRAPH_SQL = STORE_SQL + f""", rec AS (SELECT {_EVENT.format("l_orderkey")} AS event, '{RECORD}' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS node,
+    'N' || CASE WHEN l_partkey % 5 = 0 THEN l_suppkey % 25 ELSE c_nationkey END AS location, 'N' || c_nationkey AS own, l.*, CAST(l_quantity AS BIGINT) AS q
+    FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey),
+raw AS (SELECT *, CASE WHEN event_name LIKE 'Order %' THEN event_name END AS name FROM event),
+origin AS (SELECT {_EVENT.format("o_orderkey")} AS event, '{ORGANISATION}' || (o_orderkey % 50 % 7) AS source, 'rep/' || (o_orderkey % 50) AS record FROM orders),
+related AS (SELECT a, b FROM alternate JOIN event x ON x.event = a AND x.event_class = 'MajorEvent' JOIN event y ON y.event = b AND y.event_class = 'Incident'),
+typed AS (SELECT DISTINCT t.event, t.type_id, c.ancestor FROM event_type t JOIN taxonomy_closure c ON c.descendant = t.type_id JOIN event e ON e.event = t.event)
+"""
