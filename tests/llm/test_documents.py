@@ -170,7 +170,7 @@ def test_bucket_links_match_brute_force(monkeypatch):
     rng = np.random.default_rng(1)
     for bits, n in ((14, 120), (20, 150), (30, 60)):
         nodes = np.unique(rng.integers(0, 1 << bits, n).astype(np.uint64))
-        for pairs in (1 << 22, 64):
+        for pairs in (1 << 19, 64):
             monkeypatch.setattr(near_dedup, "BLOCK_PAIRS", pairs)
             assert near_dedup.bucket_links(nodes).tolist() == _classes(nodes.tolist())
 
@@ -228,6 +228,20 @@ def test_remaining_characters_are_whole_and_marks_of_the_input_stay(spark):
     assert got == {1: rows[0][1], 2: "caf\ufffd kept? \u00e8 \ufffd tail", 3: "\ufffd alone"}
 
 
+def test_touched_characters_match_a_look_at_each():
+    rng = np.random.default_rng(3)
+    text = "aé€😀" * 40
+    data = np.frombuffer(text.encode(), np.uint8)
+    for share in (0.02, 0.2, 0.9):
+        gone = rng.random(len(data)) < share
+        expected, at = [], 0
+        for c in text:
+            n = len(c.encode())
+            expected += [bool(gone[at : at + n].any())] * n
+            at += n
+        assert suffix_dedup.touched_characters(data, gone).tolist() == expected
+
+
 def test_large_anchor_groups_fall_back_to_offsets(monkeypatch):
     rng = np.random.default_rng(2)
     n = 60

@@ -26,7 +26,7 @@ FINGERPRINTS = "doc_id long, bits long"
 #: Nodes from which on a bucket is dealt again.
 CROWDED = 8192
 #: Nodes whose pairs are looked at together, at most.
-BLOCK_PAIRS = 1 << 22
+BLOCK_PAIRS = 1 << 19
 #: Vectors of the bits, drawn once for either set of masks; every run uses the same tables.
 _VECTORS = [np.random.default_rng(seed).permutation(np.tile(np.arange(1, 2 ** (RADIUS + 1)), 5))[:64] for seed in (20240229, 55)]
 

@@ -224,8 +224,7 @@ class Group:
         kept = [raw[i:j][~gone[i:j]].tobytes() if n else raw[i:j].tobytes() for i, j, n in parts]
         remaining = kept
         if whole_characters:
-            cut = touched_characters(raw, gone)
-            remaining = [raw[i:j][~cut[i:j]].tobytes() if n else k for (i, j, n), k in zip(parts, kept, strict=True)]
+            remaining = [raw[i:j][~touched_characters(raw[i:j], gone[i:j])].tobytes() if n else k for (i, j, n), k in zip(parts, kept, strict=True)]
         return pa.table({
             "doc_id": self.docs["doc_id"], "n_bytes": pa.array(np.diff(self.starts)), "n_removed": pa.array(removed), "n_spans": pa.array(spans),
             "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "remaining": pa.array(remaining, pa.binary()),
@@ -233,12 +232,13 @@ class Group:
 
 
 def touched_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
-    """Whether each byte belongs to a code point that has a byte in ``gone``; texts stand one after another in ``data``."""
-    if not len(data):
-        return gone
-    first = np.flatnonzero((data & 0xC0) != 0x80)
-    first = first if len(first) and first[0] == 0 else np.concatenate([[0], first])
-    return np.repeat(np.logical_or.reduceat(gone, first), np.diff(np.concatenate([first, [len(data)]])))
+    """Whether each byte of a text belongs to a code point that has a byte in ``gone``. Only the ends of runs are looked at."""
+    out = gone.copy()
+    inner = (data & 0xC0) == 0x80  # bytes that go on with a code point
+    for _ in range(3):  # a code point has at most four bytes
+        out[:-1] |= out[1:] & inner[1:]
+        out[1:] |= out[:-1] & inner[1:]
+    return out
 
 
 def repeated_windows(content: np.ndarray, left: np.ndarray, right: np.ndarray, keys: np.ndarray) -> np.ndarray:
