@@ -40,6 +40,46 @@ def check_less_or_equal(df: DataFrame, key: str, low: str, high: str) -> DataFra
     return _violations(df.filter(F.col(low) > F.col(high)), key, f"order:{low}:{high}", F.col(low))
 
 
+def check_node_kind(triples: DataFrame, predicate: str, kind: str) -> DataFrame:
+    """Values of a predicate that are no node of the kind (iri, blank or literal)."""
+    return _violations(triples.filter((F.col("p") == predicate) & (F.col("o_kind") != kind)), "s", f"kind:{predicate}", F.col("o"))
+
+
+def check_has_value(nodes: DataFrame, key: str, links: DataFrame, link_key: str, value: str, wanted: str) -> DataFrame:
+    """Nodes that have no link to a wanted value."""
+    having = links.filter(F.col(value) == wanted).select(F.col(link_key).alias(key))
+    return _violations(nodes.select(key).distinct().join(having, key, "left_anti"), key, f"value:{wanted}", F.lit(None))
+
+
+# Of each level of places its code and the levels of what it is part of.
+PLACE_SHAPES = {
+    "Reg": (r"^[0-9]{2}00000000$", ["Island Group"]),
+    "Prov": (r"^[0-9]{5}00000$", ["Reg"]),
+    "City": (r"^[0-9]{7}000$", ["Prov", "Reg"]),
+    "Mun": (r"^[0-9]{7}000$", ["Prov", "Reg"]),
+    "SubMun": (r"^[0-9]{10}$", ["City", "Mun", "Prov"]),
+    "Bgy": (r"^[0-9]{10}$", ["City", "Mun", "SubMun"]),
+}
+
+
+def check_places(places: DataFrame) -> DataFrame:
+    """Places (code, level, parent) whose code is none of their level, or whose parent is missing, unknown or of a wrong level."""
+    pattern, above = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    for level, (code, parents) in PLACE_SHAPES.items():
+        pattern, above = F.when(F.col("level") == level, F.lit(code)).otherwise(pattern), F.when(F.col("level") == level, F.array(*map(F.lit, parents))).otherwise(above)
+    known = places.select(F.col("code").alias("parent"), F.col("level").alias("_above"))
+    marked = places.select("code", "level", "parent").join(known, "parent", "left").withColumns({"_pattern": pattern, "_wanted": above})
+    bad_level = _violations(marked.filter("_pattern IS NULL AND level NOT IN ('Country', 'Island Group')"), "code", "level", F.col("level"))
+    bad_code = _violations(marked.filter(~F.expr("code RLIKE _pattern")), "code", "code", F.col("level"))
+    bad_parent = _violations(marked.filter(F.col("_wanted").isNotNull() & ~F.coalesce(F.array_contains("_wanted", F.col("_above")), F.lit(False))), "code", "parent", F.col("parent"))
+    return bad_level.unionByName(bad_code).unionByName(bad_parent)
+
+
+def focus_nodes(triples: DataFrame, target: str, base: str) -> DataFrame:
+    """The nodes of a class that a batch types itself: those that shapes are held against."""
+    return triples.filter((F.col("p") == "rdf:type") & (F.col("o") == target) & F.col("s").startswith(base)).select(F.col("s").alias("focus")).distinct()
+
+
 def check_detail(nodes: DataFrame, key: str, details: DataFrame, detail_key: str) -> DataFrame:
     """Nodes that say nothing beyond where they are."""
     return _violations(nodes.join(details.select(F.col(detail_key).alias(key)), key, "left_anti"), key, "detail", F.lit(None))

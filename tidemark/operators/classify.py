@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.rules import GROUPS, RULES
+
 #: Triggers, label, and words of which one must be there as well (none: always).
 Rule = tuple[list[str], str, list[str]]
 
-#: A small rule set for floods, storms and fires; callers pass their own.
-RULES: list[Rule] = [
-    (["flash flood", "flashflood"], "FlashFlood", []), (["flood", "inundation"], "FloodGeneral", []),
-    (["landslide", "land slide"], "LandslideWet", ["rain", "flood", "storm"]), (["landslide", "land slide"], "LandslideDry", []),
-    (["storm surge"], "StormSurge", []), (["typhoon", "tropical storm", "tropical cyclone"], "TropicalCyclone", []),
-    (["earthquake", "tremor"], "GroundMovement", []), (["fire", "blaze"], "FireMiscellaneous", []), (["drought", "dry spell"], "Drought", []),
-]
-
-
-def rule_labels(text: Column, rules: list[Rule]) -> Column:
+def rule_labels(text: Column, rules: list[Rule] = RULES) -> Column:
     """All labels whose rule fires, in the order of the rules, each once."""
     low = F.lower(text)
     has = lambda words: low.rlike("|".join("\\Q" + w.lower() + "\\E" for w in words))
@@ -25,7 +18,7 @@ def rule_labels(text: Column, rules: list[Rule]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*fired)))
 
 
-def routed(labels: Column, groups: list[set[str]]) -> Column:
+def routed(labels: Column, groups: list[set[str]] = GROUPS) -> Column:
     """Struct of the label that the rules settle and the candidates for a model otherwise.
 
     One label, or a first label in no group of alike ones, is settled; several alike ones are left to a model with the

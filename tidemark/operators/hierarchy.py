@@ -72,3 +72,27 @@ def resolve_parents(places: DataFrame) -> DataFrame:
     named = places.withColumn("candidate", place_parent(F.col("code"), F.col("level"))).join(known, "candidate", "left")
     ok = F.col("known") & (F.col("candidate") != F.col("code"))
     return named.withColumn("parent", F.when(F.col("level") == "Reg", None).when(ok, F.col("candidate")).when(region != F.col("code"), region)).drop("candidate", "known")
+
+
+#: Levels of places.
+PLACE_LEVELS = ["Reg", "Prov", "City", "Mun", "SubMun", "Bgy"]
+
+
+def clean_places(cells: DataFrame, headers: dict[str, str], blank: str = "note") -> DataFrame:
+    """A table of places out of its sheet: the first nameless column is named ``blank``, codes have ten digits, empty texts
+    are null, and rows of no known level go."""
+    names, nameless = [], True
+    for c in cells.columns:
+        empty = not c.strip() or c.startswith("_c")
+        names.append(blank if empty and nameless else headers.get(c, c))
+        nameless = nameless and not empty
+    named = cells.toDF(*names)
+    texts = {c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in named.columns}
+    return named.withColumns(texts | {"code": F.lpad(F.trim(F.col("code").cast("string")), 10, "0")}).filter(F.col("level").isin(*PLACE_LEVELS))
+
+
+def search_tree(nodes: DataFrame, key: str, label: str, parent: str, text: str) -> DataFrame:
+    """The nodes whose label has a text in it (matched) and all that they lie below: what a tree shows for a search."""
+    hit = nodes.filter(F.contains(F.lower(label), F.lit(text.lower()))).select(F.col(key).alias("descendant"))
+    shown = closure(nodes, key, parent).join(hit, "descendant", "left_semi").groupBy(F.col("ancestor").alias(key)).agg(F.max(F.col("depth") == 0).alias("matched"))
+    return nodes.join(shown, key)

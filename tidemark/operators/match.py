@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.similarity import best_ratio, sort_ratio, sorted_tokens
-from tidemark.functions.strings import folded
+from tidemark.functions.similarity import best_ratio, sort_ratio, sorted_tokens, token_sort_ratio, weighted_ratio
+from tidemark.functions.strings import folded, substitute
 
 
 def match_names(queries: DataFrame, names: DataFrame, least: float = 0.79, exact_ratio: bool = False) -> DataFrame:
@@ -67,3 +71,53 @@ def near_names(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
     queries = asked.withColumn("s", sorted_tokens(F.col("q"))).withColumn("block", F.length("s"))
     met = queries.join(names, "block").filter(F.levenshtein("s", "t") <= (1 - least) * (F.length("s") + F.length("t")) + 1e-6)
     return met.withColumn("score", sort_ratio(F.col("s"), F.col("t"))).filter(F.col("score") >= least).drop("block", "s", "t")
+
+
+#: Names that a query is held against one by one, at most; they travel with the task.
+MOST_NAMES = 50_000
+
+
+def match_flat(texts: DataFrame, places: DataFrame, aliases: dict[str, str], broad: dict[str, list[str]] | None = None, least: float = 0.80) -> DataFrame:
+    """texts (text) with codes (a list), the name that fits and the score, of the places (name, code) of any level.
+
+    Aliases (name in lower case: code) come first. A text ``X City`` is looked for as ``City of X``, and only if that finds
+    nothing as it is. The score is the better of the weighted and the token sort ratio. Texts that nothing fits get the
+    codes of the first ``broad`` word (in lower case) that they hold. Distinct texts are matched once; ``places`` has at
+    most ``MOST_NAMES`` names, or this raises ValueError.
+    """
+    names = [tuple(r) for r in places.select("name", "code").filter("name IS NOT NULL").orderBy("name", "code").limit(MOST_NAMES + 1).collect()]
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    low = [(name.lower(), name, code) for name, code in names]
+
+    def best(text: str) -> tuple[float, str, str] | None:
+        scored = ((max(weighted_ratio(text, n), token_sort_ratio(text, n)), name, code) for n, name, code in low)
+        found = max(scored, key=lambda s: s[0], default=None)
+        return found if found and found[0] >= least else None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for text in frame["text"]:
+                said = text.strip().lower()
+                city = re.fullmatch(r"(.+?)\s+city", said)
+                if said in aliases:
+                    rows.append((text, [aliases[said]], said, 1.0))
+                elif found := (city and best(f"city of {city[1]}")) or best(said):
+                    rows.append((text, [found[2]], found[1], found[0]))
+                else:
+                    word = next((w for w in broad or {} if w in said), None)
+                    rows.append((text, (broad or {}).get(word), word, None))
+            yield pd.DataFrame(rows, columns=["text", "codes", "name", "score"])
+
+    distinct = texts.select("text").filter("text IS NOT NULL AND trim(text) <> ''").distinct()
+    return texts.join(distinct.mapInPandas(run, "text string, codes array<string>, name string, score double"), "text", "left")
+
+
+# Abbreviations in names of places.
+PLACE_WORDS = [(r"\bsta\.?", "santa"), (r"\bsto\.?", "santo"), (r"\bgen\.?", "general"), (r"\bbrgy\.?", "barangay"), (r"\bpob\.?", "poblacion"), (r"\bpurok\.?", "purok"), (r"\bmt\.?", "mount")]
+
+
+def place_label(cell: Column) -> Column:
+    """A place's name in lower case with its abbreviations written out."""
+    return substitute(F.lower(F.trim(cell)), PLACE_WORDS)

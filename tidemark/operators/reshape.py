@@ -99,3 +99,28 @@ def split_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     parts = F.arrays_zip(*[F.split(F.trim(F.col(c)), r"\s{2,}").alias(c) for c in columns])
     out = df.select(*[c for c in df.columns if c not in columns], F.explode_outer(parts).alias("_p"))
     return out.select(*[F.col(f"_p.{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+# Names of regions that do not have the word in them.
+REGION_NAMES = ["mimaropa", "calabarzon", "ncr", "car", "barmm", "armm", "caraga", "soccsksargen", "nir"]
+
+
+def move_invalid_regions(df: DataFrame, region: str = "region", target: str = "municipality") -> DataFrame:
+    """Texts in the region column that name no region belong to the other column."""
+    low = F.lower(region)
+    return move_values(df, region, target, ~low.isin(*REGION_NAMES) & ~F.contains(low, F.lit("region")))
+
+
+def null_counts(df: DataFrame, column: str) -> DataFrame:
+    """Cells that hold a bare number, such as a count of villages where their names should be, become null."""
+    return df.withColumn(column, F.when(F.trim(F.col(column).cast("string")).rlike(r"^\d+$"), None).otherwise(F.col(column)))
+
+
+def without_breakdowns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Cells that say ``breakdown`` become null."""
+    return df.withColumns({c: F.when(F.col(c).rlike("breakdown"), None).otherwise(F.col(c)) for c in columns if c in df.columns})
+
+
+def quantity_headers(df: DataFrame) -> DataFrame:
+    """A header with ``region_`` in it is a quantity; ``barangay`` names the village."""
+    return df.withColumnsRenamed({c: "qty" for c in df.columns if "region_" in c} | {"barangay": "hasBarangay"})

@@ -139,3 +139,26 @@ def map_events(store: EventStore, where: EventFilter = ALL) -> DataFrame:
     types = store.event_type.groupBy("event").agg(F.array_join(F.array_sort(F.collect_set("type_id")), ", ").alias("types"))
     dead = store.casualty.filter("kind = 'dead'").groupBy("event").agg(F.sum("cnt").alias("dead"))
     return events.join(types, "event").join(dead, "event", "left").select("event", "event_name", "start_date", "types", "dead")
+
+
+def filter_options(store: EventStore) -> DataFrame:
+    """What events can be filtered by: kind (place, type, class, source), id, label, parent and the number of events below."""
+    dated = store.event.filter("start_date IS NOT NULL").select("event", "event_class", "source")
+    below = lambda links, key, closure: links.join(dated.select("event"), "event", "left_semi").join(closure.withColumnRenamed("descendant", key), key).groupBy(F.col("ancestor").alias("id")).agg(F.count_distinct("event").alias("events"))
+    places = store.location.select(F.lit("place").alias("kind"), F.col("code").alias("id"), "label", "parent").join(below(store.event_location, "code", store.location_closure), "id", "left")
+    types = store.taxonomy.select(F.lit("type").alias("kind"), "id", "label", "parent").join(below(store.event_type, "type_id", store.taxonomy_closure), "id", "left")
+    plain = [dated.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("events")).select(F.lit(kind).alias("kind"), "id", F.col("id").alias("label"), F.lit(None).cast("string").alias("parent"), "events") for kind, c in (("class", "event_class"), ("source", "source"))]
+    out = places.unionByName(types)
+    for part in plain:
+        out = out.unionByName(part)
+    return out.na.fill(0, ["events"]).select("kind", "id", "label", "parent", "events")
+
+
+def top_regions(store: EventStore, where: EventFilter = ALL, most: int = 8) -> DataFrame:
+    """The first of the region rankings, as a bar chart shows them."""
+    return region_rankings(store, where).orderBy(F.desc("events"), "label", "region").limit(most)
+
+
+def instance_counts(store: EventStore) -> DataFrame:
+    """Events of each class and type, those without a start included."""
+    return store.event.join(store.event_type, "event").groupBy("event_class", "type_id").agg(F.count_distinct("event").alias("events"))

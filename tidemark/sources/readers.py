@@ -11,10 +11,10 @@ from tidemark.model import TRIPLES
 def read_cells(spark: SparkSession, path: str, columns: list[str] | None = None, strict: bool = True) -> DataFrame:
     """A CSV table as texts, with the file and the row number in it, so that the order of rows is not lost.
 
-    Files are read whole by one task each, since quoted cells may span lines; ``strict`` fails on broken rows, otherwise
-    they become nulls.
+    Files are read whole by one task each, since quoted cells may span lines; a quote within one is doubled. ``strict``
+    fails on broken rows, otherwise they become nulls.
     """
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, mode="FAILFAST" if strict else "PERMISSIVE")
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', mode="FAILFAST" if strict else "PERMISSIVE")
     df = df.select(*(columns or df.columns), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_id"))
     from tidemark.operators.sequence import row_index
 

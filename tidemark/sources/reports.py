@@ -121,11 +121,14 @@ def displaced_totals(df: DataFrame, inside: str, outside: str, total: str) -> Da
 def split_merged_values(df: DataFrame, columns: list[str], sample: int = 10, share: float = 0.5) -> DataFrame:
     """Spreads cells that hold the numbers of several columns over those columns.
 
-    A column counts as merged if at least ``share`` of its first ``sample`` values (a bounded look at the data) hold several
-    numbers; the commonest count says over how many columns to spread.
+    A column counts as merged if at least ``share`` of its first ``sample`` values by file and row (a bounded look at the
+    data) hold several numbers; the commonest count says over how many columns to spread.
     """
+    order = [c for c in ("file", "row") if c in df.columns]
     for i, column in enumerate(columns):
-        seen = [r[0].strip() for r in df.select(F.col(column).cast("string")).filter(F.col(column).isNotNull()).limit(sample).collect()]
+        some = df.filter(F.col(column).isNotNull())
+        some = some.orderBy(*order) if order else some
+        seen = [r[0].strip() for r in some.select(F.col(column).cast("string")).limit(sample).collect()]
         merged = [v for v in seen if re.fullmatch(r"[\d,.\-]+(?:\s+[\d,.\-]+)+", v)]
         if not merged or len(merged) < share * len(seen):
             continue

@@ -46,8 +46,17 @@ def promote(df: DataFrame, staging: str, target: str, check: Callable[[DataFrame
     jvm = spark._jvm
     source, final = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(target)
     files = source.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(final, True)
-    return files.rename(source, final)
+    # The old table stays beside the new one until that is in place, and comes back if it is not.
+    old = jvm.org.apache.hadoop.fs.Path(target.rstrip("/") + ".old")
+    files.delete(old, True)
+    if files.exists(final) and not files.rename(final, old):
+        return False
+    if not files.rename(source, final):
+        if files.exists(old):
+            files.rename(old, final)
+        return False
+    files.delete(old, True)
+    return True
 
 
 @dataclass

@@ -26,7 +26,7 @@ def link_arrivals(arrivals: DataFrame, all_events: str, pairs: str, checkpoint:
         spark = batch.sparkSession
         batch.write.mode("append").parquet(all_events)
         known = spark.read.parquet(all_events).dropDuplicates(["event"])
-        found = blocked_pairs(known)
+        found = blocked_pairs(known, fresh=batch.dropDuplicates(["event"]))  # no pair of old events is looked at again
         try:
             found = new_pairs(found, spark.read.parquet(pairs))
         except Exception as missing:  # the first batch finds no pairs yet
