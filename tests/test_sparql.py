@@ -60,3 +60,31 @@ def test_ask_and_guard(graph):
     for text in ("SELECT ?x WHERE { ?x :p", "SELECT ?x WHERE { } extra", "SELECT (FOO(?x) AS ?y) WHERE { ?x a ?z }"):
         with pytest.raises(ValueError):
             sparql(graph, text)
+
+
+@pytest.fixture(scope="module")
+def named(spark):
+    rows = [("g1", "a", ":name", "Haus", "literal", None, "de"), ("g1", "a", ":name", "house", "literal", None, "en-GB"), ("g1", "a", ":n", "5", "literal", "xsd:int", None), ("g2", "a", ":name", "house", "literal", None, None), ("g2", "b", ":of", "a", "iri", None, None), ("g1", "b", ":of", "a", "iri", None, None)]
+    return spark.createDataFrame(rows, "g string, s string, p string, o string, o_kind string, o_dt string, o_lang string")
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("SELECT ?n WHERE { GRAPH <g2> { ?x :name ?n } }", [("house",)]),
+        ("SELECT ?g ?x WHERE { GRAPH ?g { ?x :of <a> } }", [("g1", "b"), ("g2", "b")]),
+        ("SELECT ?g WHERE { GRAPH ?g { ?x :of ?y . ?y :n ?v } }", [("g1",)]),
+        ("SELECT ?x WHERE { ?x :of <a> }", [("b",)]),
+        ("SELECT ?n WHERE { ?x :name ?n FILTER(LANG(?n) = 'de') }", [("Haus",)]),
+        ("SELECT ?n WHERE { ?x :name ?n FILTER(LANGMATCHES(LANG(?n), 'en')) }", [("house",)]),
+        ("SELECT ?x ?g WHERE { GRAPH ?g { ?x :name 'house'@en-GB } }", [("a", "g1")]),
+        ("SELECT ?x WHERE { ?x :n '5'^^xsd:int }", [("a",)]),
+        ("SELECT ?x WHERE { ?x :n '5'^^xsd:string }", []),
+        ("SELECT (DATATYPE(?v) AS ?d) WHERE { ?x ?p ?v FILTER(isLiteral(?v) && isNumeric(?v)) }", [("xsd:int",)]),
+        ("CONSTRUCT { ?y :has ?x ; :called ?n . ?n :bad ?x } WHERE { ?x :of ?y . ?y :name ?n }", [("a", ":called", "Haus", "literal", None, "de"), ("a", ":called", "house", "literal", None, "en-GB"), ("a", ":called", "house", "literal", None, None), ("a", ":has", "b", "iri", None, None)]),
+        ("DESCRIBE <b>", [("b", ":of", "a", "iri", None, None)]),
+        ("DESCRIBE ?y WHERE { GRAPH <g1> { <b> :of ?y } }", [("a", ":n", "5", "literal", "xsd:int", None), ("a", ":name", "Haus", "literal", None, "de"), ("a", ":name", "house", "literal", None, "en-GB"), ("a", ":name", "house", "literal", None, None)]),
+    ],
+)
+def test_graphs_tags_and_built_triples(named, text, expected):
+    assert rows(named, text) == sorted(expected, key=repr)

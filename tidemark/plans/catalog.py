@@ -569,6 +569,26 @@ def sparql_shared_type_pairs(spark, sf_dir):
     return _ask(spark, sf_dir, "SELECT DISTINCT ?x ?y WHERE { ?x prov:alternateOf ?y ; :hasDisasterType <SMALL> . ?y :hasDisasterType <SMALL> FILTER(STR(?x) < STR(?y)) }")
 
 
+@query("SELECT a.a AS s, ':sameAs' AS p, a.b AS o, 'iri' AS o_kind FROM alternate a JOIN event e ON e.event = a.a WHERE e.event_class = 'Incident' UNION ALL SELECT e.event, ':day', e.start_date, 'literal' FROM event e WHERE e.event_class = 'Incident' AND e.start_date IS NOT NULL AND e.event IN (SELECT a FROM alternate)", store=True)
+def sparql_construct(spark, sf_dir):
+    return _ask(spark, sf_dir, "CONSTRUCT { ?e :sameAs ?o ; :day ?d } WHERE { ?e a :Incident ; prov:alternateOf ?o OPTIONAL { ?e :startDate ?d } }").select("s", "p", "o", "o_kind")
+
+
+@query("SELECT code AS s, ':isPartOf' AS p, parent AS o, 'iri' AS o_kind FROM location WHERE parent = 'R1' UNION ALL SELECT code, 'rdfs:label', label, 'literal' FROM location WHERE parent = 'R1'", store=True)
+def sparql_describe(spark, sf_dir):
+    return _ask(spark, sf_dir, "DESCRIBE ?x WHERE { GRAPH <driver> { ?x :isPartOf <R1> } }").select("s", "p", "o", "o_kind")
+
+
+@query("SELECT 'driver' AS g, 'xsd:string' AS d, CAST(count(*) AS VARCHAR) AS n FROM event WHERE start_date IS NOT NULL", store=True)
+def sparql_graphs_and_datatypes(spark, sf_dir):
+    return _ask(spark, sf_dir, "SELECT ?g ?d (COUNT(?v) AS ?n) WHERE { { SELECT ?g ?v (DATATYPE(?v) AS ?d) WHERE { GRAPH ?g { ?e :startDate ?v } } } } GROUP BY ?g ?d")
+
+
+@query("SELECT least(a, b) AS x, greatest(a, b) AS y, string_agg(DISTINCT o.code, '|' ORDER BY o.code) AS places FROM alternate JOIN event_location o ON o.event = a OR o.event = b WHERE a < b AND a IN (SELECT event FROM event_type WHERE type_id = 'LARGE') GROUP BY a, b", store=True)
+def sparql_path_alternatives(spark, sf_dir):
+    return _ask(spark, sf_dir, "SELECT ?x ?y (GROUP_CONCAT(DISTINCT ?l ; SEPARATOR='|') AS ?places) WHERE { ?x prov:alternateOf ?y ; :hasDisasterType <LARGE> ; (:hasLocation|prov:alternateOf/:hasLocation) ?l FILTER(STR(?x) < STR(?y)) } GROUP BY ?x ?y")
+
+
 @query("SELECT id, root FROM (SELECT c.descendant AS id, c.ancestor AS root FROM taxonomy_closure c JOIN taxonomy t ON t.id = c.ancestor AND t.parent IS NULL) WHERE id <> root", store=True)
 def inferred_taxonomy(spark, sf_dir):
     store = driver_store(spark, sf_dir)

@@ -1,9 +1,9 @@
-"""A read-only SPARQL SELECT and ASK front end that compiles queries to DataFrame plans over a triple table.
+"""A read-only SPARQL front end (SELECT, ASK, CONSTRUCT, DESCRIBE) that compiles queries to DataFrame plans over a triple table.
 
 Supported: PREFIX, SELECT [DISTINCT] with expressions, basic graph patterns with ``;`` ``,`` and ``[ ]``, property paths
-(``/ | ^ + *`` and groups), VALUES, OPTIONAL, UNION, MINUS, BIND, FILTER with EXISTS and NOT EXISTS, sub-SELECT, GROUP BY,
+(``/ | ^ + *`` and groups), VALUES, OPTIONAL, UNION, MINUS, GRAPH, BIND, FILTER with EXISTS and NOT EXISTS, sub-SELECT, GROUP BY,
 HAVING, aggregates, ORDER BY, LIMIT, OFFSET, ASK. A variable is a text column (unbound: null) with a companion column of its
-kind. Numbers compare as numbers when both sides are numbers, else texts compare as texts.
+kind with its language or datatype, if the table has them. Without GRAPH all named graphs are one. Numbers compare as numbers when both sides are numbers, else texts compare as texts.
 """
 
 from __future__ import annotations
@@ -42,12 +42,24 @@ class Solution:
 
 
 KIND = "k__"
+#: Columns of a graph that CONSTRUCT and DESCRIBE give.
+GRAPH = ["s", "p", "o", "o_kind", "o_dt", "o_lang"]
+
+
+class Literal(str):
+    """The text of a literal, with what stands behind its quotes."""
+
+    tail = ""
 
 
 class Compiler:
     def __init__(self, triples: DataFrame, text: str):
         guard(text)
-        self.triples = triples.select("s", "p", "o", "o_kind").dropDuplicates(["s", "p", "o", "o_kind"])
+        optional = lambda c: F.col(c) if c in triples.columns else F.lit(None).cast("string")
+        tagged = F.concat("o_kind", F.coalesce(F.concat(F.lit("@"), optional("o_lang")), F.concat(F.lit("^^"), optional("o_dt")), F.lit("")))
+        self.named = triples.select(optional("g").alias("g"), "s", "p", "o", tagged.alias("o_kind"))
+        self.triples = self.named.select("s", "p", "o", "o_kind").dropDuplicates(["s", "p", "o", "o_kind"])
+        self.graph: str | None = None  # the variable of the GRAPH clause that is read
         self.tokens, at = [], 0
         while at < len(text):
             m = _TOKEN.match(text, at)
@@ -56,7 +68,10 @@ class Compiler:
             at = m.end()
             if m.lastgroup:
                 kind = "string" if m["string"] else m.lastgroup
-                self.tokens.append((kind, m["string"] if m["string"] else m[0]))
+                token = Literal(m["string"]) if m["string"] else m[0]
+                if m["tail"]:
+                    token.tail = m["tail"]
+                self.tokens.append((kind, token))
         self.at, self.prefixes, self.blanks = 0, {}, 0
         self.spark = triples.sparkSession
 
@@ -99,7 +114,13 @@ class Compiler:
             prefix, local = token.split(":", 1)
             return "term", self.prefixes.get(prefix, f"{prefix}:") + local
         if kind == "string":
-            return "literal", re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), token[1:-1])
+            text = Literal(re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), token[1:-1]))
+            if token.tail.startswith("@"):
+                text.tail = token.tail
+            elif token.tail:
+                prefix, _, local = token.tail[2:].partition(":")
+                text.tail = "^^" + (token.tail[3:-1] if token.tail[2] == "<" else self.prefixes.get(prefix, f"{prefix}:") + local)
+            return "literal", text
         if kind == "number":
             return "literal", token
         if token == "a":
@@ -117,11 +138,67 @@ class Compiler:
         if self.skip("ASK"):
             self.skip("WHERE")
             return self.group().df.limit(1).agg((F.count(F.lit(1)) > 0).alias("answer"))
+        if self.word("CONSTRUCT", "DESCRIBE"):
+            out = self.construct() if self.skip("CONSTRUCT") else self.describe()
+            if self.skip("LIMIT"):
+                out = out.limit(int(self.take()))
+            if self.at < len(self.tokens):
+                raise ValueError(f"unexpected {self.peek()!r}")
+            tag = lambda mark: F.nullif(F.regexp_extract("o_kind", mark + "(.*)$", 1), F.lit(""))
+            return out.distinct().select("s", "p", "o", F.regexp_extract("o_kind", "^[a-z]+", 0).alias("o_kind"), tag(r"^literal\^\^").alias("o_dt"), tag("^literal@").alias("o_lang"))
         out = self.select()
         if self.at < len(self.tokens):
             raise ValueError(f"unexpected {self.peek()!r}")
         return out.df.select(*[F.col(f"`{n}`") for n in out.names])
 
+    def construct(self) -> DataFrame:
+        """The triples of a template for each solution; those with an unbound term, or a literal where none may stand, are left out."""
+        template: list[tuple] = []
+        self.take("{")
+        while not self.skip("}"):
+            subject = self.term()
+            while True:
+                predicate = self.term()
+                while True:
+                    template.append((subject, predicate, self.term()))
+                    if not self.skip(","):
+                        break
+                if not self.skip(";") or self.word(".", "}"):
+                    break
+            self.skip(".")
+        self.skip("WHERE")
+        body = self.group()
+
+        def cell(term: tuple[str, str]) -> tuple[Column, Column]:
+            kind, value = term
+            if kind != "var":
+                return F.lit(str(value)), F.lit("iri" if kind == "term" else f"literal{getattr(value, 'tail', '')}")
+            if value not in body.names:
+                return F.lit(None).cast("string"), F.lit(None).cast("string")
+            return F.col(f"`{value}`"), F.col(KIND + value) if KIND + value in body.df.columns else F.lit("literal")
+
+        parts = []
+        for subject, predicate, node in template:
+            (a, ka), (q, kq), (b, kb) = cell(subject), cell(predicate), cell(node)
+            parts.append(body.df.select(a.alias("s"), q.alias("p"), b.cast("string").alias("o"), kb.alias("o_kind"), (~F.startswith(ka, F.lit("literal")) & (kq == "iri")).alias("_fits")))
+        rows = reduce(DataFrame.unionByName, parts)
+        return rows.filter("_fits AND s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").select("s", "p", "o", "o_kind")
+
+    def describe(self) -> DataFrame:
+        """All triples of the nodes that are named or found."""
+        self.take("DESCRIBE")
+        nodes, variables = [], []
+        while self.kind() in ("iri", "name", "var"):
+            kind, value = self.term()
+            (variables if kind == "var" else nodes).append(value)
+        found = self.spark.range(1).select(F.explode(F.array(*map(F.lit, nodes)).cast("array<string>")).alias("s"))
+        if self.word("WHERE", "{"):
+            self.skip("WHERE")
+            body = self.group()
+            for v in variables:
+                found = found.unionByName(body.df.select(F.col(f"`{v}`").alias("s")))
+        return self.triples.join(found.distinct(), "s", "left_semi").select("s", "p", "o", "o_kind")
+
     def select(self) -> Solution:
         self.take("SELECT")
         distinct = self.skip("DISTINCT")
@@ -232,6 +309,8 @@ class Compiler:
                 name = self.take()[1:]
                 self.take(")")
                 current = Solution(current.df.withColumn(name, column.cast("string")), [*current.names, name], set(current.sure))
+            elif self.skip("GRAPH"):
+                current = self.in_graph(current)
             elif self.skip("VALUES"):
                 current = self.join(current, self.values())
             elif self.word("{"):
@@ -251,6 +330,18 @@ class Compiler:
         self.at = end
         return current
 
+    def in_graph(self, current: Solution | None) -> Solution:
+        """A group that is read in one named graph, or in each of them with its name as a binding."""
+        kind, value = self.term()
+        before = self.triples, self.graph
+        if kind == "var":
+            self.triples, self.graph = self.named.filter("g IS NOT NULL").dropDuplicates(), value
+        else:
+            self.triples, self.graph = self.named.filter(F.col("g") == value).select("s", "p", "o", "o_kind").dropDuplicates(), None
+        inner = self.group()
+        self.triples, self.graph = before
+        return self.join(current, inner)
+
     def unit(self) -> Solution:
         return Solution(self.spark.range(1).select(F.lit(1).alias("_unit")), [], set())
 
@@ -309,7 +400,7 @@ class Compiler:
             if many:
                 self.take(")")
             rows.append(tuple(cells))
-        df = self.spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+        df = self.spark.createDataFrame([tuple(None if c is None else str(c) for c in row) for row in rows], ", ".join(f"`{n}` string" for n in names))
         return Solution(df, names, {n for i, n in enumerate(names) if all(r[i] is not None for r in rows)})
 
     def triples_block(self, current: Solution | None) -> Solution:
@@ -374,7 +465,7 @@ class Compiler:
         if kind == "one":
             return self.triples.filter(F.col("p") == arg).select(F.col("s").alias("a"), F.col("o").alias("b"), F.col("o_kind").alias("k"))
         if kind == "inverse":
-            return self.pairs(arg).filter("k <> 'literal'").select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit("iri").alias("k"))
+            return self.pairs(arg).filter("NOT startswith(k, 'literal')").select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit("iri").alias("k"))
         if kind == "or":
             return reduce(DataFrame.unionByName, [self.pairs(p) for p in arg])
         if kind == "then":
@@ -386,24 +477,34 @@ class Compiler:
         plus = path_closure(self.pairs(arg), "a", "b").select(F.col("descendant").alias("a"), F.col("ancestor").alias("b"), F.lit("iri").alias("k"))
         if kind == "closure+":
             return plus
-        nodes = self.triples.select("s").unionByName(self.triples.filter("o_kind <> 'literal'").select(F.col("o").alias("s"))).distinct()
+        nodes = self.triples.select("s").unionByName(self.triples.filter("NOT startswith(o_kind, 'literal')").select(F.col("o").alias("s"))).distinct()
         return plus.filter("a <> b").unionByName(nodes.select(F.col("s").alias("a"), F.col("s").alias("b"), F.lit("iri").alias("k")))
 
     def pattern(self, subject, path, node) -> Solution:
+        own = [F.col("g").alias("g")] if self.graph is not None else []
         if path[0] == "var":
-            df = self.triples.select(F.col("s").alias("a"), F.col("p").alias("q"), F.col("o").alias("b"), F.col("o_kind").alias("k"))
+            df = self.triples.select(F.col("s").alias("a"), F.col("p").alias("q"), F.col("o").alias("b"), F.col("o_kind").alias("k"), *own)
+        elif own:
+            if path[0] != "one":
+                raise ValueError("a path within GRAPH ?g is not supported; name the graph")
+            df = self.triples.filter(F.col("p") == path[1]).select(F.col("s").alias("a"), F.col("o").alias("b"), F.col("o_kind").alias("k"), *own)
         else:
             df = self.pairs(path)
         columns: list[Column] = []
         names: list[str] = []
         for (kind, value), c in ((subject, "a"), *(((path, "q"),) if path[0] == "var" else ()), (node, "b")):
             if kind != "var":
-                df = df.filter(F.col(c) == value)
+                df = df.filter(F.col(c) == str(value))
+                if getattr(value, "tail", ""):
+                    df = df.filter(F.col("k") == f"literal{value.tail}")
             elif value in names:
                 df = df.filter(F.col(c) == F.col("a"))
             else:
                 names.append(value)
                 columns += [F.col(c).alias(value), (F.col("k") if c == "b" else F.when(F.col(c).startswith("_:"), "blank").otherwise("iri")).alias(KIND + value)]
+        if own and self.graph not in names:
+            names.append(self.graph)
+            columns += [F.col("g").alias(self.graph), F.lit("iri").alias(KIND + self.graph)]
         return Solution(df.select(*columns) if columns else df.select(F.lit(1).alias("_unit")), names, set(names))
 
     # -- algebra --
@@ -507,7 +608,7 @@ class Compiler:
             return F.col(f"`{name}`") if name in body.names else F.lit(None).cast("string")
         if self.kind() == "word" and self.peek(1) == "(" or self.kind() in ("name", "iri") and self.peek(1) == "(":
             return self.call(body)
-        return F.lit(self.term()[1])
+        return F.lit(str(self.term()[1]))
 
     def call(self, body: Solution) -> Column:
         is_cast = self.kind() in ("name", "iri")
@@ -519,11 +620,17 @@ class Compiler:
             column = self.expression(body)
             self.take(")")
             return column.isNotNull()
-        if name in ("isiri", "isuri", "isliteral", "isblank"):
+        if name in ("isiri", "isuri", "isliteral", "isblank", "lang", "datatype"):
             variable = self.take()[1:]
             self.take(")")
             kind = F.col(KIND + variable) if KIND + variable in body.df.columns else F.lit(None).cast("string")
-            return kind == {"isiri": "iri", "isuri": "iri", "isliteral": "literal", "isblank": "blank"}[name]
+            literal = F.startswith(kind, F.lit("literal"))
+            if name == "lang":
+                return F.when(literal, F.regexp_extract(kind, "^literal@(.*)$", 1))
+            if name == "datatype":
+                said = F.regexp_extract(kind, r"^literal\^\^(.*)$", 1)
+                return F.when(literal & ~F.contains(kind, F.lit("@")), F.when(said == "", self.prefixes.get("xsd", "xsd:") + "string").otherwise(said))
+            return F.regexp_extract(kind, "^[a-z]+", 0) == {"isiri": "iri", "isuri": "iri", "isliteral": "literal", "isblank": "blank"}[name]
         args = []
         while not self.skip(")"):
             args.append(self.expression(body))
@@ -540,7 +647,8 @@ class Compiler:
             "strafter": lambda: F.when(F.contains(text[0], text[1]), F.substr(text[0], F.position(text[1], text[0]) + F.length(text[1]))).otherwise(""),
             "strbefore": lambda: F.when(F.contains(text[0], text[1]), F.substr(text[0], F.lit(1), F.position(text[1], text[0]) - 1)).otherwise(""),
             "replace": lambda: F.regexp_replace(text[0], text[1], text[2]), "regex": lambda: F.regexp_like(text[0], F.concat(F.when(text[2] == "i", "(?i)").otherwise(""), text[1]) if len(args) > 2 else text[1]),
-            "coalesce": lambda: F.coalesce(*text), "if": lambda: F.when(args[0], text[1]).otherwise(text[2]), "year": lambda: F.substring(text[0], 1, 4).try_cast("int"), "month": lambda: F.substring(text[0], 6, 2).try_cast("int"),
+            "langmatches": lambda: F.when(text[1] == "*", text[0] != "").otherwise((F.lower(text[0]) == F.lower(text[1])) | F.startswith(F.lower(text[0]), F.concat(F.lower(text[1]), F.lit("-")))),
+            "isnumeric": lambda: text[0].try_cast("double").isNotNull(), "coalesce": lambda: F.coalesce(*text), "if": lambda: F.when(args[0], text[1]).otherwise(text[2]), "year": lambda: F.substring(text[0], 1, 4).try_cast("int"), "month": lambda: F.substring(text[0], 6, 2).try_cast("int"),
             "day": lambda: F.substring(text[0], 9, 2).try_cast("int"), "abs": lambda: F.abs(text[0].try_cast("double")), "round": lambda: F.round(text[0].try_cast("double")),
         }
         if name not in table:
@@ -570,5 +678,8 @@ class Compiler:
 
 
 def sparql(triples: DataFrame, text: str) -> DataFrame:
-    """The solutions of a query over (s, p, o, o_kind) as text columns, one a variable."""
+    """The solutions of a query over (s, p, o, o_kind, and g, o_dt and o_lang if there) as text columns, one a variable.
+
+    CONSTRUCT and DESCRIBE give the columns of ``GRAPH`` instead.
+    """
     return Compiler(triples, text).query()
