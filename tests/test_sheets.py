@@ -1,10 +1,16 @@
+import datetime as dt
+import io
+import json
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import session
+from tidemark.__main__ import main
 from tidemark.functions import dates, identity, similarity
 from tidemark.operators import checks, hierarchy, match, resolve
-from tidemark.sources import sheets, turtle, wide
+from tidemark.sources import sheets, turtle, wide, workbooks
 
 
 def test_header_tiers_and_spans():
@@ -106,3 +112,63 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+def _workbook(rows, name="Data"):
+    """A workbook of one sheet with shared, inline and plain cells."""
+    texts = sorted({v for r in rows for v in r if isinstance(v, str) and not v.startswith("=")})
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cells = []
+    for n, row in enumerate(rows, 1):
+        own = ""
+        for i, v in enumerate(row):
+            at = f"{chr(65 + i)}{n}"
+            if isinstance(v, str) and v.startswith("="):
+                own += f'<c r="{at}" t="inlineStr"><is><t>{v[1:]}</t></is></c>'
+            elif isinstance(v, str):
+                own += f'<c r="{at}" t="s"><v>{texts.index(v)}</v></c>'
+            elif v is not None:
+                own += f'<c r="{at}"><v>{v}</v></c>'
+        cells.append(f'<row r="{n}">{own}</row>')
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{name}" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><r><t>{t[:1]}</t></r><r><t>{t[1:]}</t></r></si>" for t in texts) + "</sst>")
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{''.join(cells)}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def test_workbooks(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(_workbook([("Place", "Total", None), ("=x &amp; y", 5.5, 43831), (None, None, None), ("Place", None, 1)]))
+    cells = workbooks.read_workbooks(spark, str(tmp_path / "*.xlsx"), 3, "Data")
+    assert [tuple(r) for r in cells.orderBy("row").drop("file").collect()] == [(1, "Place", "Total", None), (2, "x & y", "5.5", "43831"), (4, "Place", None, "1")]
+    assert str(cells.filter("row = 2").select(workbooks.sheet_date(F.col("c2")).alias("d")).first().d) == "2020-01-01"
+    assert sheets.with_headers(cells.drop("file"), "row", lines=1).columns == ["row", "Place", "Total", "Total_2"]
+    with pytest.raises(LookupError):
+        list(workbooks.sheet_rows((tmp_path / "a.xlsx").read_bytes(), "Other"))
+    assert [workbooks.column_number(c) for c in ("A1", "Z9", "AA3")] == [0, 25, 26]
+
+
+def test_entry_points(spark, tmp_path, capsys):
+    (tmp_path / "power.csv").write_text("Region,serviceProvider,interruptionDate,interruptionTime\nRegion V,\"Co \"\"A\"\"\",5 May 2020,08:30 AM\n,,6 May 2020,\n")
+    (tmp_path / "o.ttl").write_text("@prefix : <http://e/> . :a :name \"x\"@en .")
+    target = str(tmp_path / "out")
+    headers = json.dumps({c.lower(): c for c in ("serviceProvider", "interruptionDate", "interruptionTime")})
+    main(["tables", "--source", f"{tmp_path}/power.csv", "--target", target, "--table", "power", "--event", "http://e/1", "--headers", headers])
+    main(["turtle", "--source", f"{tmp_path}/o.ttl", "--target", target, "--graph", "onto"])
+    assert [r.serviceProvider for r in spark.read.parquet(f"{target}/power").orderBy("row").collect()] == ['Co "A"', None]
+    capsys.readouterr()
+    main(["ask", "--target", target, "--query", "SELECT ?g ?n WHERE { GRAPH ?g { ?x <http://e/name> ?n } }"])
+    main(["ask", "--target", target, "--query", "SELECT nonsense"])
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert lines[0] == {"g": "onto", "n": "x"} and "error" in lines[1]
+    events = [(f"https://e/{s}/{i}", s, "MajorEvent", f"T{i}", "Flood", None, "flood of the river", [], dt.date(2020, 1, i)) for i in (1, 2) for s in ("gda", "emdat")]
+    spark.createDataFrame(events, "event string, source string, event_class string, type_base string, type_id string, type_parent string, label string, codes array<string>, start date").write.parquet(f"{tmp_path}/events")
+    main(["align", "--source", f"{tmp_path}/events", "--target", target])
+    registry = spark.read.parquet(f"{target}/registry").collect()
+    assert len(registry) == 4 and len({r.canonical for r in registry}) == 2
+    main(["align", "--source", f"{tmp_path}/events", "--target", f"{target}2", "--registry", f"{target}/registry"])
+    assert {tuple(r) for r in spark.read.parquet(f"{target}2/registry").collect()} == {tuple(r) for r in registry}
+    main(["clear", "--target", target, "--graph", "onto"])
+    assert {r.g for r in spark.read.parquet(f"{target}/graphs").select("g").distinct().collect()} == {"http://e/1/power", "alignment"}

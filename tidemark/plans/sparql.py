@@ -683,3 +683,11 @@ def sparql(triples: DataFrame, text: str) -> DataFrame:
     CONSTRUCT and DESCRIBE give the columns of ``GRAPH`` instead.
     """
     return Compiler(triples, text).query()
+
+
+def answer(triples: DataFrame, text: str, most: int = 50) -> list[dict] | str:
+    """At most ``most`` solutions as dictionaries, or what is wrong with the query as a text, as callers of an endpoint expect."""
+    try:
+        return [r.asDict() for r in sparql(triples, text).limit(most).collect()]
+    except (ValueError, IndexError) as wrong:
+        return f"query error: {wrong}"
