@@ -36,6 +36,8 @@ REGION = REACH + ANCHOR + REACH
 GROUP_BYTES, MOST_GROUP_BYTES, CHUNK_BYTES = 8 << 20, 128 << 20, 1 << 18
 #: Surroundings merged at once, and those of one anchor from which windows are compared one offset at a time instead.
 SLICE_STRINGS, MOST_STRINGS = 8_000, 60_000
+#: Surroundings that are copied out of the texts at once.
+SURROUNDINGS = 8192
 NOBODY = np.iinfo(np.int64).max
 _ODD = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
@@ -75,7 +77,10 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
 
     The surroundings are cut at the ends of the text.
     """
-    found: dict[str, list[np.ndarray]] = {k: [] for k in ("place", "owner", "hash", "around", "left", "right")}
+    # Groups are far below 2 ** 31 bytes, unless one text is longer.
+    place = np.int32 if len(data) < 2**31 - REGION else np.int64
+    kinds = {"place": place, "owner": np.int32, "hash": np.uint64, "around": np.uint64, "left": np.int16, "right": np.int16}
+    found: dict[str, list[np.ndarray]] = {k: [] for k in kinds}
     first = 0
     while first < len(starts) - 1:
         last = max(first + 1, int(np.searchsorted(starts, starts[first] + CHUNK_BYTES, side="right")) - 1)
@@ -97,10 +102,9 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
             a, b = at - left, at + ANCHOR + right
             around = _mix((summed[b] - summed[a]) * down[a] + (left * 64 + right + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
             for k, v in (("place", at + base), ("owner", owner + first), ("hash", key[at]), ("around", around), ("left", left), ("right", right)):
-                found[k].append(v)
+                found[k].append(v.astype(kinds[k]))
         first = last
-    kinds = {"hash": np.uint64, "around": np.uint64}
-    return {k: np.concatenate([np.zeros(0, kinds.get(k, np.int64)), *v]) for k, v in found.items()}
+    return {k: np.concatenate([np.zeros(0, kinds[k]), *v]) for k, v in found.items()}
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -182,9 +186,13 @@ class Group:
     def surroundings(self) -> list[tuple[int, bytes]]:
         self.answers()
         a, f = self.anchors, self.first[self.asked]
-        span = a["place"][f][:, None] - REACH + np.arange(REGION)[None, :]
-        inside = (span >= (a["place"][f] - a["left"][f])[:, None]) & (span < (a["place"][f] + ANCHOR + a["right"][f])[:, None])
-        content = np.where(inside, self.data[np.clip(span, 0, max(0, len(self.data) - 1))], 0).astype(np.uint8) if len(f) else np.zeros((0, REGION), np.uint8)
+        content = np.zeros((len(f), REGION), np.uint8)
+        for i in range(0, len(f), SURROUNDINGS):  # the places of all bytes at once would take eight times their room
+            own = f[i : i + SURROUNDINGS]
+            place, left, right = (a[c][own][:, None] for c in ("place", "left", "right"))
+            span = place - REACH + np.arange(REGION)[None, :]
+            inside = (span >= place - left) & (span < place + ANCHOR + right)
+            content[i : i + SURROUNDINGS] = np.where(inside, self.data[np.clip(span, 0, len(self.data) - 1)], 0)
         ends = (a["left"][f] * 64 + a["right"][f]).astype(np.uint16)
         keys = self.key[a["owner"][f]]
         return [(b, _planes(keys[i:j]) + ends[i:j].tobytes() + content[i:j].tobytes()) for b, i, j in _parts(self.bucket[f])]
