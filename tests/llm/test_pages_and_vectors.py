@@ -2,16 +2,19 @@
 
 import math
 import re
+import zlib
 from collections import Counter
 from html import unescape
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import html_text, topk_search, url_filter
+from tidemark.llm import html_text, language_id, near_dedup, topk_search, toxicity, url_filter
 from tidemark.llm.common import copied
-from tidemark.llm.queries import ORACLES, QUERIES, URL_RULES
+from tidemark.llm.packing import TokenEncoder
+from tidemark.llm.queries import ORACLES, QUERIES, URL_RULES, tokenizer_file, tokenizer_pattern
 
 URLS = [
     "https://A.Example.ORG/es/x?q#f", "http://example.org/en/17", "http://example.org/en/2", "http://example.org", "http://org/", "http://notexample.org/es/", "http://x.com/fr/a", "http://x.com/de/a",
@@ -230,6 +233,54 @@ def test_near_duplicates_keep_one_row_of_each_group(spark, sf_dir):
     assert kept.columns == corpus_pipeline.COLUMNS and sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(expected, key=repr)
 
 
+def test_pipeline_matches_brute_force(spark, sf_dir):
+    """Each stage done plainly on the driver, with the models that the stages fit, gives the tokens that the pipeline packs."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    model = toxicity.fit(docs, labels, lambda i: ~toxicity.held_out(i))
+    rows = [r for r, score in zip(rows, model.scores([t for _, t in rows]), strict=True) if score < toxicity.THRESHOLD]
+    left = docs.filter(F.col("doc_id").isin(*[i for i, _ in rows]))
+    model = language_id.fit(left, lambda i: ~language_id.held_out(i))
+    rows = [r for r, (_, _, rejected) in zip(rows, model.predict([t for _, t in rows]), strict=True) if not rejected]
+    prints = [near_dedup.fingerprint(t) for _, t in rows]
+    group = list(range(len(rows)))
+    moved = True
+    while moved:
+        moved = False
+        for i in range(len(rows)):
+            for j in range(i):
+                if group[i] != group[j] and (prints[i] ^ prints[j]).bit_count() <= 3:
+                    group[i] = group[j] = min(group[i], group[j])
+                    moved = True
+    first = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        first[g] = min(first.get(g, i), i)
+    rows = sorted((i, (t or "").encode()) for (i, t), g in zip(rows, group, strict=True) if first[g] == i)
+    seen = {}
+    for i, b in rows:
+        for k in range(len(b) - 49):
+            seen.setdefault(b[k : k + 50], i)
+    expected = {}
+    encoder = TokenEncoder(tokenizer_file("byte_bpe_50k.json").decode(), tokenizer_pattern())
+    for i, b in rows:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if seen[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        text, at = "", 0
+        for c in b.decode():
+            n = len(c.encode())
+            text += "" if any(gone[at : at + n]) else c
+            at += n
+        expected[i] = np.append(encoder.ids(text), np.uint32(1)).astype("<u4")
+    found = {}
+    for p in corpus_pipeline.run(spark, sf_dir).collect():
+        assert p.doc_tokens == len(expected[p.doc_id]) and zlib.crc32(expected[p.doc_id][p.start : p.start + p.length].tobytes()) == p.ids_crc32
+        found[p.doc_id] = found.get(p.doc_id, 0) + p.length
+    assert found == {i: len(ids) for i, ids in expected.items()} and 0 < len(found) < docs.count()
+
+
 def test_pipeline_on_awkward_rows(spark, tmp_path, sf_dir):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "same words here and there", "en", "a", 1), (4, "same words here and there", "en", "a", 1), (4, "same words here and there", None, "a", 1), (None, "no id at all but words", "en", None, 5)]
     for folder, data in (("some", rows), ("none", [])):
