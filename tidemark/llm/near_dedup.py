@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import beside, durable, renamed, small_batches
+from tidemark.llm.common import beside, durable, renamed, small_batches, written
 from tidemark.operators.components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -93,8 +93,8 @@ def covering_links(nodes: DataFrame, column: str = "bits") -> DataFrame:
     keys = lambda which, shift: F.array(*[F.struct(F.lit(t + shift).alias("t"), F.col("bits").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks(which))])
     dealt = nodes.select(F.col(column).alias("bits"), F.explode(keys(0, 0)).alias("at")).select("at.t", "at.key", "bits")
     sizes = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"))
-    # Few buckets are crowded, and none if fingerprints are spread; adaptive execution broadcasts them if they are few.
-    crowded = durable(sizes.filter(F.col("n") > CROWDED).select("t", "key", F.lit(True).alias("crowded")))
+    # Few buckets are crowded, and none if fingerprints are spread. As a table their size is known, so that few are broadcast.
+    crowded = written(sizes.filter(F.col("n") > CROWDED).select("t", "key", F.lit(True).alias("crowded")))
     again = F.when(F.col("crowded"), keys(1, 1)).otherwise(F.array(F.struct(F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"))))
     placed = dealt.join(crowded, ["t", "key"], "left").select("t", "key", "bits", F.explode(again).alias("again")).select("t", "key", F.col("again.t").alias("u"), F.col("again.key").alias("within"), "bits")
 
