@@ -17,7 +17,7 @@ from tidemark.plans.catalog import _pair_events, query
 from tidemark.plans.questions import question
 from tidemark.plans.tables import ORGANISATION, driver_graph, driver_store, read
 from tidemark.session import shared_folder
-from tidemark.sources import readers, reports, sheets, sinks, turtle, wide
+from tidemark.sources import field_reports, readers, reports, sheets, sinks, turtle, wide
 
 
 def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -587,3 +587,35 @@ def sources_of_events(spark, sf_dir):
     """The path of one or more steps, then one more: where events come from."""
     graph = driver_graph(spark, sf_dir)
     return graph.above("prov:wasDerivedFrom").toDF("event", "record").join(graph.pairs("prov:wasAttributedTo", names=("record", "source")), "record").filter("event LIKE 'https://%'").select("event", "source").distinct()
+
+
+# --- field reports ---------------------------------------------------------------------------------------------------
+
+
+def _field_cells(spark: SparkSession, sf_dir: str, keep: str, **columns) -> DataFrame:
+    """Orders of a customer as the places of a report, its region on the first row only, with a row of sums on top."""
+    orders = read(spark, sf_dir, "orders").filter("o_custkey % 10 = 0")
+    own = orders.filter(keep).select(F.col("o_custkey").cast("string").alias("file"), (F.col("o_orderkey") + 1).alias("row"), F.lit(None).cast("string").alias("REGION"), F.lit(None).cast("string").alias("PROVINCE"), F.concat(F.lit("T"), "o_orderkey").alias("MUNICIPALITY"), *[c.cast("string").alias(n) for n, c in columns.items()])
+    top = orders.select(F.col("o_custkey").cast("string").alias("file")).distinct().select("file", F.lit(0).cast("bigint").alias("row"), F.concat(F.lit("R"), "file").alias("REGION"), F.lit("P").alias("PROVINCE"), F.lit(None).cast("string").alias("MUNICIPALITY"), *[F.lit("99999").alias(n) for n in columns])
+    return own.unionByName(top)
+
+
+@query("""SELECT o_custkey || '' AS file, 'R' || o_custkey || '|P|T' || o_orderkey AS place, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS "affectedFamilies", CASE WHEN o_orderkey % 3 = 0 THEN 3 END AS "evacuationCenters",
+    CASE WHEN o_orderkey % 3 = 0 THEN 7 + CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey ELSE 0 END ELSE 0 END AS "displacedFamilies" FROM orders WHERE o_custkey % 10 = 0 AND (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0)""")
+def field_population(spark, sf_dir):
+    key = F.col("o_orderkey")
+    affected = _field_cells(spark, sf_dir, "o_orderkey % 2 = 0", **{"NO. OF AFFECTED Families": F.format_number(key, 0)})
+    inside = _field_cells(spark, sf_dir, "o_orderkey % 3 = 0", **{"No. of Evacuation Centers CUM": F.lit("3"), "INSIDE Families Evacuation": F.lit(" 7 "), "Displaced OUTSIDE Families Cum": F.when(key % 5 != 0, F.col("o_custkey").cast("string")).otherwise("-")})
+    return field_reports.population([field_reports.table(affected, field_reports.POPULATION), field_reports.table(inside, field_reports.POPULATION)])
+
+
+@query("""SELECT o_custkey || '' AS file, 'R' || o_custkey || '|P|T' || o_orderkey AS place, k AS "contributingOrg", v AS "contributionAmount" FROM (SELECT *, unnest(['DSWD', 'NGO']) AS k, unnest([round(o_custkey / 1000.0, 6), CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 0 END]) AS v FROM orders WHERE o_custkey % 10 = 0) WHERE v <> 0""")
+def field_assistance(spark, sf_dir):
+    cells = _field_cells(spark, sf_dir, "true", **{"Cost.DSWD": F.format_number(F.col("o_custkey") * 1000, 2), "Cost.NGOs": F.when(F.col("o_orderkey") % 3 == 0, "500,000.00").otherwise("0"), "Cost.LGU": F.lit("none")})
+    return field_reports.assistance(cells)
+
+
+@query("""SELECT o_custkey || '' AS file, 'R' || o_custkey || '|P|T' || o_orderkey AS place, o_orderkey AS totally, CASE WHEN o_orderkey % 4 <> 0 THEN 2 END AS partially FROM orders WHERE o_custkey % 10 = 0""")
+def field_houses(spark, sf_dir):
+    cells = _field_cells(spark, sf_dir, "true", **{"Damaged.Totally": F.format_number(F.col("o_orderkey"), 0), "Damaged.Partially": F.when(F.col("o_orderkey") % 4 != 0, "2").otherwise("x")})
+    return field_reports.houses(cells).select("file", "place", F.col("totallyDamagedHouses").alias("totally"), F.col("partiallyDamagedHouses").alias("partially"))
