@@ -13,6 +13,11 @@ from tidemark.functions.similarity import best_ratio, sort_ratio, sorted_tokens,
 from tidemark.functions.strings import folded, substitute
 
 
+def name_key(name: Column) -> Column:
+    """A name without accents, case and punctuation; an underscore is a space, as names in tables have it."""
+    return folded(F.translate(name, "_", " "))
+
+
 def match_names(queries: DataFrame, names: DataFrame, least: float = 0.79, exact_ratio: bool = False) -> DataFrame:
     """queries (query) with id and score of the best of ``names`` (name, id, pos); null below ``least``.
 
@@ -20,8 +25,8 @@ def match_names(queries: DataFrame, names: DataFrame, least: float = 0.79, exact
     with ``exact_ratio`` the largest of the three token ratios, which needs every pair. The best score wins, then the
     smallest pos.
     """
-    asked = queries.select("query").distinct().withColumn("q", folded(F.col("query")))
-    known = names.select("id", "pos", folded(F.col("name")).alias("n"))
+    asked = queries.select("query").distinct().withColumn("q", name_key(F.col("query")))
+    known = names.select("id", "pos", name_key(F.col("name")).alias("n"))
     first = known.groupBy("n").agg(F.min_by("id", "pos").alias("id"))
     exact = asked.join(first, F.col("q") == F.col("n")).select("query", "id", F.lit(1.0).alias("score"))
     left = asked.join(exact.select("query"), "query", "left_anti")
@@ -53,8 +58,8 @@ def match_places(texts: DataFrame, places: DataFrame, least: float = 0.85) -> Da
 
 def match_all(queries: DataFrame, names: DataFrame, least: float) -> DataFrame:
     """Every id with a name at least ``least`` like the query, and the score of the best of its names: query, id, score."""
-    asked = queries.select("query").distinct().withColumn("q", folded(F.col("query")))
-    known = names.select("id", folded(F.col("name")).alias("n"))
+    asked = queries.select("query").distinct().withColumn("q", name_key(F.col("query")))
+    known = names.select("id", name_key(F.col("name")).alias("n"))
     return near_names(asked, known, least).groupBy("query", "id").agg(F.max("score").alias("score"))
 
 
