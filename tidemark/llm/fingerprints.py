@@ -198,7 +198,7 @@ def near_fingerprints(fingerprints: DataFrame, column: str = "bits") -> DataFram
     inner = [block_masks([b for b in range(64) if not m >> b & 1]) for m in tables]
     at = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("bits").bitwiseAND(F.lit(_signed(m))).alias("block_key")) for t, m in enumerate(tables)])).alias("at")
     dealt = distinct.select("bits", at).select("bits", "at.t", "at.block_key")
-    crowded = durable(dealt.groupBy("t", "block_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWDED).select("t", "block_key", F.lit(True).alias("crowded")))
+    crowded = written(dealt.groupBy("t", "block_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWDED).select("t", "block_key", F.lit(True).alias("crowded")))
     # For each second table, its mask under every first table.
     seconds = [F.element_at(F.array(*[F.lit(_signed(own[u])) for own in inner]), F.col("t") + 1) for u in range(len(tables))]
     again = F.when(F.col("crowded"), F.array(*[F.struct(F.lit(u).alias("u"), F.col("bits").bitwiseAND(m).alias("within")) for u, m in enumerate(seconds)]))
