@@ -33,7 +33,7 @@ LENGTH, ANCHOR = 50, 32
 REACH = LENGTH - ANCHOR
 REGION = REACH + ANCHOR + REACH
 #: Least and most bytes of text in a group, and the text that anchors are looked for in at once.
-GROUP_BYTES, MOST_GROUP_BYTES, CHUNK_BYTES = 8 << 20, 128 << 20, 1 << 18
+GROUP_BYTES, MOST_GROUP_BYTES, CHUNK_BYTES = 4 << 20, 128 << 20, 1 << 18
 #: Surroundings merged at once, and those of one anchor from which windows are compared one offset at a time instead.
 SLICE_STRINGS, MOST_STRINGS = 8_000, 60_000
 #: Surroundings that are copied out of the texts at once.
@@ -139,9 +139,10 @@ class Group:
         self.data, self.starts, _ = text_bytes(docs["text"])
         self.anchors = anchors(self.data, self.starts)
         self.buckets = buckets
-        self.bucket = ((self.anchors["hash"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        self.bucket = ((self.anchors["hash"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
         short = self.anchors["hash"] & np.uint64(0xFFFFFFFF)
         self.short, self.short_of, self.times = np.unique(self.bucket.astype(np.uint64) << np.uint64(32) | short, return_inverse=True, return_counts=True)
+        self.short_of = self.short_of.astype(np.int32)
         self.told: dict[int, list[bytes]] = {}
         if told is not None:
             told = told.sort_by([("kind", "ascending"), ("bucket", "ascending")])
@@ -214,10 +215,13 @@ class Group:
             start = places[own] - a["left"][self.at[own]] + o
             begin.append(start)
             end.append(start + LENGTH)
-        depth = np.zeros(len(self.data) + 1, dtype=np.int32)
-        np.add.at(depth, np.concatenate(begin), 1)
-        np.subtract.at(depth, np.concatenate(end), 1)
-        return np.cumsum(depth[:-1], dtype=np.int32) > 0
+        # A byte lies in the surroundings and windows of few anchors, so depths are small numbers.
+        depth = np.zeros(len(self.data) + 1, dtype=np.int16)
+        for own in begin:
+            np.add.at(depth, own, 1)
+        for own in end:
+            np.subtract.at(depth, own, 1)
+        return np.cumsum(depth[:-1], dtype=np.int16, out=depth[:-1]) > 0
 
     def result(self, whole_characters: bool = False) -> pa.Table:
         gone = self.covered()
@@ -225,7 +229,13 @@ class Group:
         rises[1:] &= ~gone[:-1]
         inner = self.starts[:-1][np.diff(self.starts) > 0]
         rises[inner] = gone[inner]
-        total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[self.starts])
+
+        def total(flags: np.ndarray) -> np.ndarray:
+            """How many flags of each text are set."""
+            so_far = np.zeros(len(flags) + 1, dtype=np.int32 if len(flags) < 2**31 else np.int64)
+            np.cumsum(flags, dtype=so_far.dtype, out=so_far[1:])
+            return np.diff(so_far[self.starts]).astype(np.int64)
+
         removed, spans = total(gone), total(rises)
         raw = self.data
         parts = list(zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), removed.tolist(), strict=True))
