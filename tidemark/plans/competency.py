@@ -69,10 +69,10 @@ def cq1(graph: Graph, type_id: str) -> DataFrame:
 
 
 def cq2(graph: Graph, types: tuple[str, ...]) -> DataFrame:
-    """Events of exactly these types that have a start, with their labelled places and the regions of those."""
+    """Events of exactly these types that have a start, with their places and the regions of those."""
     placed = having(graph, events_of(graph, *types, narrower=False), "event", ":startDate").join(graph.pairs(":hasLocation", names=("event", "location")), "event")
     regions = graph.lifted(":isPartOf", placed, "location", "region").join(graph.typed(":Region", name="region"), "region", "left_semi")
-    return graph.labelled(graph.labelled(graph.optional(regions, "event", NAME | {"start": ":startDate"}), "location", "location_label"), "region", "region_label").filter("location_label IS NOT NULL AND region_label IS NOT NULL")
+    return graph.labelled(graph.labelled(graph.optional(regions, "event", NAME | {"start": ":startDate"}), "location", "location_label"), "region", "region_label")
 
 
 def cq3(graph: Graph, type_id: str) -> DataFrame:
