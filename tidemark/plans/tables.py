@@ -114,7 +114,7 @@ def loaded_triples(spark: SparkSession, sf_dir: str, store: EventStore) -> DataF
     triple = lambda s, p, o, kind: F.struct(s.cast("string").alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"))
     places = table("orders").select("o_orderkey", "o_custkey").join(table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
     lines = table("lineitem").join(places, F.col("l_orderkey") == F.col("o_orderkey")).withColumns({
-        "event": event_id("l_orderkey"), "node": F.concat(F.lit(RECORD), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")),
+        "event": event_id("l_orderkey"), "node": F.concat(F.lit(RECORD), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("bigint"))),
         "code": F.concat(F.lit("N"), F.when(F.col("l_partkey") % 5 == 0, F.col("l_suppkey") % 25).otherwise(F.col("c_nationkey")).cast("string")),
     })
     made = F.array().cast("array<struct<s:string,p:string,o:string,o_kind:string>>")
@@ -145,7 +145,7 @@ def loaded_triples(spark: SparkSession, sf_dir: str, store: EventStore) -> DataF
     out = store_triples(store, "driver").select("s", "p", "o", "o_kind")
     for part in (records, origin, related, levels, incomes, labels, ontology):
         out = out.unionByName(part)
-    return out
+    return out.dropDuplicates()
 
 
 _GRAPHS: dict[tuple[str, str], Graph] = {}
@@ -194,7 +194,7 @@ rooted AS (SELECT DISTINCT s.event, s.start_date, c.ancestor AS grp FROM shown s
     JOIN taxonomy_closure c ON c.descendant = t.type_id JOIN taxonomy x ON x.id = c.ancestor AND x.parent IS NULL)
 """
 #: And what the graph adds: records with their event's place, and where events come from.
-GRAPH_SQL = STORE_SQL + f""", rec AS (SELECT {_EVENT.format("l_orderkey")} AS event, '{RECORD}' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS node,
+GRAPH_SQL = STORE_SQL + f""", rec AS (SELECT {_EVENT.format("l_orderkey")} AS event, '{RECORD}' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS node,
     'N' || CASE WHEN l_partkey % 5 = 0 THEN l_suppkey % 25 ELSE c_nationkey END AS location, 'N' || c_nationkey AS own, l.*, CAST(l_quantity AS BIGINT) AS q
     FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey),
 raw AS (SELECT *, CASE WHEN event_name LIKE 'Order %' THEN event_name END AS name FROM event),
