@@ -123,6 +123,10 @@ _NAMES = "|".join([*(m.capitalize() for m in MONTHS), *(m[:3].capitalize() for m
 _MENTIONS = rf"(?i)\b(\d{{1,2}}\s+(?:{_NAMES})\s+\d{{4}}|(?:{_NAMES})\s+\d{{1,2}},?\s+\d{{4}}|\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{4}})\b"
 
 
+#: Stands for a mention while a sentence is cut at them; cutting at one character needs no regular expression a row.
+_MARK = "\x01"
+
+
 def mention_date(said: Column) -> Column:
     """The date of one mention; days come first in figures, unless they cannot."""
     figures = F.regexp_replace(said, "-", "/")
@@ -165,7 +169,7 @@ def nearest_date(text: Column, term: str) -> Column:
         near = F.transform(listed, lambda m: F.struct(far(m).alias("far"), mention_date(m["said"]).alias("day")))
         return F.array_min(F.filter(near, lambda d: d["day"].isNotNull()))["day"]
 
-    parts = lambda s: F.struct(F.split(s, _MENTIONS).alias("gaps"), F.regexp_extract_all(s, F.lit(_MENTIONS), 1).alias("said"), F.locate(low, F.lower(s)).alias("place"))
+    parts = lambda s: F.struct(F.split(F.regexp_replace(s, _MENTIONS, _MARK), _MARK).alias("gaps"), F.regexp_extract_all(s, F.lit(_MENTIONS), 1).alias("said"), F.locate(low, F.lower(s)).alias("place"))
     return _let(sentence, lambda s: _let(parts(s), distances))
 
 
