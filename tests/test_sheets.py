@@ -88,6 +88,16 @@ def test_places_and_shapes(spark):
     assert [r[0] for r in placed.select(identity.island_of(F.col("code"))).collect()][0] == "NCR"
 
 
+def test_years_of_folders_are_those_of_dates(spark):
+    name = "DSWD DROMIC Report #3 on the Fire in {} as of 4 May 2021, 6PM.pdf"
+    expected = {
+        **{name.format(f"{n} Manila"): f"Fire in {n} Manila 2021" for n in (7, 2009, 2021, 12021)}, name.format("Manila 2021"): "Fire in Manila 2021",
+        "DSWD DROMIC Report #1 on Typhoon Ana 2020.pdf": "Typhoon Ana 2020", "2019 Fire in 2020.pdf": "2019 Fire in 2020", "Fire as of today.pdf": "Fire",
+    }
+    found = spark.createDataFrame([(x,) for x in expected], "f string").select("f", sheets.folder_name(F.col("f")), sheets.folder_name(F.col("f"), F.lit("2021-05-04"))).collect()
+    assert {r[0]: r[1] for r in found} == expected and {r[2] for r in found if " 2009 " in r[0]} == {"Fire in 2009 Manila 20210504"}
+
+
 def test_representatives_and_specific_types(spark):
     grouped = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "event string, cluster long")
     events = spark.createDataFrame([("a", None), ("b", "2020"), ("c", None)], "event string, start string")
