@@ -1,7 +1,12 @@
+import os
+
 import pytest
 
+from tidemark.operators.hierarchy import reached
 from tidemark.plans import competency as cq
 from tidemark.plans import graph as g
+from tidemark.plans.tables import driver_graph
+from tidemark.session import shared_folder
 
 LINES = """
 e1 rdf:type :MajorEvent; e1 :eventName Ana; e1 :startDate 2022-01-05T00:00:00; e1 :hasDisasterType TC; e1 :hasLocation m1; e1 :hasRelatedIncident i1; e1 prov:wasDerivedFrom rec1; rec1 prov:wasDerivedFrom rep1; rep1 prov:wasAttributedTo orgA
@@ -72,3 +77,20 @@ def test_places_and_trees(graph):
     assert rows(g.cities(graph), "place", "parent", "region_label") == [("m1", "p1", "Ar"), ("m2", "p1", "Ar")]
     assert rows(g.ontology_links(graph, ":"), "source", "target") == [(":Casualties", ":Impact"), (":Incident", ":DisasterEvent"), (":MajorEvent", ":DisasterEvent")]
     assert g.tree([("a", "A", None), ("c", "c", "a"), ("b", "B", "a"), ("x", None, "lost")]) == [{"id": "a", "label": "A", "children": [{"id": "b", "label": "B", "children": []}, {"id": "c", "label": "c", "children": []}]}, {"id": "x", "label": None, "children": []}]
+
+
+def test_questions_store_no_triples(spark, sf_dir):
+    """Each reads what it names: loading all triples first took more disk than the tables."""
+    folder = shared_folder(spark).removeprefix("file:")
+    files = lambda: {f"{d}/{x}" for d, _, names in os.walk(folder) for x in names}
+    before = files()
+    graph = driver_graph(spark, sf_dir)
+    nodes, places = graph.pairs(":hasHousingDamage"), graph.pairs(":hasLocation", after=(":hasHousingDamage",))
+    assert nodes.count() == places.count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber = 5").count() and files() == before
+
+
+def test_paths_from_some_nodes(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "c"), ("c", "d"), ("d", None)], "child string, parent string")
+    found = reached(edges, spark.createDataFrame([("a",), ("x",), ("x",), (None,)], "n string"))
+    assert rows(found) == [(s, n) for s in "ax" for n in "abcd"]
+    assert rows(reached(edges, spark.createDataFrame([("d",)], "n string"))) == []

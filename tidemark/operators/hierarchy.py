@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import durable
+from tidemark.session import durable, written
 
 
 def path_closure(edges: DataFrame, child: str = "child", parent: str = "parent", most_depth: int = 64) -> DataFrame:
@@ -28,6 +28,37 @@ def path_closure(edges: DataFrame, child: str = "child", parent: str = "parent",
     return found
 
 
+def reached(edges: DataFrame, starts: DataFrame, child: str = "child", parent: str = "parent", most_depth: int = 64) -> DataFrame:
+    """Path ``+`` from some nodes only (the starts' one column): start, node. Cycles end where they began.
+
+    A round moves no edge from outside the range of the nodes found last, and looks for pairs found before only among
+    rounds whose ranges overlap; so edges between nodes of one kind and the next are moved once.
+    """
+    steps = edges.select(F.col(child).alias("node"), F.col(parent).alias("above")).na.drop()
+    rounds: list[tuple[str, str, DataFrame]] = []
+    edge = starts.toDF("start").na.drop().distinct().select("start", F.col("start").alias("node"))
+    for depth in range(most_depth + 1):
+        edge = written(edge)
+        low, high = edge.agg(F.min("node"), F.max("node")).first()
+        known = [df for a, b, df in rounds if low is not None and a <= high and low <= b]
+        if known:
+            for df in known:
+                edge = edge.join(df, ["start", "node"], "left_anti")
+            edge = written(edge)
+            low, high = edge.agg(F.min("node"), F.max("node")).first()
+        if low is None:
+            break
+        if depth:
+            rounds.append((low, high, edge))
+        edge = edge.join(steps.filter(F.col("node").between(low, high)), "node").select("start", F.col("above").alias("node")).distinct()
+    else:
+        raise RuntimeError("paths are longer than most_depth")
+    found = edge  # of the last round, without rows
+    for _, _, df in rounds:
+        found = found.unionByName(df)
+    return found
+
+
 #: Levels of a tree that are joined in one plan; deeper ones and cycles take the general way.
 LEVELS = 6
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.hierarchy import path_closure
-from tidemark.session import durable
+from tidemark.session import durable, written
 
 TYPE = "rdf:type"
 
@@ -62,7 +62,7 @@ def materialise(triples: DataFrame, axioms: Axioms, regime: str = "owl_lite", mo
     grouped = lambda pairs: {p: sorted(c for q, c in pairs if q == p) for p, _ in pairs}
     domains, ranges = grouped(axioms.domain), grouped(axioms.range)
     inverse = dict(axioms.inverse + [(b, a) for a, b in axioms.inverse]) if owl else {}
-    facts = known = durable(facts)
+    facts = known = written(facts)
     for _ in range(most_rounds):
         wider = known.filter(F.col("p") == TYPE).select("s", "p", F.explode(_lookup(classes, "o")).alias("o"))
         added = wider.unionByName(known.select("s", F.explode(_lookup(properties, "p")).alias("p"), "o"))

@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import hours_between
-from tidemark.plans.graph import Graph, literal_rows
+from tidemark.plans.graph import Graph, listed, literal_rows, narrowed, sources_of
+from tidemark.session import written
 
 EVENT, NAME = ":DisasterEvent", {"event_name": ":eventName"}
 
 
+def types_of(graph: Graph, *types: str, narrower: bool = True) -> DataFrame:
+    """event and type_id of whatever has one of the types (or a narrower one)."""
+    wanted = graph.within("skos:broader", *types, name="type_id") if narrower else list(types)
+    return narrowed(graph.pairs(":hasDisasterType", ":hasDisasterSubtype", names=("event", "type_id")), "type_id", wanted).distinct()
+
+
 def events_of(graph: Graph, *types: str, narrower: bool = True) -> DataFrame:
     """event and type_id of disaster events with one of the types (or a narrower one)."""
-    links = graph.pairs(":hasDisasterType", ":hasDisasterSubtype", names=("event", "type_id")).distinct()
-    wanted = graph.within("skos:broader", *types, name="type_id") if narrower else links.filter(F.col("type_id").isin(*types)).select("type_id").distinct()
-    return links.join(wanted, "type_id", "left_semi").join(graph.typed(EVENT, name="event"), "event", "left_semi")
+    return types_of(graph, *types, narrower=narrower).join(graph.typed(EVENT, name="event"), "event", "left_semi")
 
 
 def records(graph: Graph, link: str, types: tuple[str, ...] = (), places: tuple[str, ...] = (), at_event: bool = False) -> DataFrame:
@@ -23,13 +28,16 @@ def records(graph: Graph, link: str, types: tuple[str, ...] = (), places: tuple[
 
     With ``at_event`` the record's location must be one of the event's own.
     """
-    found = graph.pairs(link, names=("event", "node")).join(graph.typed(EVENT, name="event"), "event", "left_semi")
-    found = found.join(graph.pairs(":hasLocation", names=("node", "location")), "node")
-    if types:
-        found = found.join(events_of(graph, *types).select("event"), "event", "left_semi")
+    located, own = graph.pairs(":hasLocation", names=("node", "location"), after=(link,)), graph.pairs(":hasLocation", names=("event", "location"), of=(link,))
     if places:
-        found = found.join(graph.within(":isPartOf", *places, name="location"), "location", "left_semi")
-    return found.join(graph.pairs(":hasLocation", names=("event", "location")), ["event", "location"], "left_semi") if at_event else found
+        within = listed(graph.within(":isPartOf", *places, name="location"))
+        located, own = narrowed(located, "location", within), narrowed(own, "location", within)
+    found = graph.pairs(link, names=("event", "node"), by="o").join(located, "node")
+    if at_event:
+        found = found.join(own, ["event", "location"], "left_semi")
+    if not graph.known(link, EVENT):
+        found = found.join(graph.typed(EVENT, name="event"), "event", "left_semi")
+    return found.join(types_of(graph, *types).select("event"), "event", "left_semi") if types else found
 
 
 def having(graph: Graph, found: DataFrame, column: str, *predicates: str) -> DataFrame:
@@ -41,9 +49,9 @@ def having(graph: Graph, found: DataFrame, column: str, *predicates: str) -> Dat
 
 def totals(graph: Graph, found: DataFrame, fields: dict[str, str], by: list[str], measured: bool = False) -> DataFrame:
     """Sums of a record's numbers (name: predicate), or of the values of its measures, by the given columns; missing ones count as 0."""
-    said = graph.triples.filter(F.col("p").isin(*fields.values())).select(F.col("s").alias("node"), "p", "o")
+    said = graph.facts(*fields.values()).select(F.col("s").alias("node"), "p", "o")
     if measured:
-        said = said.join(graph.pairs("qudt:numericValue", names=("o", "v")), "o").select("node", "p", F.col("v").alias("o"))
+        said = said.join(graph.pairs("qudt:numericValue", names=("o", "v"), after=tuple(fields.values())), "o").select("node", "p", F.col("v").alias("o"))
     amount = F.col("o").try_cast("decimal(38,6)")
     sums = [F.coalesce(F.sum(F.when(F.col("p") == p, amount)), F.lit(0)).cast("decimal(38,6)").alias(n) for n, p in fields.items()]
     return found.join(said, "node", "left").groupBy(*by).agg(*sums)
@@ -57,8 +65,8 @@ def with_area(graph: Graph, found: DataFrame, area_class: str, region: str) -> D
 
 def attributed(graph: Graph, found: DataFrame) -> DataFrame:
     """``found`` with each organisation at the end of the event's chain of records: source."""
-    ends = graph.above("prov:wasDerivedFrom").toDF("event", "record").join(graph.pairs("prov:wasAttributedTo", names=("record", "source")), "record").select("event", "source").distinct()
-    return found.join(ends, "event")
+    found = written(found)
+    return found.join(sources_of(graph, found.select("event")).select(F.col("start").alias("event"), "source").distinct(), "event")
 
 
 def cq1(graph: Graph, type_id: str) -> DataFrame:
@@ -70,14 +78,14 @@ def cq1(graph: Graph, type_id: str) -> DataFrame:
 
 def cq2(graph: Graph, types: tuple[str, ...]) -> DataFrame:
     """Events of exactly these types that have a start, with their places and the regions of those."""
-    placed = having(graph, events_of(graph, *types, narrower=False), "event", ":startDate").join(graph.pairs(":hasLocation", names=("event", "location")), "event")
+    placed = having(graph, events_of(graph, *types, narrower=False), "event", ":startDate").join(graph.pairs(":hasLocation", names=("event", "location"), of=(":hasDisasterType", ":hasDisasterSubtype")), "event")
     regions = graph.lifted(":isPartOf", placed, "location", "region").join(graph.typed(":Region", name="region"), "region", "left_semi")
     return graph.labelled(graph.labelled(graph.optional(regions, "event", NAME | {"start": ":startDate"}), "location", "location_label"), "region", "region_label")
 
 
 def cq3(graph: Graph, type_id: str) -> DataFrame:
     """Each type from this one up to the top with the number of events under it, 0 included."""
-    ups = graph.above("skos:broader").filter(F.col("descendant") == type_id).select("ancestor").unionByName(literal_rows(graph.triples.sparkSession, [type_id], "ancestor"))
+    ups = graph.above("skos:broader").filter(F.col("descendant") == type_id).select("ancestor").unionByName(literal_rows(graph.spark, [type_id], "ancestor"))
     links = graph.pairs(":hasDisasterType", names=("event", "type_id")).join(graph.typed(EVENT, name="event"), "event", "left_semi")
     counted = graph.lifted("skos:broader", links, "type_id", "ancestor").groupBy("ancestor").agg(F.count_distinct("event").alias("events"))
     return graph.labelled(ups.distinct().join(counted, "ancestor", "left").na.fill(0, ["events"]), "ancestor", "label")
@@ -86,7 +94,7 @@ def cq3(graph: Graph, type_id: str) -> DataFrame:
 def cq4(graph: Graph, type_id: str, regions: tuple[str, ...]) -> DataFrame:
     """Events below a type that have a start, with the provinces of their places within the regions, and the regions of those."""
     started = having(graph, events_of(graph, type_id), "event", ":startDate")
-    placed = started.join(graph.pairs(":hasLocation", names=("event", "location")), "event").join(graph.within(":isPartOf", *regions, name="location"), "location", "left_semi")
+    placed = started.join(graph.pairs(":hasLocation", names=("event", "location"), of=(":hasDisasterType", ":hasDisasterSubtype")), "event").join(graph.within(":isPartOf", *regions, name="location"), "location", "left_semi")
     provinces = graph.lifted(":isPartOf", placed, "location", "province").join(graph.typed(":Province", name="province"), "province", "left_semi")
     above = graph.above(":isPartOf").toDF("province", "region").join(graph.typed(":Region", name="region"), "region", "left_semi")
     named = graph.labelled(graph.labelled(graph.labelled(provinces.join(above, "province"), "province", "province_name"), "region", "region_name"), "type_id", "type_label")
@@ -97,7 +105,7 @@ def cq4(graph: Graph, type_id: str, regions: tuple[str, ...]) -> DataFrame:
 def cq5(graph: Graph, types: tuple[str, ...], regions: tuple[str, ...], year: int) -> DataFrame:
     """Events of a year by type and region."""
     started = graph.pairs(":startDate", names=("event", "start")).filter(F.substring("start", 1, 4) == str(year)).select("event")
-    placed = events_of(graph, *types).join(started, "event", "left_semi").join(graph.pairs(":hasLocation", names=("event", "location")), "event")
+    placed = events_of(graph, *types).join(started, "event", "left_semi").join(graph.pairs(":hasLocation", names=("event", "location"), of=(":hasDisasterType", ":hasDisasterSubtype")), "event")
     return graph.lifted(":isPartOf", placed, "location", "region").filter(F.col("region").isin(*regions)).groupBy("type_id", "region").agg(F.count_distinct("event").alias("events"))
 
 
@@ -109,7 +117,7 @@ def cq6(graph: Graph, region: str) -> DataFrame:
 
 def cq7(graph: Graph, type_id: str, region: str) -> DataFrame:
     """Casualties by province of a region and kind."""
-    found = graph.optional(with_area(graph, records(graph, ":hasCasualties", (type_id,), at_event=True), ":Province", region), "node", {"kind": ":isOfCasualtyType"}).filter("kind IS NOT NULL")
+    found = graph.optional(with_area(graph, records(graph, ":hasCasualties", (type_id,), (region,), at_event=True), ":Province", region), "node", {"kind": ":isOfCasualtyType"}).filter("kind IS NOT NULL")
     return totals(graph, found, {"total": ":casualtyCount"}, ["area_name", "kind"])
 
 
@@ -132,13 +140,13 @@ def cq9(graph: Graph, type_id: str, region: str) -> DataFrame:
 
 def cq10(graph: Graph, type_id: str, region: str) -> DataFrame:
     """Damaged houses by province of a region."""
-    found = with_area(graph, records(graph, ":hasHousingDamage", (type_id,), at_event=True), ":Province", region)
+    found = with_area(graph, records(graph, ":hasHousingDamage", (type_id,), (region,), at_event=True), ":Province", region)
     return totals(graph, found, {"partially": ":partiallyDamagedHouses", "totally": ":totallyDamagedHouses"}, ["area_name"])
 
 
 def cq11(graph: Graph, type_id: str, region: str) -> DataFrame:
     """Damage to agriculture by event in a region: amounts, and volume lost."""
-    found = records(graph, ":hasAgricultureDamage", (type_id,), (region,), at_event=True)
+    found = written(records(graph, ":hasAgricultureDamage", (type_id,), (region,), at_event=True))
     amounts = totals(graph, found, {"amount": ":agriDamageAmount", "loss": ":productionLossCost"}, ["event"], measured=True)
     return amounts.join(totals(graph, found, {"volume": ":productionLossVolume"}, ["event"]), "event")
 
@@ -172,7 +180,7 @@ def cq15(graph: Graph, place: str) -> DataFrame:
 
 def cq16(graph: Graph, region: str) -> DataFrame:
     """Declarations of calamity by province of a region, as one text each."""
-    found = described(graph, with_area(graph, records(graph, ":hasDeclarationOfCalamity", at_event=True), ":Province", region), {"date": ":resolutionDate"})
+    found = described(graph, with_area(graph, records(graph, ":hasDeclarationOfCalamity", places=(region,), at_event=True), ":Province", region), {"date": ":resolutionDate"})
     line = F.concat(F.coalesce("event_name", F.lit("no name")), F.lit(" - "), F.coalesce("date", F.lit("unknown")), F.lit(" - "), F.coalesce("location_label", "location"))
     return found.groupBy("area_name").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("events"))
 
@@ -186,7 +194,7 @@ def cq18(graph: Graph, region: str, income_class: str, level: str = ":Municipali
     """Municipalities of an income class with an event, and whether any such event had a pre-emptive evacuation."""
     towns = graph.typed(level, name="town").join(graph.within(":isPartOf", region, name="town"), "town", "left_semi").join(graph.pairs(":incomeClassification", names=("town", "income")).filter(F.col("income") == income_class), "town", "left_semi")
     parents = graph.pairs(":isPartOf", names=("town", "province")).join(graph.typed(above, name="province"), "province", "left_semi")
-    events = graph.pairs(":hasLocation", names=("event", "town")).join(graph.typed(EVENT, name="event"), "event", "left_semi")
+    events = graph.pairs(":hasLocation", names=("event", "town"), of=(":startDate",)).join(graph.typed(EVENT, name="event"), "event", "left_semi")
     evacuated = graph.pairs(":hasPreemptiveEvacuation", names=("event", "node")).select("event", F.lit(1).alias("pre")).distinct()
     found = events.join(towns.join(parents, "town"), "town").join(evacuated, "event", "left").groupBy("town", "province").agg(F.max(F.coalesce("pre", F.lit(0))).alias("pre"))
     return graph.labelled(graph.labelled(found, "town", "t"), "province", "p").select(F.concat("t", F.lit(", "), "p").alias("loc"), F.when(F.col("pre") > 0, "Yes").otherwise("No").alias("evacuated"))

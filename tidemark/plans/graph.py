@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.hierarchy import path_closure
+from tidemark.operators.hierarchy import path_closure, reached
+from tidemark.session import written
 
 LABELS = ["rdfs:label", "skos:prefLabel"]
 
@@ -17,47 +20,114 @@ def literal_rows(spark: SparkSession, values: list[str] | tuple[str, ...], name:
     return spark.range(1).select(F.explode(F.array(*map(F.lit, values)).cast("array<string>")).alias(name))
 
 
+#: A list of so many values at most becomes part of the plan, so that it reaches the scans; longer ones are joined.
+FEW = 1000
+
+
+def listed(wanted: DataFrame) -> DataFrame | list[str]:
+    """The values of a frame's only column as a list, or the frame if they are many."""
+    few = [r[0] for r in wanted.distinct().limit(FEW + 1).collect()]
+    return wanted if len(few) > FEW else sorted(x for x in few if x is not None)
+
+
+def narrowed(df: DataFrame, column: str, wanted: DataFrame | list[str]) -> DataFrame:
+    """Rows whose column is among the values of a list or of a frame's only column."""
+    if isinstance(wanted, DataFrame):
+        wanted = listed(wanted)
+    if isinstance(wanted, DataFrame):
+        return df.join(wanted.toDF(column), column, "left_semi").select(*df.columns)
+    return df.filter(F.col(column).isin(*wanted)) if wanted else df.filter(F.lit(False))
+
+
+@dataclass(frozen=True)
+class Part:
+    """Where the triples of a predicate come from whose subjects and objects are nodes of one shape each.
+
+    A node has one shape only; ``constant`` is the object if all have the same, ``of_class`` a class that every subject is
+    known to have. ``source`` is for whoever makes the rows.
+    """
+
+    predicate: str
+    subject: str
+    object: str
+    o_kind: str
+    source: object
+    constant: str | None = None
+    of_class: str | None = None
+
+
 class Graph:
-    """Views of a triple table by predicate, and the closures that questions share, each worked out once."""
+    """Views of a triple table by predicate, and the closures that questions share, each worked out once.
 
-    def __init__(self, triples: DataFrame):
-        self.triples = triples.select("s", "p", "o", "o_kind")
+    A graph is a table (s, p, o, o_kind), or parts and a function that makes the triples of some of them as a set. Of the
+    latter nothing is stored, and a question reads only the parts that it names.
+    """
+
+    def __init__(self, triples: DataFrame | None = None, spark: SparkSession | None = None, parts: list[Part] = (), make: Callable[[list[Part], bool, str], DataFrame] | None = None):
+        self._table = None if triples is None else triples.select("s", "p", "o", "o_kind")
+        self.spark = triples.sparkSession if triples is not None else spark
+        self._parts, self._make = list(parts), make
         self._above: dict[str, DataFrame] = {}
 
-    def pairs(self, *predicates: str, names: tuple[str, str] = ("s", "o")) -> DataFrame:
-        return self.triples.filter(F.col("p").isin(*predicates)).select("s", "o").toDF(*names)
+    @property
+    def triples(self) -> DataFrame:
+        """All triples."""
+        return self._table if self._table is not None else self._make(self._parts, True, "s")
+
+    def facts(self, *predicates: str, to: list[str] | None = None, after: tuple[str, ...] = (), of: tuple[str, ...] = (), by: str = "s") -> DataFrame:
+        """The triples of the predicates, with an object in ``to`` if that is given; ``by``: the column that they are joined on next.
+
+        Others may be left out where no subject can be an object of a predicate in ``after``, or a subject of one in ``of``.
+        """
+        if self._table is not None:
+            found = self._table.filter(F.col("p").isin(*predicates))
+        else:
+            shapes = {x.object for x in self._parts if x.predicate in after} | {x.subject for x in self._parts if x.predicate in of}
+            chosen = [x for x in self._parts if x.predicate in predicates and (not (after or of) or x.subject in shapes) and (to is None or x.constant is None or x.constant in to)]
+            found = self._make(chosen, False, by)
+        return found if to is None else narrowed(found, "o", to)
+
+    def pairs(self, *predicates: str, names: tuple[str, str] = ("s", "o"), **where) -> DataFrame:
+        return self.facts(*predicates, **where).select("s", "o").toDF(*names)
+
+    def known(self, predicate: str, cls: str) -> bool:
+        """Whether all subjects of a predicate are known to have a class."""
+        return self._table is None and all(x.of_class == cls for x in self._parts if x.predicate == predicate)
 
     def typed(self, *classes: str, name: str = "s") -> DataFrame:
         """Nodes of the classes or of any below them."""
-        below = self.above("rdfs:subClassOf").filter(F.col("ancestor").isin(*classes)).select(F.col("descendant").alias("o"))
-        wanted = below.unionByName(literal_rows(self.triples.sparkSession, classes, "o")).distinct()
+        below = self.above("rdfs:subClassOf").filter(F.col("ancestor").isin(*classes)).select("descendant").distinct().limit(FEW + 1).collect()
+        if len(below) <= FEW:
+            return self.pairs("rdf:type", to=sorted({*classes, *(r[0] for r in below)})).select(F.col("s").alias(name)).distinct()
+        wanted = self.within("rdfs:subClassOf", *classes, name="o")
         return self.pairs("rdf:type").join(wanted, "o", "left_semi").select(F.col("s").alias(name)).distinct()
 
     def above(self, predicate: str) -> DataFrame:
-        """Path ``+`` of a predicate: descendant, ancestor."""
+        """Path ``+`` of a predicate between few nodes: descendant, ancestor."""
         if predicate not in self._above:
-            self._above[predicate] = path_closure(self.pairs(predicate), "s", "o").select("descendant", "ancestor")
+            self._above[predicate] = written(path_closure(self.pairs(predicate), "s", "o").select("descendant", "ancestor"))
         return self._above[predicate]
 
     def within(self, predicate: str, *tops: str, name: str) -> DataFrame:
         """Nodes that a path ``*`` leads from to one of ``tops``."""
         below = self.above(predicate).filter(F.col("ancestor").isin(*tops)).select(F.col("descendant").alias(name))
-        return below.unionByName(literal_rows(self.triples.sparkSession, tops, name)).distinct()
+        return below.unionByName(literal_rows(self.spark, tops, name)).distinct()
 
     def lifted(self, predicate: str, df: DataFrame, column: str, name: str) -> DataFrame:
         """``df`` with each ancestor (path ``*``) of a column."""
-        ups = self.above(predicate).toDF("_d", name)
-        own = df.select(column).distinct().select(F.col(column).alias("_d"), F.col(column).alias(name))
-        return df.join(ups.unionByName(own).distinct(), df[column] == F.col("_d")).drop("_d")
+        ups = self.above(predicate).groupBy(F.col("descendant").alias("_d")).agg(F.collect_set("ancestor").alias("_ups"))
+        own = F.array(F.col(column))
+        every = F.array_distinct(F.concat(own, F.coalesce("_ups", F.array().cast("array<string>"))))
+        return df.join(ups, df[column] == F.col("_d"), "left").withColumn(name, F.explode(every)).drop("_d", "_ups").filter(F.col(name).isNotNull())
 
     def literals(self) -> DataFrame:
         """All literals whatever their property, as the top data property has them: s, p, o."""
         return self.triples.filter("o_kind = 'literal'").select("s", "p", "o")
 
-    def optional(self, df: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
+    def optional(self, df: DataFrame, column: str, fields: dict[str, str], after: tuple[str, ...] = (), of: tuple[str, ...] = ()) -> DataFrame:
         """``df`` with a column for each field (name: predicate) of a node; null where it has none, repeated where it has several."""
         for name, predicate in fields.items():
-            df = df.join(self.pairs(predicate, names=(f"_{name}", name)), F.col(column) == F.col(f"_{name}"), "left").drop(f"_{name}")
+            df = df.join(self.pairs(predicate, names=(f"_{name}", name), after=after, of=of), F.col(column) == F.col(f"_{name}"), "left").drop(f"_{name}")
         return df
 
     def labelled(self, df: DataFrame, column: str, name: str) -> DataFrame:
@@ -67,22 +137,27 @@ class Graph:
 
 def event_scope(graph: Graph, root: str) -> DataFrame:
     """An event and its related incidents, with their names."""
-    spark = graph.triples.sparkSession
-    own = literal_rows(spark, [root], "event")
+    own = literal_rows(graph.spark, [root], "event")
     related = graph.pairs(":hasRelatedIncident", names=("a", "event")).filter(F.col("a") == root).select("event")
-    return graph.optional(own.unionByName(related).distinct(), "event", {"event_name": ":eventName"})
+    scope = written(own.unionByName(related).distinct())
+    names = narrowed(graph.pairs(":eventName", names=("_e", "event_name")), "_e", scope)
+    return scope.join(names, F.col("event") == F.col("_e"), "left").drop("_e")
 
 
 def event_impacts(graph: Graph, root: str, impact_class: str) -> DataFrame:
     """What an event and its incidents caused: event, property, impact, location, and each value of the impact with its unit."""
     scope = event_scope(graph, root)
     links = graph.triples.filter("o_kind = 'iri' AND p <> ':hasRelatedIncident'").select(F.col("s").alias("event"), F.col("p").alias("property"), F.col("o").alias("impact"))
-    found = scope.join(links, "event").join(graph.typed(impact_class, name="impact"), "impact")
-    found = graph.labelled(graph.optional(found, "impact", {"location": ":hasLocation"}), "location", "location_label")
-    said = graph.triples.filter(~F.col("p").isin("rdf:type", ":hasLocation"))
+    linked = written(scope.join(narrowed(links, "event", scope.select("event")), "event"))
+    nodes = linked.select("impact")
+    found = linked.join(narrowed(graph.typed(impact_class, name="impact"), "impact", nodes), "impact")
+    places = narrowed(graph.pairs(":hasLocation", names=("_n", "location")), "_n", nodes)
+    found = graph.labelled(found.join(places, F.col("impact") == F.col("_n"), "left").drop("_n"), "location", "location_label")
+    said = written(narrowed(graph.triples.filter(~F.col("p").isin("rdf:type", ":hasLocation")), "s", nodes))
     plain = said.filter("o_kind <> 'blank'").select(F.col("s").alias("impact"), F.col("p").alias("predicate"), F.col("o").alias("value"), F.lit(None).cast("string").alias("unit"))
-    measures = graph.optional(graph.pairs("qudt:numericValue", names=("m", "value")), "m", {"unit": "qudt:unit"})
-    measured = said.filter("o_kind = 'blank'").select(F.col("s").alias("impact"), F.col("p").alias("predicate"), F.col("o").alias("m")).join(measures, "m").select("impact", "predicate", "value", "unit")
+    blank = said.filter("o_kind = 'blank'").select(F.col("s").alias("impact"), F.col("p").alias("predicate"), F.col("o").alias("m"))
+    numbers, units = (narrowed(graph.pairs(p, names=(m, v)), m, blank.select("m")) for p, m, v in (("qudt:numericValue", "m", "value"), ("qudt:unit", "_m", "unit")))
+    measured = blank.join(numbers, "m").join(units, F.col("m") == F.col("_m"), "left").select("impact", "predicate", "value", "unit")
     return found.join(plain.unionByName(measured), "impact", "left").distinct()
 
 
@@ -90,27 +165,38 @@ def event_organisations(graph: Graph, root: str, base: str = "https://example.or
     """Organisations that an event, an incident of it or one of their records names: organisation, label, property, holder, event."""
     scope = event_scope(graph, root).select("event")
     links = graph.triples.filter("o_kind <> 'literal'").select(F.col("s").alias("event"), F.col("o").alias("holder"))
-    holders = scope.join(links, "event").unionByName(scope.select("event", F.col("event").alias("holder"))).distinct()
+    holders = written(scope.join(narrowed(links, "event", scope), "event").unionByName(scope.select("event", F.col("event").alias("holder"))).distinct())
     named = graph.triples.filter("o_kind = 'iri' AND p <> 'prov:wasAttributedTo'").select(F.col("s").alias("holder"), F.col("p").alias("property"), F.col("o").alias("organisation"))
-    known = graph.pairs("rdf:type").filter(F.col("o").isin(":Organization", "prov:Agent")).select(F.col("s").alias("organisation"), F.lit(True).alias("known")).distinct()
-    found = holders.join(named, "holder").join(known, "organisation", "left").filter(F.col("organisation").startswith(base) | F.coalesce("known", F.lit(False)))
+    known = graph.pairs("rdf:type", to=[":Organization", "prov:Agent"]).select(F.col("s").alias("organisation"), F.lit(True).alias("known")).distinct()
+    found = holders.join(narrowed(named, "holder", holders.select("holder")), "holder").join(known, "organisation", "left").filter(F.col("organisation").startswith(base) | F.coalesce("known", F.lit(False)))
     return graph.labelled(found, "organisation", "label").select("organisation", "label", "property", "holder", "event").distinct()
 
 
+def sources_of(graph: Graph, starts: DataFrame) -> DataFrame:
+    """Who the records are attributed to that the starts (one column) derive from, over any number of steps: start, record, source."""
+    records = reached(graph.pairs("prov:wasDerivedFrom"), starts, "s", "o")
+    return records.withColumnRenamed("node", "record").join(graph.pairs("prov:wasAttributedTo", names=("record", "source")), "record").select("start", "record", "source")
+
+
 def event_sources(graph: Graph, root: str) -> DataFrame:
     """Where an event's and its incidents' data come from: source, label, record, event."""
     scope = event_scope(graph, root).select("event")
-    derived = graph.above("prov:wasDerivedFrom").toDF("event", "record").join(graph.pairs("prov:wasAttributedTo", names=("record", "source")), "record")
-    direct = graph.pairs("prov:wasAttributedTo", names=("event", "source")).withColumn("record", F.col("event"))
+    derived = sources_of(graph, scope).select(F.col("start").alias("event"), "record", "source")
+    direct = narrowed(graph.pairs("prov:wasAttributedTo", names=("event", "source")), "event", scope).select("event", F.col("event").alias("record"), "source")
     return graph.labelled(scope.join(derived.unionByName(direct), "event"), "source", "label").select("source", "label", "record", "event").distinct()
 
 
 def event_details(graph: Graph, root: str) -> DataFrame:
     """Everything on an event's page as tagged rows: kind, resource, label, start, end. Raises LookupError for an unknown event."""
-    spark = graph.triples.sparkSession
-    own = literal_rows(spark, [root], "event")
     dates = {"start": ":startDate", "end": ":endDate"}
-    core = graph.optional(own.join(graph.pairs("rdf:type", names=("event", "class")), "event"), "event", {"label": ":eventName", **dates})
+
+    def described(df: DataFrame, column: str) -> DataFrame:
+        nodes = df.select(column)
+        for name, predicate in {"label": ":eventName", **dates}.items():
+            df = df.join(narrowed(graph.pairs(predicate, names=(f"_{name}", name)), f"_{name}", nodes), F.col(column) == F.col(f"_{name}"), "left").drop(f"_{name}")
+        return df
+
+    core = written(described(graph.pairs("rdf:type", names=("event", "class")).filter(F.col("event") == root), "event"))
     if core.isEmpty():
         raise LookupError(root)
     linked = lambda *p: graph.pairs(*p, names=("event", "resource")).filter(F.col("event") == root).select("resource")
@@ -122,7 +208,7 @@ def event_details(graph: Graph, root: str) -> DataFrame:
         branches.append(graph.labelled(found.distinct(), "resource", "label").select(F.lit(kind).alias("kind"), "resource", "label"))
     both = linked("prov:alternateOf").unionByName(graph.pairs("prov:alternateOf", names=("resource", "event")).filter(F.col("event") == root).select("resource"))
     for kind, found in {"incident": linked(":hasRelatedIncident"), "majorEvent": linked(":isRelatedTo"), "alternate": both}.items():
-        branches.append(cut(graph.optional(found.distinct(), "resource", {"label": ":eventName", **dates}).select(F.lit(kind).alias("kind"), "resource", "label", *dates)))
+        branches.append(cut(described(written(found.distinct()), "resource").select(F.lit(kind).alias("kind"), "resource", "label", *dates)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches).distinct()
 
 
@@ -130,7 +216,7 @@ def event_details(graph: Graph, root: str) -> DataFrame:
 
 
 def ontology_classes(graph: Graph, namespace: str) -> DataFrame:
-    classes = graph.pairs("rdf:type").filter((F.col("o") == "owl:Class") & F.col("s").startswith(namespace)).select(F.col("s").alias("class"))
+    classes = graph.pairs("rdf:type", to=["owl:Class"]).filter(F.col("s").startswith(namespace)).select(F.col("s").alias("class"))
     return graph.labelled(classes, "class", "label")
 
 
@@ -145,7 +231,7 @@ def ontology_links(graph: Graph, namespace: str) -> DataFrame:
 
 def leaves(graph: Graph, kind: str, of: str, below: str) -> DataFrame:
     """Nodes with a ``kind`` link to ``of`` that no other node is ``below``."""
-    nodes = graph.pairs(kind).filter(F.col("o") == of).select(F.col("s").alias("node")).distinct()
+    nodes = graph.pairs(kind, to=[of]).select(F.col("s").alias("node")).distinct()
     return nodes.join(graph.pairs(below, names=("lower", "node")).select("node"), "node", "left_anti")
 
 

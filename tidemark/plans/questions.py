@@ -9,7 +9,7 @@ from tidemark.operators.inference import TYPE, Axioms, materialise
 from tidemark.plans import competency as cq
 from tidemark.plans import graph as g
 from tidemark.plans.catalog import query
-from tidemark.plans.tables import GRAPH_SQL, ONTOLOGY, RECORDS, driver_graph, driver_store
+from tidemark.plans.tables import GRAPH_SQL, ONTOLOGY, RECORDS, driver_graph, loaded_store
 
 
 def question(sql: str):
@@ -221,14 +221,14 @@ def leaf_classes(spark, sf_dir):
 
 @question("SELECT t.id, lower(t.id) AS label, t.parent FROM taxonomy t")
 def taxonomy_rows(spark, sf_dir):
-    return g.taxonomy(driver_graph(spark, sf_dir), driver_store(spark, sf_dir).taxonomy.select("id"))
+    return g.taxonomy(driver_graph(spark, sf_dir), loaded_store(spark, sf_dir).taxonomy.select("id"))
 
 
 # --- inference -------------------------------------------------------------------------------------------------------
 
 
 def _facts(graph: g.Graph, *predicates: str) -> DataFrame:
-    return graph.triples.filter(F.col("p").isin(*predicates)).select("s", "p", "o")
+    return graph.facts(*predicates).select("s", "p", "o")
 
 
 @question("SELECT event AS s, node AS o FROM rec WHERE l_linenumber <= 6")
@@ -242,8 +242,8 @@ def inferred_subproperties(spark, sf_dir):
 def inferred_chains(spark, sf_dir):
     """Where the casualties of an event or of its incidents were, through two chains, one of which builds on the other."""
     graph = driver_graph(spark, sf_dir)
-    harmed = graph.pairs("rdf:type").filter("o = ':Casualties'").select("s")
-    facts = _facts(graph, ":hasRelatedIncident", ":hasCasualties").unionByName(_facts(graph, ":hasLocation").join(harmed, "s", "left_semi"))
+    harmed = graph.pairs("rdf:type", to=[":Casualties"]).select("s")
+    facts = _facts(graph, ":hasRelatedIncident", ":hasCasualties").unionByName(graph.facts(":hasLocation", after=(":hasCasualties",)).select("s", "p", "o").join(harmed, "s", "left_semi"))
     axioms = Axioms(chains=[(":hasCasualties", ":hasLocation", ":harmedAt"), (":hasRelatedIncident", ":harmedAt", ":harmedAt")])
     return materialise(facts, axioms).filter("p = ':harmedAt'").select("s", "o")
 
@@ -262,7 +262,7 @@ def inferred_inverses(spark, sf_dir):
 @question("SELECT event AS s, 'other:' || event_class AS o FROM event WHERE event_class = 'Incident' UNION ALL SELECT event, ':DisasterEvent' FROM event WHERE event_class = 'Incident'")
 def inferred_equivalents(spark, sf_dir):
     graph = driver_graph(spark, sf_dir)
-    incidents = graph.triples.filter("p = 'rdf:type' AND o = ':Incident'").select("s", "p", "o")
+    incidents = graph.facts("rdf:type", to=[":Incident"]).select("s", "p", "o")
     facts = materialise(incidents, Axioms(equivalent=[(":Incident", "other:Incident")], subclass=[("other:Incident", ":DisasterEvent")]))
     return facts.filter(F.col("p") == TYPE).filter("inferred").select("s", "o")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,8 @@ def stored(df: DataFrame, path: str, *partitions: str) -> DataFrame:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table of its own in the shared folder. For rows with texts, which checkpoints do not compress."""
+    return stored(df, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet")
