@@ -5,6 +5,8 @@ import pytest
 from tidemark.operators.hierarchy import reached
 from tidemark.plans import competency as cq
 from tidemark.plans import graph as g
+from tidemark.plans import cleaning, questions  # noqa: F401  (they register their queries)
+from tidemark.plans.catalog import QUERIES
 from tidemark.plans.tables import driver_graph
 from tidemark.session import shared_folder
 
@@ -94,3 +96,26 @@ def test_paths_from_some_nodes(spark):
     found = reached(edges, spark.createDataFrame([("a",), ("x",), ("x",), (None,)], "n string"))
     assert rows(found) == [(s, n) for s in "ax" for n in "abcd"]
     assert rows(reached(edges, spark.createDataFrame([("d",)], "n string"))) == []
+
+
+def test_paths_through_rows_are_those_of_joins(spark, sf_dir):
+    """Paths whose triples come from one row of a table move that row once."""
+    graph = driver_graph(spark, sf_dir)
+    joined = g.Graph(spark=spark, parts=graph._parts, make=graph._make)
+    steps = [(0, (":hasInfrastructureDamage", ":hasAgricultureDamage")), (1, (":infraDamageAmount", ":socialDamageAmount", ":agriDamageAmount")), (2, ("qudt:numericValue",)), (2, ("qudt:unit",))]
+    fast, slow = (x.paths(*steps, names=("event", None, "m", "v", "unit"), p="p", by="event") for x in (graph, joined))
+    assert fast._jdf.queryExecution().toString().split("Physical Plan")[-1].count("/lineitem.parquet") == 1 and rows(fast) == rows(slow) != []
+    starts = graph.pairs(":hasRelatedIncident").select("s").distinct()
+    assert joined.traced() is None and rows(g.sources_of(graph, starts)) == rows(g.sources_of(joined, starts)) != []
+    # What a table of triples holds need not come from rows of one table: an amount may be told twice.
+    table = [("n", ":a", "_:1", "blank"), ("n", ":a", "_:2", "blank"), ("_:1", "v", "5", "literal"), ("_:2", "v", "5", "literal")]
+    twice = g.Graph(spark.createDataFrame(table, "s string, p string, o string, o_kind string"))
+    assert rows(twice.paths((0, (":a",)), (1, ("v",)), names=("n", None, "v"), by="n")) == [("n", "5")] * 2
+
+
+@pytest.mark.parametrize("name", ["cq19_by_source", "sources_of_events"])
+def test_sources_are_not_stored(spark, sf_dir, name):
+    folder = shared_folder(spark).removeprefix("file:")
+    stored = lambda: sum(os.path.getsize(f"{d}/{x}") for d, _, names in os.walk(folder) for x in names)
+    before = stored()
+    assert QUERIES[name](spark, sf_dir).count() and stored() - before < 20_000

@@ -49,9 +49,10 @@ def having(graph: Graph, found: DataFrame, column: str, *predicates: str) -> Dat
 
 def totals(graph: Graph, found: DataFrame, fields: dict[str, str], by: list[str], measured: bool = False) -> DataFrame:
     """Sums of a record's numbers (name: predicate), or of the values of its measures, by the given columns; missing ones count as 0."""
-    said = graph.facts(*fields.values()).select(F.col("s").alias("node"), "p", "o")
     if measured:
-        said = said.join(graph.pairs("qudt:numericValue", names=("o", "v"), after=tuple(fields.values())), "o").select("node", "p", F.col("v").alias("o"))
+        said = graph.paths((0, tuple(fields.values())), (1, ("qudt:numericValue",)), names=("node", None, "o"), p="p", by="node")
+    else:
+        said = graph.facts(*fields.values()).select(F.col("s").alias("node"), "p", "o")
     amount = F.col("o").try_cast("decimal(38,6)")
     sums = [F.coalesce(F.sum(F.when(F.col("p") == p, amount)), F.lit(0)).cast("decimal(38,6)").alias(n) for n, p in fields.items()]
     return found.join(said, "node", "left").groupBy(*by).agg(*sums)
@@ -65,8 +66,11 @@ def with_area(graph: Graph, found: DataFrame, area_class: str, region: str) -> D
 
 def attributed(graph: Graph, found: DataFrame) -> DataFrame:
     """``found`` with each organisation at the end of the event's chain of records: source."""
-    found = written(found)
-    return found.join(sources_of(graph, found.select("event")).select(F.col("start").alias("event"), "source").distinct(), "event")
+    traced = graph.traced((":startDate",))
+    if traced is None:
+        found = written(found)
+        traced = sources_of(graph, found.select("event"))
+    return found.join(traced.select(F.col("start").alias("event"), "source").distinct(), "event")
 
 
 def cq1(graph: Graph, type_id: str) -> DataFrame:

@@ -44,7 +44,8 @@ class Part:
     """Where the triples of a predicate come from whose subjects and objects are nodes of one shape each.
 
     A node has one shape only; ``constant`` is the object if all have the same, ``of_class`` a class that every subject is
-    known to have. ``source`` is for whoever makes the rows.
+    known to have. ``source`` is for whoever makes the rows. ``rows`` names the rows of a table that each give one triple at
+    most, with the two ``ends``; ``one_subject``: an object has one subject only, ``one_object``: a subject has one object only.
     """
 
     predicate: str
@@ -54,6 +55,10 @@ class Part:
     source: object
     constant: str | None = None
     of_class: str | None = None
+    rows: str | None = None
+    ends: tuple | None = None
+    one_subject: bool = False
+    one_object: bool = False
 
 
 class Graph:
@@ -63,10 +68,10 @@ class Graph:
     latter nothing is stored, and a question reads only the parts that it names.
     """
 
-    def __init__(self, triples: DataFrame | None = None, spark: SparkSession | None = None, parts: list[Part] = (), make: Callable[[list[Part], bool, str], DataFrame] | None = None):
+    def __init__(self, triples: DataFrame | None = None, spark: SparkSession | None = None, parts: list[Part] = (), make: Callable[[list[Part], bool, str], DataFrame] | None = None, along: Callable[[list[list[Part]], list[list], str], DataFrame] | None = None):
         self._table = None if triples is None else triples.select("s", "p", "o", "o_kind")
         self.spark = triples.sparkSession if triples is not None else spark
-        self._parts, self._make = list(parts), make
+        self._parts, self._make, self._along = list(parts), make, along
         self._above: dict[str, DataFrame] = {}
 
     @property
@@ -90,6 +95,68 @@ class Graph:
     def pairs(self, *predicates: str, names: tuple[str, str] = ("s", "o"), **where) -> DataFrame:
         return self.facts(*predicates, **where).select("s", "o").toDF(*names)
 
+    def _chains(self, steps: list[tuple[int, tuple[str, ...]]], of: tuple[str, ...] = ()) -> list[list[Part]] | None:
+        """The parts that follow each other on paths; None if not every path comes from one row of a table.
+
+        Of a row come all paths through its nodes if no other row has another object for the next step's subject, or if no
+        other row has a subject of its own anywhere before.
+        """
+        shapes = {x.subject for x in self._parts if x.predicate in of}
+        chains = [[x] for x in self._parts if x.predicate in steps[0][1] and (not of or x.subject in shapes)]
+        for start, predicates in steps[1:]:
+            chains = [[*c, y] for c in chains for y in self._parts if y.predicate in predicates and y.subject == (c[start - 1].object if start else c[0].subject)]
+        straight = [i == start for i, (start, _) in enumerate(steps)]
+        for c in chains:
+            for i, y in enumerate(c):
+                if y.rows is None or y.rows != c[0].rows or i and not (y.one_object or all(straight[: i + 1]) and all(x.one_subject for x in c[:i])):
+                    return None
+        return chains
+
+    def paths(self, *steps: tuple[int, tuple[str, ...]], names: tuple[str | None, ...], p: str | None = None, of: tuple[str, ...] = (), by: str) -> DataFrame:
+        """One row for each way along the steps: the nodes by ``names`` (None: left out) and the first step's predicate as ``p``.
+
+        A step is the number of the node that it starts from (0: the first) and its predicates. ``of``: as in ``facts``;
+        ``by``: the column that the rows are joined on next. Paths through rows of one table are read off them without joins.
+        """
+        chains = self._chains(list(steps), of) if self._table is None and self._along else None
+        kept = [n for n in names if n] + ([p] if p else [])
+        if chains is not None:
+            told = []
+            for c in chains:
+                # A node is told by another one that is kept if it is that one's only object or subject.
+                sure = [bool(n) or i > 0 and c[i - 1].one_object and bool(names[steps[i - 1][0]]) and (len(steps[i - 1][1]) == 1 or i == 1 and bool(p))
+                        or any(start == i and x.one_subject and names[j + 1] for j, ((start, _), x) in enumerate(zip(steps, c, strict=True))) for i, n in enumerate(names)]
+                told.append(sure)
+            wanted = [n or f"_{i}" for i, n in enumerate(names)]
+            columns = [[i, wanted[i]] for i in range(len(names)) if names[i] or not all(t[i] for t in told)] + ([["p", p]] if p else [])
+            return self._along(chains, [start for start, _ in steps], columns, by).select(*kept)
+        found = None
+        for i, (start, predicates) in enumerate(steps):
+            ends = (f"_{start}", f"_{i + 1}")
+            step = self.facts(*predicates, after=steps[start - 1][1] if start else (), of=() if i else of).select(F.col("s").alias(ends[0]), F.col("o").alias(ends[1]), *([F.col("p").alias("_p")] if not i else []))
+            found = step if found is None else found.join(step, ends[0])
+        renamed = [F.col(f"_{i}").alias(n) for i, n in enumerate(names) if n]
+        return found.select(*renamed, *([F.col("_p").alias(p)] if p else []))
+
+    def traced(self, of: tuple[str, ...] = ()) -> DataFrame | None:
+        """All (start, record, source): who the records are attributed to that starts derive from, over any number of steps; None if
+        the paths do not come from rows of one table each."""
+        if self._table is not None or not self._along:
+            return None
+        depth, derived, attributed = 1, ("prov:wasDerivedFrom",), ("prov:wasAttributedTo",)
+        frames = []
+        while self._chains([(i, derived) for i in range(depth)], of) != []:
+            steps = [*((i, derived) for i in range(depth)), (depth, attributed)]
+            chains = self._chains(steps, of)
+            if chains is None or depth > len(self._parts):
+                return None
+            if chains:
+                frames.append(self.paths(*steps, names=("start", *[None] * (depth - 1), "record", "source"), of=of, by="start"))
+            depth += 1
+        if not frames:
+            return None
+        return frames[0] if len(frames) == 1 else reduce(DataFrame.unionByName, frames).distinct()
+
     def known(self, predicate: str, cls: str) -> bool:
         """Whether all subjects of a predicate are known to have a class."""
         return self._table is None and all(x.of_class == cls for x in self._parts if x.predicate == predicate)
@@ -172,8 +239,14 @@ def event_organisations(graph: Graph, root: str, base: str = "https://example.or
     return graph.labelled(found, "organisation", "label").select("organisation", "label", "property", "holder", "event").distinct()
 
 
-def sources_of(graph: Graph, starts: DataFrame) -> DataFrame:
-    """Who the records are attributed to that the starts (one column) derive from, over any number of steps: start, record, source."""
+def sources_of(graph: Graph, starts: DataFrame, of: tuple[str, ...] = ()) -> DataFrame:
+    """Who the records are attributed to that the starts (one column) derive from, over any number of steps: start, record, source.
+
+    ``of``: predicates of which one has all starts as subjects.
+    """
+    traced = graph.traced(of)
+    if traced is not None:
+        return narrowed(traced, "start", starts)
     records = reached(graph.pairs("prov:wasDerivedFrom"), starts, "s", "o")
     return records.withColumnRenamed("node", "record").join(graph.pairs("prov:wasAttributedTo", names=("record", "source")), "record").select("start", "record", "source")
 
