@@ -576,10 +576,9 @@ def gated_batches(spark, sf_dir):
 def damage_over_properties(spark, sf_dir):
     """Damage of events by unit over several links and several properties of amounts."""
     graph = driver_graph(spark, sf_dir)
-    nodes = graph.pairs(":hasInfrastructureDamage", ":hasAgricultureDamage", ":hasHousingDamage", ":hasDamageGeneral", names=("event", "node"))
-    of = (":infraDamageAmount", ":socialDamageAmount", ":commercialDamageAmount", ":crossSectoralDamageAmount", ":agriDamageAmount", ":housingDamageAmount", ":generalDamageAmount")
-    amounts = graph.pairs(*of, names=("node", "m"))
-    measured = nodes.join(amounts, "node").join(graph.pairs("qudt:numericValue", names=("m", "v"), after=of), "m").join(graph.pairs("qudt:unit", names=("m", "unit"), after=of), "m")
+    links = (":hasInfrastructureDamage", ":hasAgricultureDamage", ":hasHousingDamage", ":hasDamageGeneral")
+    amounts = (":infraDamageAmount", ":socialDamageAmount", ":commercialDamageAmount", ":crossSectoralDamageAmount", ":agriDamageAmount", ":housingDamageAmount", ":generalDamageAmount")
+    measured = graph.paths((0, links), (1, amounts), (2, ("qudt:numericValue",)), (2, ("qudt:unit",)), names=("event", None, "m", "v", "unit"), by="event")
     return measured.groupBy("event", "unit").agg(F.sum(F.col("v").try_cast("decimal(38,6)")).cast("double").alias("amount")).select("event", "amount", "unit")
 
 
