@@ -586,9 +586,11 @@ def damage_over_properties(spark, sf_dir):
 def sources_of_events(spark, sf_dir):
     """The path of one or more steps, then one more: where events come from."""
     graph = driver_graph(spark, sf_dir)
-    attributed = graph.pairs("prov:wasAttributedTo", names=("record", "source"))
-    derived = hierarchy.reached(graph.pairs("prov:wasDerivedFrom"), attributed.select("record"), "o", "s").select(F.col("start").alias("record"), F.col("node").alias("event"))
-    return derived.filter("event LIKE 'https://%'").join(attributed, "record").select("event", "source").distinct()
+    traced = graph.traced()
+    if traced is None:
+        attributed = graph.pairs("prov:wasAttributedTo", names=("record", "source"))
+        traced = hierarchy.reached(graph.pairs("prov:wasDerivedFrom"), attributed.select("record"), "o", "s").select(F.col("start").alias("record"), F.col("node").alias("start")).join(attributed, "record")
+    return traced.filter("start LIKE 'https://%'").select(F.col("start").alias("event"), "source").distinct()
 
 
 # --- field reports ---------------------------------------------------------------------------------------------------
