@@ -119,3 +119,8 @@ def test_sources_are_not_stored(spark, sf_dir, name):
     stored = lambda: sum(os.path.getsize(f"{d}/{x}") for d, _, names in os.walk(folder) for x in names)
     before = stored()
     assert QUERIES[name](spark, sf_dir).count() and stored() - before < 20_000
+
+
+def test_literals_of_events_need_no_records(spark, sf_dir):
+    plan = QUERIES["any_literal"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "/orders.parquet" in plan and "/lineitem.parquet" not in plan

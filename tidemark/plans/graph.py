@@ -68,7 +68,7 @@ class Graph:
     latter nothing is stored, and a question reads only the parts that it names.
     """
 
-    def __init__(self, triples: DataFrame | None = None, spark: SparkSession | None = None, parts: list[Part] = (), make: Callable[[list[Part], bool, str], DataFrame] | None = None, along: Callable[[list[list[Part]], list[list], str], DataFrame] | None = None):
+    def __init__(self, triples: DataFrame | None = None, spark: SparkSession | None = None, parts: list[Part] = (), make: Callable[..., DataFrame] | None = None, along: Callable[[list[list[Part]], list[list], str], DataFrame] | None = None):
         self._table = None if triples is None else triples.select("s", "p", "o", "o_kind")
         self.spark = triples.sparkSession if triples is not None else spark
         self._parts, self._make, self._along = list(parts), make, along
@@ -157,6 +157,10 @@ class Graph:
             return None
         return frames[0] if len(frames) == 1 else reduce(DataFrame.unionByName, frames).distinct()
 
+    def ends(self, predicate: str) -> set[str] | None:
+        """Shapes of the subjects and objects of a predicate; None if they are not known."""
+        return None if self._table is not None else {shape for x in self._parts if x.predicate == predicate for shape in (x.subject, x.object)} or None
+
     def known(self, predicate: str, cls: str) -> bool:
         """Whether all subjects of a predicate are known to have a class."""
         return self._table is None and all(x.of_class == cls for x in self._parts if x.predicate == predicate)
@@ -187,9 +191,30 @@ class Graph:
         every = F.array_distinct(F.concat(own, F.coalesce("_ups", F.array().cast("array<string>"))))
         return df.join(ups, df[column] == F.col("_d"), "left").withColumn(name, F.explode(every)).drop("_d", "_ups").filter(F.col(name).isNotNull())
 
-    def literals(self) -> DataFrame:
-        """All literals whatever their property, as the top data property has them: s, p, o."""
-        return self.triples.filter("o_kind = 'literal'").select("s", "p", "o")
+    def literals(self, *classes: str) -> DataFrame:
+        """Literals whatever their property, as the top data property has them: s, p, o; all, or at least those of nodes of the classes."""
+        found = self.kinds("literal", shapes=self._shapes(classes) if classes else None)
+        return found.select("s", "p", "o")
+
+    def _shapes(self, classes: tuple[str, ...]) -> set[str] | None:
+        """Shapes of the nodes that can have one of the classes or one below; None if any can."""
+        if self._table is not None:
+            return None
+        below = {*classes, *(r[0] for r in self.above("rdfs:subClassOf").filter(F.col("ancestor").isin(*classes)).select("descendant").distinct().collect())}
+        return {x.subject for x in self._parts if x.predicate == "rdf:type" and (x.constant is None or x.constant in below)}
+
+    def kinds(self, *kinds: str, shapes: set[str] | None = None, but: tuple[str, ...] = (), subjects: DataFrame | None = None) -> DataFrame:
+        """The triples with objects of these kinds, but of some predicates, and of subjects in a frame's only column if that is given.
+
+        Others than of subjects of the shapes may be left out.
+        """
+        wanted = None if subjects is None else listed(subjects)
+        if self._table is not None:
+            found = self._table.filter(F.col("o_kind").isin(*kinds) & ~F.col("p").isin(*but))
+        else:
+            chosen = [x for x in self._parts if x.o_kind in kinds and x.predicate not in but and (shapes is None or x.subject in shapes)]
+            found = self._make(chosen, True, "s", wanted if isinstance(wanted, list) else None)
+        return found if wanted is None else narrowed(found, "s", wanted)
 
     def optional(self, df: DataFrame, column: str, fields: dict[str, str], after: tuple[str, ...] = (), of: tuple[str, ...] = ()) -> DataFrame:
         """``df`` with a column for each field (name: predicate) of a node; null where it has none, repeated where it has several."""
@@ -214,7 +239,7 @@ def event_scope(graph: Graph, root: str) -> DataFrame:
 def event_impacts(graph: Graph, root: str, impact_class: str) -> DataFrame:
     """What an event and its incidents caused: event, property, impact, location, and each value of the impact with its unit."""
     scope = event_scope(graph, root)
-    links = graph.triples.filter("o_kind = 'iri' AND p <> ':hasRelatedIncident'").select(F.col("s").alias("event"), F.col("p").alias("property"), F.col("o").alias("impact"))
+    links = graph.kinds("iri", shapes=graph.ends(":hasRelatedIncident"), but=(":hasRelatedIncident",)).select(F.col("s").alias("event"), F.col("p").alias("property"), F.col("o").alias("impact"))
     linked = written(scope.join(narrowed(links, "event", scope.select("event")), "event"))
     nodes = linked.select("impact")
     found = linked.join(narrowed(graph.typed(impact_class, name="impact"), "impact", nodes), "impact")
@@ -231,11 +256,12 @@ def event_impacts(graph: Graph, root: str, impact_class: str) -> DataFrame:
 def event_organisations(graph: Graph, root: str, base: str = "https://example.org/org/") -> DataFrame:
     """Organisations that an event, an incident of it or one of their records names: organisation, label, property, holder, event."""
     scope = event_scope(graph, root).select("event")
-    links = graph.triples.filter("o_kind <> 'literal'").select(F.col("s").alias("event"), F.col("o").alias("holder"))
-    holders = written(scope.join(narrowed(links, "event", scope), "event").unionByName(scope.select("event", F.col("event").alias("holder"))).distinct())
-    named = graph.triples.filter("o_kind = 'iri' AND p <> 'prov:wasAttributedTo'").select(F.col("s").alias("holder"), F.col("p").alias("property"), F.col("o").alias("organisation"))
+    # An event and its incidents are subjects or objects of one predicate, so their shapes are known.
+    links = graph.kinds("iri", "blank", shapes=graph.ends(":hasRelatedIncident"), subjects=scope).select(F.col("s").alias("event"), F.col("o").alias("holder"))
+    holders = written(scope.join(links, "event").unionByName(scope.select("event", F.col("event").alias("holder"))).distinct())
+    named = graph.kinds("iri", but=("prov:wasAttributedTo",), subjects=holders.select("holder")).select(F.col("s").alias("holder"), F.col("p").alias("property"), F.col("o").alias("organisation"))
     known = graph.pairs("rdf:type", to=[":Organization", "prov:Agent"]).select(F.col("s").alias("organisation"), F.lit(True).alias("known")).distinct()
-    found = holders.join(narrowed(named, "holder", holders.select("holder")), "holder").join(known, "organisation", "left").filter(F.col("organisation").startswith(base) | F.coalesce("known", F.lit(False)))
+    found = holders.join(named, "holder").join(known, "organisation", "left").filter(F.col("organisation").startswith(base) | F.coalesce("known", F.lit(False)))
     return graph.labelled(found, "organisation", "label").select("organisation", "label", "property", "holder", "event").distinct()
 
 

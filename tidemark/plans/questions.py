@@ -278,4 +278,4 @@ def inferred_domains(spark, sf_dir):
 def any_literal(spark, sf_dir):
     """Literals of any property of events that hold a word, as a wildcard data property finds them."""
     graph = driver_graph(spark, sf_dir)
-    return graph.literals().filter(F.contains(F.lower("o"), F.lit("urgent"))).join(graph.typed(":DisasterEvent"), "s", "left_semi").select("s", "o")
+    return graph.literals(":DisasterEvent").filter(F.contains(F.lower("o"), F.lit("urgent"))).join(graph.typed(":DisasterEvent"), "s", "left_semi").select("s", "o")
