@@ -291,3 +291,16 @@ def test_checks_and_gate(spark):
     assert checks.gate(rows, "batch", "event", bad, lambda df: kept.extend(r.event for r in df.collect())) == ["b1"] and kept == ["e3"]
     with pytest.raises(ValueError):
         checks.gate(rows, "batch", "event", bad, lambda df: None, fail_fast=True)
+
+
+def test_pairs_judged_where_they_meet(spark):
+    """As when pairs are made first and looked up, also where an event is there twice; pairs themselves are not moved."""
+    rows = [(i, i % 3, "t" if i % 2 else None, None if i % 7 == 0 else f"2020-01-{i % 9 + 1:02d}", f"flood {i % 4}" if i % 5 else None) for i in range(40)]
+    for some in (rows, rows + [(3, 0, "t", "2020-01-02", "flood 9")]):
+        df = spark.createDataFrame(some, "event long, source int, type_id string, day string, label string").withColumn("start", F.col("day").cast("date"))
+        events = df.select("event", "source", F.lit("b").alias("type_base"), "start")
+        described = df.select("event", F.lit("MajorEvent").alias("event_class"), "start", "type_id", F.lit(None).cast("string").alias("type_parent"), "label", F.array().cast("array<string>").alias("codes"))
+        fast, slow = resolve.scored_blocked_pairs(events, described, 1), resolve.scored_pairs(resolve.blocked_pairs(events, 1), described)
+        assert sorted(map(str, fast.collect())) == sorted(map(str, slow.collect())) and fast.count()
+        if some is rows:
+            assert "Aggregate" not in fast._jdf.queryExecution().optimizedPlan().toString()
