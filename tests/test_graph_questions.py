@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators.hierarchy import reached
 from tidemark.plans import competency as cq
@@ -124,3 +125,25 @@ def test_sources_are_not_stored(spark, sf_dir, name):
 def test_literals_of_events_need_no_records(spark, sf_dir):
     plan = QUERIES["any_literal"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "/orders.parquet" in plan and "/lineitem.parquet" not in plan
+
+
+def test_sieves_lose_nothing_and_pass_few_others(spark):
+    for n in (0, 1, 3000):
+        wanted = spark.range(n).select(F.concat(F.lit("e"), "id").alias("e"))
+        test = g.sieve(wanted, "e")
+        assert wanted.filter(test(F.col("e"))).count() == n
+        assert spark.range(10**6, 10**6 + 10000).filter(test(F.concat(F.lit("e"), "id"))).count() < 2000
+
+
+def test_what_is_known_of_other_events_is_not_moved(spark, sf_dir):
+    graph = driver_graph(spark, sf_dir)
+    found = cq.records(graph, ":hasSeaportDisruption")
+    assert found._jdf.queryExecution().toString().split("Physical Plan")[-1].count("/lineitem.parquet") == 1
+    events = {r[0] for r in found.select("event").collect()}
+    named = graph.pairs(":hasLocation", of=(":startDate",), only=graph.only(graph.kept(found), "event"))
+    assert events <= {r[0] for r in named.select("s").collect()} and named.count() < spark.read.parquet(f"{sf_dir}/orders.parquet").count() / 2
+
+
+@pytest.mark.parametrize("name", ["cq12_seaports"])
+def test_questions_about_few_events_leave_out_others(spark, sf_dir, name):
+    assert "subquery" in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()

@@ -12,10 +12,10 @@ from tidemark.session import written
 EVENT, NAME = ":DisasterEvent", {"event_name": ":eventName"}
 
 
-def types_of(graph: Graph, *types: str, narrower: bool = True) -> DataFrame:
-    """event and type_id of whatever has one of the types (or a narrower one)."""
+def types_of(graph: Graph, *types: str, narrower: bool = True, only=None) -> DataFrame:
+    """event and type_id of whatever has one of the types (or a narrower one); ``only``: as in ``Graph.facts``."""
     wanted = graph.within("skos:broader", *types, name="type_id") if narrower else list(types)
-    return narrowed(graph.pairs(":hasDisasterType", ":hasDisasterSubtype", names=("event", "type_id")), "type_id", wanted).distinct()
+    return narrowed(graph.pairs(":hasDisasterType", ":hasDisasterSubtype", names=("event", "type_id"), only=only), "type_id", wanted).distinct()
 
 
 def events_of(graph: Graph, *types: str, narrower: bool = True) -> DataFrame:
@@ -28,16 +28,22 @@ def records(graph: Graph, link: str, types: tuple[str, ...] = (), places: tuple[
 
     With ``at_event`` the record's location must be one of the event's own.
     """
-    located, own = graph.pairs(":hasLocation", names=("node", "location"), after=(link,)), graph.pairs(":hasLocation", names=("event", "location"), of=(link,))
+    found = graph.paths((0, (link,)), (1, (":hasLocation",)), names=("event", "node", "location"), by="node")
+    within = listed(graph.within(":isPartOf", *places, name="location")) if places else None
     if places:
-        within = listed(graph.within(":isPartOf", *places, name="location"))
-        located, own = narrowed(located, "location", within), narrowed(own, "location", within)
-    found = graph.pairs(link, names=("event", "node"), by="o").join(located, "node")
+        found = narrowed(found, "location", within)
+    sure = graph.known(link, EVENT)
+    if not (at_event or types) and sure:
+        return found
+    # What is known of other events need not be moved.
+    found = graph.kept(found)
+    only = graph.only(found, "event")
     if at_event:
-        found = found.join(own, ["event", "location"], "left_semi")
-    if not graph.known(link, EVENT):
-        found = found.join(graph.typed(EVENT, name="event"), "event", "left_semi")
-    return found.join(types_of(graph, *types).select("event"), "event", "left_semi") if types else found
+        own = graph.pairs(":hasLocation", names=("event", "location"), of=(link,), only=only)
+        found = found.join(own if within is None else narrowed(own, "location", within), ["event", "location"], "left_semi")
+    if not sure:
+        found = found.join(graph.typed(EVENT, name="event", only=only), "event", "left_semi")
+    return found.join(types_of(graph, *types, only=only).select("event"), "event", "left_semi") if types else found
 
 
 def having(graph: Graph, found: DataFrame, column: str, *predicates: str) -> DataFrame:
@@ -157,7 +163,9 @@ def cq11(graph: Graph, type_id: str, region: str) -> DataFrame:
 
 def described(graph: Graph, found: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Records with fields of theirs, the label of their place and the name of their event."""
-    return graph.optional(graph.labelled(graph.optional(found, "node", fields), "location", "location_label"), "event", NAME)
+    found = graph.kept(found)
+    nodes, events = graph.only(found, "node"), graph.only(found, "event")
+    return graph.optional(graph.labelled(graph.optional(found, "node", fields, only=nodes), "location", "location_label"), "event", NAME, only=events)
 
 
 def cq12(graph: Graph, type_id: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.hierarchy import path_closure, reached
@@ -39,6 +39,31 @@ def narrowed(df: DataFrame, column: str, wanted: DataFrame | list[str]) -> DataF
     return df.filter(F.col(column).isin(*wanted)) if wanted else df.filter(F.lit(False))
 
 
+#: A sieve has eight bits or more for each value, and is made of so many values at most: 8 MB.
+MOST_SIFTED = 1 << 23
+
+
+def sieve(df: DataFrame, column: str) -> Callable[[Column], Column] | None:
+    """A test that all values of a column pass and about one in ten of others, so that rows are left out before they are moved for
+    an exact join; None if the values are too many. It reads ``df`` twice, so that should be a table or slim rows of one."""
+    n = df.count()
+    if n > MOST_SIFTED:
+        return None
+    words = 1 << max(4, (8 * n - 1).bit_length() - 6)
+    bit = lambda c: F.xxhash64(c).bitwiseAND(F.lit(words * 64 - 1))
+    word, inside = (lambda b: F.shiftright(b, 6).cast("int")), (lambda b: b.bitwiseAND(F.lit(63)).cast("int"))
+    some = df.select(bit(F.col(column)).alias("b")).groupBy(word(F.col("b")).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), inside(F.col("b")))).alias("bits"))
+    every = df.sparkSession.range(words).join(some, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")).alias("x"))
+    # As a table it is read once for each plan, by a subquery, and is no literal of it.
+    table = written(every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"]).alias("bits")))
+
+    def test(value: Column) -> Column:
+        b = bit(value)
+        return F.call_function("shiftright", F.get(table.scalar(), word(b)), inside(b)).bitwiseAND(F.lit(1)) == 1
+
+    return test
+
+
 @dataclass(frozen=True)
 class Part:
     """Where the triples of a predicate come from whose subjects and objects are nodes of one shape each.
@@ -79,19 +104,28 @@ class Graph:
         """All triples."""
         return self._table if self._table is not None else self._make(self._parts, True, "s")
 
-    def facts(self, *predicates: str, to: list[str] | None = None, after: tuple[str, ...] = (), of: tuple[str, ...] = (), by: str = "s") -> DataFrame:
+    def facts(self, *predicates: str, to: list[str] | None = None, after: tuple[str, ...] = (), of: tuple[str, ...] = (), by: str = "s", only: Callable[[Column], Column] | None = None) -> DataFrame:
         """The triples of the predicates, with an object in ``to`` if that is given; ``by``: the column that they are joined on next.
 
-        Others may be left out where no subject can be an object of a predicate in ``after``, or a subject of one in ``of``.
+        Others may be left out where no subject can be an object of a predicate in ``after``, or a subject of one in ``of``, or
+        where the subject fails the test ``only``.
         """
         if self._table is not None:
             found = self._table.filter(F.col("p").isin(*predicates))
         else:
             shapes = {x.object for x in self._parts if x.predicate in after} | {x.subject for x in self._parts if x.predicate in of}
             chosen = [x for x in self._parts if x.predicate in predicates and (not (after or of) or x.subject in shapes) and (to is None or x.constant is None or x.constant in to)]
-            found = self._make(chosen, False, by)
+            found = self._make(chosen, False, by, only)
         return found if to is None else narrowed(found, "o", to)
 
+    def kept(self, found: DataFrame) -> DataFrame:
+        """``found`` as a table if the graph is made of parts, for ``only``."""
+        return found if self._table is not None else written(found)
+
+    def only(self, found: DataFrame, column: str) -> Callable[[Column], Column] | None:
+        """A test that the values of a column of a table pass, for ``facts``; None if there is no use for one."""
+        return None if self._table is not None else sieve(found.select(column), column)
+
     def pairs(self, *predicates: str, names: tuple[str, str] = ("s", "o"), **where) -> DataFrame:
         return self.facts(*predicates, **where).select("s", "o").toDF(*names)
 
@@ -165,13 +199,13 @@ class Graph:
         """Whether all subjects of a predicate are known to have a class."""
         return self._table is None and all(x.of_class == cls for x in self._parts if x.predicate == predicate)
 
-    def typed(self, *classes: str, name: str = "s") -> DataFrame:
-        """Nodes of the classes or of any below them."""
+    def typed(self, *classes: str, name: str = "s", only: Callable[[Column], Column] | None = None) -> DataFrame:
+        """Nodes of the classes or of any below them; ``only``: as in ``facts``."""
         below = self.above("rdfs:subClassOf").filter(F.col("ancestor").isin(*classes)).select("descendant").distinct().limit(FEW + 1).collect()
         if len(below) <= FEW:
-            return self.pairs("rdf:type", to=sorted({*classes, *(r[0] for r in below)})).select(F.col("s").alias(name)).distinct()
+            return self.pairs("rdf:type", to=sorted({*classes, *(r[0] for r in below)}), only=only).select(F.col("s").alias(name)).distinct()
         wanted = self.within("rdfs:subClassOf", *classes, name="o")
-        return self.pairs("rdf:type").join(wanted, "o", "left_semi").select(F.col("s").alias(name)).distinct()
+        return self.pairs("rdf:type", only=only).join(wanted, "o", "left_semi").select(F.col("s").alias(name)).distinct()
 
     def above(self, predicate: str) -> DataFrame:
         """Path ``+`` of a predicate between few nodes: descendant, ancestor."""
@@ -213,13 +247,16 @@ class Graph:
             found = self._table.filter(F.col("o_kind").isin(*kinds) & ~F.col("p").isin(*but))
         else:
             chosen = [x for x in self._parts if x.o_kind in kinds and x.predicate not in but and (shapes is None or x.subject in shapes)]
-            found = self._make(chosen, True, "s", wanted if isinstance(wanted, list) else None)
+            found = self._make(chosen, True, "s", (lambda s: s.isin(*wanted) if wanted else F.lit(False)) if isinstance(wanted, list) else None)
         return found if wanted is None else narrowed(found, "s", wanted)
 
-    def optional(self, df: DataFrame, column: str, fields: dict[str, str], after: tuple[str, ...] = (), of: tuple[str, ...] = ()) -> DataFrame:
-        """``df`` with a column for each field (name: predicate) of a node; null where it has none, repeated where it has several."""
+    def optional(self, df: DataFrame, column: str, fields: dict[str, str], after: tuple[str, ...] = (), of: tuple[str, ...] = (), only: Callable[[Column], Column] | None = None) -> DataFrame:
+        """``df`` with a column for each field (name: predicate) of a node; null where it has none, repeated where it has several.
+
+        ``after``, ``of`` and ``only``: as in ``facts``.
+        """
         for name, predicate in fields.items():
-            df = df.join(self.pairs(predicate, names=(f"_{name}", name), after=after, of=of), F.col(column) == F.col(f"_{name}"), "left").drop(f"_{name}")
+            df = df.join(self.pairs(predicate, names=(f"_{name}", name), after=after, of=of, only=only), F.col(column) == F.col(f"_{name}"), "left").drop(f"_{name}")
         return df
 
     def labelled(self, df: DataFrame, column: str, name: str) -> DataFrame:
