@@ -53,12 +53,18 @@ def having(graph: Graph, found: DataFrame, column: str, *predicates: str) -> Dat
     return found
 
 
-def totals(graph: Graph, found: DataFrame, fields: dict[str, str], by: list[str], measured: bool = False) -> DataFrame:
-    """Sums of a record's numbers (name: predicate), or of the values of its measures, by the given columns; missing ones count as 0."""
+def totals(graph: Graph, found: DataFrame, fields: dict[str, str], by: list[str], measured: bool = False, only=None) -> DataFrame:
+    """Sums of a record's numbers (name: predicate), or of the values of its measures, by the given columns; missing ones count as 0.
+
+    ``only``: a test that the nodes pass, if one is known.
+    """
+    if only is None:
+        found = graph.kept(found)
+        only = graph.only(found, "node")
     if measured:
-        said = graph.paths((0, tuple(fields.values())), (1, ("qudt:numericValue",)), names=("node", None, "o"), p="p", by="node")
+        said = graph.paths((0, tuple(fields.values())), (1, ("qudt:numericValue",)), names=("node", None, "o"), p="p", by="node", only=only)
     else:
-        said = graph.facts(*fields.values()).select(F.col("s").alias("node"), "p", "o")
+        said = graph.facts(*fields.values(), only=only).select(F.col("s").alias("node"), "p", "o")
     amount = F.col("o").try_cast("decimal(38,6)")
     sums = [F.coalesce(F.sum(F.when(F.col("p") == p, amount)), F.lit(0)).cast("decimal(38,6)").alias(n) for n, p in fields.items()]
     return found.join(said, "node", "left").groupBy(*by).agg(*sums)
@@ -157,8 +163,9 @@ def cq10(graph: Graph, type_id: str, region: str) -> DataFrame:
 def cq11(graph: Graph, type_id: str, region: str) -> DataFrame:
     """Damage to agriculture by event in a region: amounts, and volume lost."""
     found = written(records(graph, ":hasAgricultureDamage", (type_id,), (region,), at_event=True))
-    amounts = totals(graph, found, {"amount": ":agriDamageAmount", "loss": ":productionLossCost"}, ["event"], measured=True)
-    return amounts.join(totals(graph, found, {"volume": ":productionLossVolume"}, ["event"]), "event")
+    only = graph.only(found, "node")
+    amounts = totals(graph, found, {"amount": ":agriDamageAmount", "loss": ":productionLossCost"}, ["event"], measured=True, only=only)
+    return amounts.join(totals(graph, found, {"volume": ":productionLossVolume"}, ["event"], only=only), "event")
 
 
 def described(graph: Graph, found: DataFrame, fields: dict[str, str]) -> DataFrame:

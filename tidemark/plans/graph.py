@@ -93,7 +93,7 @@ class Graph:
     latter nothing is stored, and a question reads only the parts that it names.
     """
 
-    def __init__(self, triples: DataFrame | None = None, spark: SparkSession | None = None, parts: list[Part] = (), make: Callable[..., DataFrame] | None = None, along: Callable[[list[list[Part]], list[list], str], DataFrame] | None = None):
+    def __init__(self, triples: DataFrame | None = None, spark: SparkSession | None = None, parts: list[Part] = (), make: Callable[..., DataFrame] | None = None, along: Callable[..., DataFrame] | None = None):
         self._table = None if triples is None else triples.select("s", "p", "o", "o_kind")
         self.spark = triples.sparkSession if triples is not None else spark
         self._parts, self._make, self._along = list(parts), make, along
@@ -146,11 +146,11 @@ class Graph:
                     return None
         return chains
 
-    def paths(self, *steps: tuple[int, tuple[str, ...]], names: tuple[str | None, ...], p: str | None = None, of: tuple[str, ...] = (), by: str) -> DataFrame:
+    def paths(self, *steps: tuple[int, tuple[str, ...]], names: tuple[str | None, ...], p: str | None = None, of: tuple[str, ...] = (), by: str, only: Callable[[Column], Column] | None = None) -> DataFrame:
         """One row for each way along the steps: the nodes by ``names`` (None: left out) and the first step's predicate as ``p``.
 
-        A step is the number of the node that it starts from (0: the first) and its predicates. ``of``: as in ``facts``;
-        ``by``: the column that the rows are joined on next. Paths through rows of one table are read off them without joins.
+        A step is the number of the node that it starts from (0: the first) and its predicates. ``of``, and ``only`` for the first node: as in
+        ``facts``; ``by``: the column that the rows are joined on next. Paths through rows of one table are read off them without joins.
         """
         chains = self._chains(list(steps), of) if self._table is None and self._along else None
         kept = [n for n in names if n] + ([p] if p else [])
@@ -163,11 +163,11 @@ class Graph:
                 told.append(sure)
             wanted = [n or f"_{i}" for i, n in enumerate(names)]
             columns = [[i, wanted[i]] for i in range(len(names)) if names[i] or not all(t[i] for t in told)] + ([["p", p]] if p else [])
-            return self._along(chains, [start for start, _ in steps], columns, by).select(*kept)
+            return self._along(chains, [start for start, _ in steps], columns, by, only).select(*kept)
         found = None
         for i, (start, predicates) in enumerate(steps):
             ends = (f"_{start}", f"_{i + 1}")
-            step = self.facts(*predicates, after=steps[start - 1][1] if start else (), of=() if i else of).select(F.col("s").alias(ends[0]), F.col("o").alias(ends[1]), *([F.col("p").alias("_p")] if not i else []))
+            step = self.facts(*predicates, after=steps[start - 1][1] if start else (), of=() if i else of, only=None if i else only).select(F.col("s").alias(ends[0]), F.col("o").alias(ends[1]), *([F.col("p").alias("_p")] if not i else []))
             found = step if found is None else found.join(step, ends[0])
         renamed = [F.col(f"_{i}").alias(n) for i, n in enumerate(names) if n]
         return found.select(*renamed, *([F.col("_p").alias(p)] if p else []))
