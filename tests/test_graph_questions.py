@@ -144,6 +144,6 @@ def test_what_is_known_of_other_events_is_not_moved(spark, sf_dir):
     assert events <= {r[0] for r in named.select("s").collect()} and named.count() < spark.read.parquet(f"{sf_dir}/orders.parquet").count() / 2
 
 
-@pytest.mark.parametrize("name", ["cq12_seaports", "cq11_agriculture", "cq13_airports", "cq16_calamities", "cq17_rescue"])
+@pytest.mark.parametrize("name", ["cq12_seaports", "cq11_agriculture", "cq13_airports", "cq16_calamities", "cq17_rescue", "cq18_evacuated_towns"])
 def test_questions_about_few_events_leave_out_others(spark, sf_dir, name):
     assert "subquery" in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()

@@ -213,9 +213,12 @@ def cq18(graph: Graph, region: str, income_class: str, level: str = ":Municipali
     """Municipalities of an income class with an event, and whether any such event had a pre-emptive evacuation."""
     towns = graph.typed(level, name="town").join(graph.within(":isPartOf", region, name="town"), "town", "left_semi").join(graph.pairs(":incomeClassification", names=("town", "income")).filter(F.col("income") == income_class), "town", "left_semi")
     parents = graph.pairs(":isPartOf", names=("town", "province")).join(graph.typed(above, name="province"), "province", "left_semi")
-    events = graph.pairs(":hasLocation", names=("event", "town"), of=(":startDate",)).join(graph.typed(EVENT, name="event"), "event", "left_semi")
-    evacuated = graph.pairs(":hasPreemptiveEvacuation", names=("event", "node")).select("event", F.lit(1).alias("pre")).distinct()
-    found = events.join(towns.join(parents, "town"), "town").join(evacuated, "event", "left").groupBy("town", "province").agg(F.max(F.coalesce("pre", F.lit(0))).alias("pre"))
+    placed = graph.kept(towns.join(parents, "town"))
+    events = graph.kept(narrowed(graph.pairs(":hasLocation", names=("event", "town"), of=(":startDate",)), "town", placed.select("town")))
+    only = graph.only(events, "event")
+    events = events.join(graph.typed(EVENT, name="event", only=only), "event", "left_semi")
+    evacuated = graph.pairs(":hasPreemptiveEvacuation", names=("event", "node"), only=only).select("event", F.lit(1).alias("pre")).distinct()
+    found = events.join(placed, "town").join(evacuated, "event", "left").groupBy("town", "province").agg(F.max(F.coalesce("pre", F.lit(0))).alias("pre"))
     return graph.labelled(graph.labelled(found, "town", "t"), "province", "p").select(F.concat("t", F.lit(", "), "p").alias("loc"), F.when(F.col("pre") > 0, "Yes").otherwise("No").alias("evacuated"))
 
 
