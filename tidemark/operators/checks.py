@@ -75,9 +75,10 @@ def check_places(places: DataFrame) -> DataFrame:
     return bad_level.unionByName(bad_code).unionByName(bad_parent)
 
 
-def focus_nodes(triples: DataFrame, target: str, base: str) -> DataFrame:
-    """The nodes of a class that a batch types itself: those that shapes are held against."""
-    return triples.filter((F.col("p") == "rdf:type") & (F.col("o") == target) & F.col("s").startswith(base)).select(F.col("s").alias("focus")).distinct()
+def focus_nodes(triples: DataFrame, target: str, base: str, once: bool = False) -> DataFrame:
+    """The nodes of a class that a batch types itself: those that shapes are held against. ``once``: no triple comes twice, so no node does."""
+    found = triples.filter((F.col("p") == "rdf:type") & (F.col("o") == target) & F.col("s").startswith(base)).select(F.col("s").alias("focus"))
+    return found if once else found.distinct()
 
 
 def check_detail(nodes: DataFrame, key: str, details: DataFrame, detail_key: str) -> DataFrame:

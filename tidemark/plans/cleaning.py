@@ -557,7 +557,8 @@ def check_has_value(spark, sf_dir):
 
 @question("SELECT node AS focus FROM rec WHERE l_linenumber = 2")
 def focus_nodes(spark, sf_dir):
-    return checks.focus_nodes(driver_graph(spark, sf_dir).facts("rdf:type", to=[":Casualties"]), ":Casualties", "https://example.org/")
+    graph = driver_graph(spark, sf_dir)
+    return checks.focus_nodes(graph.facts("rdf:type", to=[":Casualties"], by=None), ":Casualties", "https://example.org/", once=graph.once)
 
 
 @query("SELECT o_custkey % 7 AS batch, o_orderkey FROM orders WHERE o_custkey % 7 NOT IN (SELECT o_custkey % 7 FROM orders WHERE o_orderkey % 1000 = 3)")

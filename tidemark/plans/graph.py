@@ -104,8 +104,9 @@ class Graph:
         """All triples."""
         return self._table if self._table is not None else self._make(self._parts, True, "s")
 
-    def facts(self, *predicates: str, to: list[str] | None = None, after: tuple[str, ...] = (), of: tuple[str, ...] = (), by: str = "s", only: Callable[[Column], Column] | None = None) -> DataFrame:
-        """The triples of the predicates, with an object in ``to`` if that is given; ``by``: the column that they are joined on next.
+    def facts(self, *predicates: str, to: list[str] | None = None, after: tuple[str, ...] = (), of: tuple[str, ...] = (), by: str | None = "s", only: Callable[[Column], Column] | None = None) -> DataFrame:
+        """The triples of the predicates, with an object in ``to`` if that is given; ``by``: the column that they are joined on next, None if
+        on none: then they lie where they were made. Those of parts are a set in any case.
 
         Others may be left out where no subject can be an object of a predicate in ``after``, or a subject of one in ``of``, or
         where the subject fails the test ``only``.
@@ -126,6 +127,11 @@ class Graph:
         """A test that the values of a column of a table pass, for ``facts``; None if there is no use for one."""
         return None if self._table is not None else sieve(found.select(column), column)
 
+    @property
+    def once(self) -> bool:
+        """Whether no triple comes twice."""
+        return self._table is None
+
     def pairs(self, *predicates: str, names: tuple[str, str] = ("s", "o"), **where) -> DataFrame:
         return self.facts(*predicates, **where).select("s", "o").toDF(*names)
 
