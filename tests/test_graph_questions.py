@@ -8,7 +8,7 @@ from tidemark.plans import competency as cq
 from tidemark.plans import graph as g
 from tidemark.plans import cleaning, questions  # noqa: F401  (they register their queries)
 from tidemark.plans.catalog import QUERIES
-from tidemark.plans.tables import driver_graph
+from tidemark.plans.tables import driver_graph, related_orders
 from tidemark.session import shared_folder
 
 LINES = """
@@ -160,3 +160,26 @@ def test_types_of_records_are_a_set_where_their_orders_are(spark, tmp_path, sf_d
     assert rows(found) == rows(QUERIES["focus_nodes"](spark, sf_dir)) != []
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" not in plan and "hashpartitioning(focus" not in plan
+
+
+def test_lines_of_other_kinds_of_parts_are_not_moved(spark, sf_dir):
+    graph = driver_graph(spark, sf_dir)
+    few, every = graph.pairs(":hasDisasterType", to=["PROMO"]), graph.pairs(":hasDisasterType")
+    assert "subquery" in few._jdf.queryExecution().optimizedPlan().toString() and rows(few) == rows(every.filter("o = 'PROMO'")) != []
+    assert rows(graph.pairs(":hasDisasterType", to=["none"])) == []
+
+
+def test_major_events_of_a_type_leave_out_others(spark, sf_dir, graph):
+    plan = QUERIES["cq1_related_incidents"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "subquery" in plan and plan.count("/lineitem.parquet") == 0
+    assert graph.implies(":MajorEvent", ":DisasterEvent") and graph.implies("x", "x") and not graph.implies(":Casualties", ":DisasterEvent")
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_related_orders(spark, twice):
+    """An order that has a row of either status, or none, counts as whatever a row of it says."""
+    found = [(1, 7, "O", 1), (2, 7, "P", 20), (3, 7, None, 30), (4, 7, "P", 45), (5, 8, "P", 1), (6, 8, "F", 60), (7, None, "P", 1)] + ([(5, 7, "O", 50), (2, 8, "O", 2)] if twice else [])
+    orders = spark.createDataFrame(found, "o_orderkey long, o_custkey long, o_orderstatus string, d int").withColumn("o_orderdate", F.date_add(F.lit("2020-01-01").cast("date"), "d").cast("timestamp"))
+    said = lambda k, p: any((x[2] == "P") == p for x in found if x[0] == k)
+    wanted = [(a[0], b[0]) for a in found for b in found if a[0] != b[0] and a[1] is not None and a[1] == b[1] and abs(a[3] - b[3]) <= 30 and said(a[0], False) and said(b[0], True)]
+    assert rows(related_orders(orders)) == rows(spark.createDataFrame(wanted, "a long, b long")) != []

@@ -14,8 +14,10 @@ EVENT, NAME = ":DisasterEvent", {"event_name": ":eventName"}
 
 def types_of(graph: Graph, *types: str, narrower: bool = True, only=None) -> DataFrame:
     """event and type_id of whatever has one of the types (or a narrower one); ``only``: as in ``Graph.facts``."""
-    wanted = graph.within("skos:broader", *types, name="type_id") if narrower else list(types)
-    return narrowed(graph.pairs(":hasDisasterType", ":hasDisasterSubtype", names=("event", "type_id"), only=only), "type_id", wanted).distinct()
+    wanted = listed(graph.within("skos:broader", *types, name="type_id")) if narrower else list(types)
+    few = wanted if isinstance(wanted, list) else None
+    found = graph.pairs(":hasDisasterType", ":hasDisasterSubtype", names=("event", "type_id"), to=few, only=only)
+    return (found if few is not None else narrowed(found, "type_id", wanted)).distinct()
 
 
 def events_of(graph: Graph, *types: str, narrower: bool = True) -> DataFrame:
@@ -87,9 +89,11 @@ def attributed(graph: Graph, found: DataFrame) -> DataFrame:
 
 def cq1(graph: Graph, type_id: str) -> DataFrame:
     """Major events of a type, and whether they have related incidents."""
-    events = events_of(graph, type_id, narrower=False).select("event").join(graph.typed(":MajorEvent", name="event"), "event", "left_semi")
-    marked = events.join(graph.pairs(":hasRelatedIncident", names=("event", "incident")).select("event").distinct().withColumn("has", F.lit("Yes")), "event", "left")
-    return graph.optional(marked, "event", NAME | {"start": ":startDate"}).filter("start IS NOT NULL").select("event", "event_name", "start", F.coalesce("has", F.lit("No")).alias("has_incident")).distinct()
+    typed = types_of if graph.implies(":MajorEvent", EVENT) else events_of
+    events = graph.kept(typed(graph, type_id, narrower=False).select("event").join(graph.typed(":MajorEvent", name="event"), "event", "left_semi"))
+    only = graph.only(events, "event")
+    marked = events.join(graph.pairs(":hasRelatedIncident", names=("event", "incident"), only=only).select("event").distinct().withColumn("has", F.lit("Yes")), "event", "left")
+    return graph.optional(marked, "event", NAME | {"start": ":startDate"}, only=only).filter("start IS NOT NULL").select("event", "event_name", "start", F.coalesce("has", F.lit("No")).alias("has_incident")).distinct()
 
 
 def cq2(graph: Graph, types: tuple[str, ...]) -> DataFrame:

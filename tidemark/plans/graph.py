@@ -116,7 +116,7 @@ class Graph:
         else:
             shapes = {x.object for x in self._parts if x.predicate in after} | {x.subject for x in self._parts if x.predicate in of}
             chosen = [x for x in self._parts if x.predicate in predicates and (not (after or of) or x.subject in shapes) and (to is None or x.constant is None or x.constant in to)]
-            found = self._make(chosen, False, by, only)
+            found = self._make(chosen, False, by, only, to)
         return found if to is None else narrowed(found, "o", to)
 
     def kept(self, found: DataFrame) -> DataFrame:
@@ -213,6 +213,10 @@ class Graph:
         wanted = self.within("rdfs:subClassOf", *classes, name="o")
         return self.pairs("rdf:type", only=only).join(wanted, "o", "left_semi").select(F.col("s").alias(name)).distinct()
 
+    def implies(self, cls: str, other: str) -> bool:
+        """Whether all nodes of a class are known to be of another one."""
+        return cls == other or not self.above("rdfs:subClassOf").filter((F.col("descendant") == cls) & (F.col("ancestor") == other)).isEmpty()
+
     def above(self, predicate: str) -> DataFrame:
         """Path ``+`` of a predicate between few nodes: descendant, ancestor."""
         if predicate not in self._above:
