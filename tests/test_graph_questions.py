@@ -183,3 +183,23 @@ def test_related_orders(spark, twice):
     said = lambda k, p: any((x[2] == "P") == p for x in found if x[0] == k)
     wanted = [(a[0], b[0]) for a in found for b in found if a[0] != b[0] and a[1] is not None and a[1] == b[1] and abs(a[3] - b[3]) <= 30 and said(a[0], False) and said(b[0], True)]
     assert rows(related_orders(orders)) == rows(spark.createDataFrame(wanted, "a long, b long")) != []
+
+
+def test_fields_of_records_are_read_together(spark, sf_dir):
+    graph = driver_graph(spark, sf_dir)
+    nodes = graph.pairs(":hasAirportDisruption", names=("event", "node")).select("node").unionByName(g.literal_rows(spark, ["nobody"], "node"))
+    fields = {"port": ":portOrTerminalName", "cancelled": ":cancellationDateTime", "resumed": ":resumptionDateTime"}
+    fast, slow = graph.gathered(nodes, "node", fields), graph.optional(nodes, "node", fields)
+    reads = lambda df: df._jdf.queryExecution().toString().split("Physical Plan")[-1].count("/lineitem.parquet")
+    assert reads(fast) == 2 < reads(slow)
+    assert rows(fast) == rows(slow) and ("nobody", None, None, None) in rows(fast)
+
+
+def test_rows_are_not_moved_to_few_labels(spark, sf_dir):
+    graph = driver_graph(spark, sf_dir)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = graph.labelled(graph.pairs(":hasLocation", of=(":startDate",)), "o", "label")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin [o#" in plan

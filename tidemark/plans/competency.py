@@ -176,7 +176,7 @@ def described(graph: Graph, found: DataFrame, fields: dict[str, str]) -> DataFra
     """Records with fields of theirs, the label of their place and the name of their event."""
     found = graph.kept(found)
     nodes, events = graph.only(found, "node"), graph.only(found, "event")
-    return graph.optional(graph.labelled(graph.optional(found, "node", fields, only=nodes), "location", "location_label"), "event", NAME, only=events)
+    return graph.optional(graph.labelled(graph.gathered(found, "node", fields, only=nodes), "location", "location_label"), "event", NAME, only=events)
 
 
 def cq12(graph: Graph, type_id: str) -> DataFrame:

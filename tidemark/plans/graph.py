@@ -98,6 +98,7 @@ class Graph:
         self.spark = triples.sparkSession if triples is not None else spark
         self._parts, self._make, self._along = list(parts), make, along
         self._above: dict[str, DataFrame] = {}
+        self._few_labels: bool | None = None
 
     @property
     def triples(self) -> DataFrame:
@@ -269,8 +270,24 @@ class Graph:
             df = df.join(self.pairs(predicate, names=(f"_{name}", name), after=after, of=of, only=only), F.col(column) == F.col(f"_{name}"), "left").drop(f"_{name}")
         return df
 
+    def gathered(self, df: DataFrame, column: str, fields: dict[str, str], only: Callable[[Column], Column] | None = None) -> DataFrame:
+        """As ``optional``; where triples are made, those of all fields are made and moved together."""
+        if not self.once or len(fields) < 2:
+            return self.optional(df, column, fields, only=only)
+        sets = [F.collect_set(F.when(F.col("p") == p, F.col("o"))).alias(f"_{name}") for name, p in fields.items()]
+        said = self.facts(*fields.values(), only=only).groupBy(F.col("s").alias("_s")).agg(*sets)
+        df = df.join(said, F.col(column) == F.col("_s"), "left").drop("_s")
+        for name in fields:
+            df = df.withColumn(name, F.explode_outer(f"_{name}")).drop(f"_{name}")
+        return df
+
     def labelled(self, df: DataFrame, column: str, name: str) -> DataFrame:
         labels = self.pairs(*LABELS).groupBy("s").agg(F.min("o").alias(name)).withColumnRenamed("s", "_l")
+        if self.once:
+            if self._few_labels is None:
+                self._few_labels = labels.limit(FEW + 1).count() <= FEW
+            # Then the rows need not be moved to them.
+            labels = F.broadcast(labels) if self._few_labels else labels
         return df.join(labels, F.col(column) == F.col("_l"), "left").drop("_l")
 
 
